@@ -46,7 +46,7 @@ def cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return points, starts[full], ends[full], owner[full], number[full]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], at: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _pieces(batches: Iterator[pa.RecordBatch], at: int, most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Batches cut to about ``most`` characters, whole rows each; a null text counts as empty."""
     for batch in batches:
         texts = [t or "" for t in batch.column(at).to_pylist()]
@@ -73,12 +73,13 @@ def signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """(lines, BANDS) band keys."""
     values, first = shingle_values(points, starts, ends)
     x = (values >> np.uint64(32)).astype(np.uint32)
+    y = np.empty_like(x)
     keys = np.empty((len(starts), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(starts), np.uint64(b + 1))
         for r in range(b * ROWS, b * ROWS + ROWS):
-            y = x ^ _XOR[r]
-            y *= _MUL[r]
+            np.bitwise_xor(x, _XOR[r], out=y)
+            np.multiply(y, _MUL[r], out=y)
             key = (key ^ np.minimum.reduceat(y, first).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
         keys[:, b] = key
@@ -89,36 +90,54 @@ def line_ids(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return tuple(spans_of(running(points, w), starts, ends, w).view(np.int64) for w in (0, 1))
 
 
+def _shared(own: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Numbers of common values of all pairs of rows, from products of blocks of the row by value matrix."""
+    value, row = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    new = np.concatenate([[True], value[1:] != value[:-1]])
+    column, held = np.cumsum(new) - 1, np.diff(np.append(np.flatnonzero(new), len(value)))
+    common = held[column] > 1  # a value of one row alone is common to no pair
+    column, row = (np.cumsum(held > 1) - 1)[column[common]], row[common]
+    out = np.zeros((len(own), len(own)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, [lo, lo + 2048])
+        m = np.zeros((len(own), 2048), np.float32)
+        m[row[a:b], column[a:b] - lo] = 1
+        out += m @ m.T
+    return out
+
+
 def links_in_cell(key: np.ndarray, lines: list[str], threshold: float) -> list[tuple[int, int]]:
     """Spanning forest of the pairs of one key with Jaccard similarity >= threshold; rows are sorted by key."""
     points, starts, ends, _, _ = cut(lines)
     values, first = shingle_values(points, starts, ends)
-    sets = [np.unique(v) for v in np.split(values, first[1:])]
+    edges = [*first.tolist(), len(values)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        values[a:b].sort()
+    once = np.ones(len(values), bool)
+    once[1:] = values[1:] != values[:-1]
+    once[first] = True
+    sizes = np.add.reduceat(once.astype(np.int64), first)
+    sets = np.split(values[once], np.cumsum(sizes)[:-1])
     out: list[tuple[int, int]] = []
     bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        n = hi - lo
-        if n < 2:
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if hi - lo < 2:
             continue
-        own = sets[lo:hi]
-        sizes = np.fromiter(map(len, own), np.int64, n)
-        if n == 2:
-            both = len(np.intersect1d(own[0], own[1], assume_unique=True))
-            if both >= threshold * (sizes.sum() - both) - 1e-9:
+        n = sizes[lo:hi]
+        if hi - lo == 2:
+            if threshold * n.max() > n.min():
+                continue
+            both = np.concatenate(sets[lo:hi])
+            both.sort()
+            both = int(np.count_nonzero(both[1:] == both[:-1]))
+            if both >= threshold * (int(n.sum()) - both) - 1e-9:
                 out.append((lo, lo + 1))
             continue
-        order = np.argsort(np.concatenate(own), kind="stable")
-        value, row = np.concatenate(own)[order], np.repeat(np.arange(n), sizes)[order]
-        column = np.concatenate([[0], np.cumsum(value[1:] != value[:-1])])
-        forest = Forest(n)
-        for part in range(0, n, 128):  # a block of rows against all, by counts of shared values
-            mine = (row >= part) & (row < part + 128)
-            dense = np.zeros((column[-1] + 1, min(128, n - part)), np.float32)
-            dense[column[mine], row[mine] - part] = 1
-            shared = np.add.reduceat(dense[column[np.argsort(row, kind="stable")]], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-            i, j = np.nonzero(shared >= threshold * (sizes[:, None] + sizes[None, part : part + 128] - shared) - 1e-6)
-            j = j + part
-            out += [(lo + a, lo + b) for a, b in forest.add(i[i < j], j[i < j])]
+        shared = _shared(sets[lo:hi], n)
+        i, j = np.nonzero(np.triu(shared >= threshold * (n[:, None] + n[None, :] - shared) - 1e-6, 1))
+        out += [(lo + a, lo + b) for a, b in Forest(hi - lo).add(i, j)]
     return out
 
 
@@ -167,7 +186,7 @@ def fuzzy_links(docs: DataFrame, text: str = "text", *, threshold: float = THRES
         for batch in batches:
             band, ids = np.concatenate([band, batch.column(0).to_numpy()]), np.concatenate([ids, batch.column(1).to_numpy()])
             done = int(np.searchsorted(band, band[-1], side="left")) if len(band) else 0
-            if done:
+            if done > 1 << 13:
                 yield several(band[:done], ids[:done])
                 band, ids = band[done:], ids[done:]
         if len(band):
@@ -218,7 +237,7 @@ def fuzzy_links(docs: DataFrame, text: str = "text", *, threshold: float = THRES
             cell_, ids_ = np.concatenate([cell_, batch.column(0).to_numpy()]), np.concatenate([ids_, batch.column(1).to_numpy()])
             lines_ += batch.column(2).to_pylist()
             done = int(np.searchsorted(cell_, cell_[-1], side="left")) if len(cell_) else 0
-            if done:
+            if done > 512:
                 yield links(cell_[:done], ids_[:done], lines_[:done])
                 cell_, ids_, lines_ = cell_[done:], ids_[done:], lines_[done:]
         if len(cell_):
