@@ -165,9 +165,9 @@ WITH docs AS (
 ), items AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark
 ), dg AS (
-  SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) AS g FROM docs)
+  SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) AS g FROM docs)
 ), ig AS (
-  SELECT DISTINCT item_id, g FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) AS g FROM items)
+  SELECT DISTINCT item_id, g FROM (SELECT item_id, unnest([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) AS g FROM items)
 ), n AS (SELECT item_id, count(*) AS shingles FROM ig GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS matched FROM dg JOIN ig USING (g) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, matched, shingles, matched::DOUBLE / shingles AS containment
