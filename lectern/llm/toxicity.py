@@ -1,10 +1,11 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic model over the presence of words and word beginnings, fitted on a bounded sample of labelled rows. For each
-training text that mentions an identity term a counterfactual is made by swapping every such term for another of its
-group, and the squared change of the logit is penalised, so a neutral mention of a group does not move the score.
-Features are those whose share differs between the classes (log odds ratio over its standard error); their number is
-bounded, so the model is small enough to broadcast whatever the corpus is. Scoring reads whole texts in one pass.
+training text that mentions an identity term two counterfactuals are made: every such term is swapped for another of its
+group, and for a blank. The squared changes of the logit are penalised (the first makes the groups alike, the second
+keeps them alike at nought), so a neutral mention of a group does not move the score. Features are those whose share
+differs between the classes (root of the log likelihood ratio); their number is bounded, so the model is small enough to
+broadcast whatever the corpus is. Scoring reads whole texts in one pass.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .common import crc_mod, hash_fraction, stored, table, tuned
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7)
 #: Bounds of the fit: labelled rows a class (by expectation), features kept, least documents and z of a feature.
-SAMPLE_ROWS, MAX_FEATURES, MIN_DOCS, MIN_Z = 6000, 2000, 5, 4.0
+SAMPLE_ROWS, MAX_FEATURES, MIN_DOCS, MIN_Z = 6000, 2000, 4, 4.5
 
 # Identity terms by group; a term is swapped for the next of its group.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -65,6 +66,11 @@ def counterfactual(words: set[str]) -> set[str]:
     return {SWAP.get(w, w) for w in words}
 
 
+def masked(words: set[str]) -> set[str]:
+    """The words with every identity term blanked."""
+    return {w for w in words if w not in SWAP}
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     weights: dict[str, float]
@@ -93,14 +99,14 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from flush()
 
 
-def _fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, n: int, l2: float, swap_penalty: float, steps: int = 400) -> np.ndarray:
+def _fit(rows: list[tuple[np.ndarray, ...]], y: np.ndarray, weight: np.ndarray, n: int, l2: float, swap_penalty: float, steps: int = 400) -> np.ndarray:
     """Weights and bias (last) by Adam on the weighted log loss, an l2 term and the counterfactual penalty."""
 
     def csr(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
-    at, col = csr([x for x, _ in rows])
-    swapped = [(np.setdiff1d(x, c), np.setdiff1d(c, x)) for x, c in rows]
+    at, col = csr([x for x, *_ in rows])
+    swapped = [(np.setdiff1d(x, c), np.setdiff1d(c, x)) for x, *others in rows for c in others]
     moved = [i for i, (a, b) in enumerate(swapped) if len(a) or len(b)]
     plus, minus = csr([swapped[i][0] for i in moved]), csr([swapped[i][1] for i in moved])
     w, b = np.zeros(n), float(np.log(max(weight[y == 1].sum(), 1e-9) / max(weight[y == 0].sum(), 1e-9)))
@@ -122,7 +128,7 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.nd
 
 def train(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", *, sample_rows: int = SAMPLE_ROWS,
-    max_features: int = MAX_FEATURES, l2: float = 1e-4, swap_penalty: float = 1.0,
+    max_features: int = MAX_FEATURES, l2: float = 1e-5, swap_penalty: float = 1.0,
 ) -> ToxicityModel:
     """Fit on labelled texts. A key with several labels counts as toxic if one of them says so; nulls are left out.
 
@@ -142,9 +148,15 @@ def train(
     if len(n) < 2:
         return ToxicityModel({}, 40.0 if n.get(1) else -40.0)
     counts = texts.mapInPandas(_count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    a, b, c, d = F.col("n1") + 0.5, F.lit(n[1]) - F.col("n1") + 0.5, F.col("n0") + 0.5, F.lit(n[0]) - F.col("n0") + 0.5
-    z = (F.log(a / b) - F.log(c / d)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    top = counts.where(F.col("n0") + F.col("n1") >= MIN_DOCS).withColumn("z", F.abs(z)).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(max_features)
+    total = float(n[0] + n[1])
+    seen = F.col("n0") + F.col("n1")
+
+    def part(found, row, column):
+        return F.when(found > 0, found * F.log(found * total / (row * column))).otherwise(0.0)
+
+    cells = [part(F.col(f"n{k}"), seen, F.lit(float(n[k]))) + part(F.lit(n[k]) - F.col(f"n{k}"), total - seen, F.lit(float(n[k]))) for k in (0, 1)]
+    z = F.sqrt(F.greatest(2 * (cells[0] + cells[1]), F.lit(0.0)))
+    top = counts.where(F.col("n0") + F.col("n1") >= MIN_DOCS).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(max_features)
     names = [r["feature"] for r in top.collect()]
     names = sorted({*names, *(f"={t}" for t in SWAP)})
     index = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
@@ -155,15 +167,15 @@ def train(
             out = []
             for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
                 words = distinct_words(text)
-                x, c = ([of[f] for f in sorted({f for w in ws for f in features_of(w)} & of.keys())] for ws in (words, counterfactual(words)))
-                out.append((int(toxic), x, c))
-            yield pd.DataFrame(out, columns=["toxic", "x", "c"])
+                x, c, m = ([of[f] for f in sorted({f for w in ws for f in features_of(w)} & of.keys())] for ws in (words, counterfactual(words), masked(words)))
+                out.append((int(toxic), x, c, m))
+            yield pd.DataFrame(out, columns=["toxic", "x", "c", "m"])
 
-    encoded = texts.mapInPandas(encode, "toxic int, x array<int>, c array<int>").collect()  # a bounded sample of short index lists
+    encoded = texts.mapInPandas(encode, "toxic int, x array<int>, c array<int>, m array<int>").collect()  # a bounded sample of short index lists
     encoded.sort(key=lambda r: (r["toxic"], r["x"]))
     y = np.array([r["toxic"] for r in encoded], float)
     weight = np.where(y == 1, sizes[1] / n[1], sizes[0] / n[0])
-    theta = _fit([(np.array(r["x"], np.int64), np.array(r["c"], np.int64)) for r in encoded], y, weight, len(names), l2, swap_penalty)
+    theta = _fit([tuple(np.array(r[k], np.int64) for k in "xcm") for r in encoded], y, weight, len(names), l2, swap_penalty)
     return ToxicityModel({f: float(w) for f, w in zip(names, theta[:-1], strict=True) if abs(w) > 1e-6}, float(theta[-1]))
 
 
