@@ -133,14 +133,14 @@ def units(text, longest=20):
         part = []
         for w in re.findall(r"[^\x20\x09-\x0D]+", line):
             part.append(w)
-            if w[-1] in ".!?":
+            if len(w) > 1 and w[-1] in ".!?" and w[-2] not in ".!?,;:":
                 out.append(part)
                 part = []
         out.append(part)
     return [p[i : i + longest] for p in out for i in range(0, len(p), longest)]
 
 
-def brute_spans(rows, run=3, least=10):
+def brute_spans(rows, run=3, least=12):
     seen, gone = {}, {}
     for key, text in sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
         u = units(text)
