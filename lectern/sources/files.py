@@ -67,13 +67,13 @@ def session_lists(payload: DataFrame, body: str = "body", attempt: str = "attemp
 
 def log_tail(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
     """Last ``n`` lines of a log file."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("pos", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("pos", "line"))
     return lines.orderBy(F.desc("pos")).limit(n)
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(media_id, pos, line) of transcript text files."""
-    whole = spark.read.option("wholetext", True).text(path).select(stem(F.col("_metadata.file_path")).alias("media_id"), "value")
+    whole = spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("media_id"), "value")
     return whole.select("media_id", F.posexplode(F.split("value", "\n", -1)).alias("pos", "line"))
 
 
