@@ -59,7 +59,10 @@ def course_info(payload: DataFrame, body: str = "body") -> DataFrame:
 def session_lists(payload: DataFrame, body: str = "body", attempt: str = "attempt", key: str = "course_id") -> DataFrame:
     """Sessions of replies that are a list, ``{data: [...]}`` or ``{list: [...]}``; the first non-empty attempt counts."""
     item = "array<struct<id:string,title:string>>"
-    shapes = F.coalesce(F.from_json(body, item), F.from_json(F.get_json_object(body, "$.data"), item), F.from_json(F.get_json_object(body, "$.list"), item))
+    # A JSON object parses as a list of one empty session, so the shape is told by its first character.
+    is_list = F.ltrim(body).startswith("[")
+    inner = F.coalesce(F.get_json_object(body, "$.data"), F.get_json_object(body, "$.list"))
+    shapes = F.from_json(F.when(is_list, F.col(body)).when(F.ltrim(inner).startswith("["), inner), item)
     rows = payload.withColumn("_l", shapes).where(F.size("_l") > 0)
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(attempt))).where("_n = 1")
     return first.select(key, F.posexplode("_l").alias("pos", "s")).select(key, "pos", "s.*")
