@@ -172,28 +172,43 @@ def fuzzy_links(docs: DataFrame, text: str = "text", *, threshold: float = THRES
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[fresh], BANDS))], ["band", "id"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def several(band: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        """Rows of bands that hold two different ids; of the band that goes on only its first row and a flag are held."""
+        held: tuple[int, int] | None = None  # band and id of the last band's first row
+        last, several = None, False  # the last row's id; whether the last band is known to hold several
+        for batch in batches:
+            band, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(band):
+                continue
+            goes_on = held is not None and band[0] == held[0]
             new = np.ones(len(band), bool)
             new[1:] = (band[1:] != band[:-1]) | (ids[1:] != ids[:-1])
+            new[0] = not (goes_on and ids[0] == last)
+            last = ids[-1]
+            whole_band = band[-1]
             band, ids = band[new], ids[new]
+            if not len(band):
+                continue
             first = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
             size = np.diff(np.append(first, len(band)))
-            many = np.repeat(size > 1, size)
-            return pa.RecordBatch.from_arrays([pa.array(band[many]), pa.array(ids[many]), pa.array(np.repeat(size, size)[many].astype(np.int32))], ["band", "id", "n"])
-
-        for batch in batches:
-            band, ids = np.concatenate([band, batch.column(0).to_numpy()]), np.concatenate([ids, batch.column(1).to_numpy()])
-            done = int(np.searchsorted(band, band[-1], side="left")) if len(band) else 0
-            if done > 1 << 13:
-                yield several(band[:done], ids[:done])
-                band, ids = band[done:], ids[done:]
-        if len(band):
-            yield several(band, ids)
+            many = size > 1
+            late = []
+            if goes_on and band[0] == held[0]:
+                if not several:
+                    late = [held]
+                many[0] = True
+            keep = np.repeat(many, size)
+            out_band, out_ids = band[keep], ids[keep]
+            if late:
+                out_band, out_ids = np.append(out_band, late[0][0]), np.append(out_ids, late[0][1])
+            if len(first) > 1 or not goes_on or band[0] != held[0]:
+                held = (int(band[first[-1]]), int(ids[first[-1]]))
+            several = bool(many[-1])
+            assert held[0] == whole_band
+            if len(out_band):
+                yield pa.RecordBatch.from_arrays([pa.array(out_band), pa.array(out_ids)], ["band", "id"])
 
     pairs = rows.mapInArrow(bands, "band long, id long").repartition("band").sortWithinPartitions("band", "id")
-    alive = stored(pairs.mapInArrow(shared, "band long, id long, n int"), "bands")
+    alive = stored(pairs.mapInArrow(shared, "band long, id long"), "bands")
     ids = alive.select("id").distinct()
     bits = spark.sparkContext.broadcast(_bit_table(ids))
 
@@ -218,8 +233,9 @@ def fuzzy_links(docs: DataFrame, text: str = "text", *, threshold: float = THRES
 
     lines = rows.mapInArrow(fetch, "id long, line string")
     known = stored(lines.join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines")
-    chunks = F.ceil(F.col("n") / (cell // 2)).cast("int")
-    parted = alive.withColumn("chunks", F.when(F.col("n") > cell, chunks).otherwise(1)).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), "chunks").cast("int"))
+    crowded = alive.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    large = sized(crowded.select("band", F.ceil(F.col("n") / (cell // 2)).cast("int").alias("_chunks")), "large")
+    parted = alive.join(large, "band", "left").withColumn("chunks", F.coalesce("_chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), "chunks").cast("int"))
     cells = parted.select("id", F.explode(F.expr("transform(sequence(0, chunks - 1), c -> xxhash64(band, least(own, c), greatest(own, c)))")).alias("cell"))
     # Bands often hold the same set of lines: a cell with the same lines as another is verified once.
     mark = cells.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64("id", F.lit(3)).cast("decimal(20,0)")).alias("s2"))

@@ -1,8 +1,8 @@
 """SimHash near-duplicates, candidates thinned by pivot distance tables.
 
 Distinct fingerprints are keyed by equal bit blocks (pigeonhole: of ``blocks`` blocks at least ``match`` are equal when
-at most ``radius`` bits differ and blocks - match >= radius), so no link is lost. Groups of a key above ``cell`` rows
-are cut into pairs of chunks. Within a cell the Hamming distances to ``PIVOTS`` reference fingerprints are computed
+at most ``radius`` bits differ and blocks - match >= radius), so no link is lost. A group of a key above ``cell`` rows is
+keyed again by equal parts of its other bits, and what is still above is cut into pairs of chunks. Within a cell the Hamming distances to ``PIVOTS`` reference fingerprints are computed
 once per row; a pair whose largest coordinate difference exceeds the radius is discarded (triangle inequality), the
 survivors are verified bit by bit. Only a spanning forest of each cell's links leaves it, never all pairs.
 """
@@ -123,6 +123,11 @@ def links_by_shift(key: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[
         shift += 1
 
 
+def _mask(bits: list[int]) -> int:
+    m = sum(1 << b for b in bits)
+    return m - (1 << 64) if m >= 1 << 63 else m
+
+
 def near_links(prints: DataFrame, radius: int = 3, *, blocks: int = 4, match: int = 1, cell: int = 1024) -> DataFrame:
     """(src, dst) links of distinct fingerprints (column fp, long): a spanning forest of every cell's links.
 
@@ -131,18 +136,28 @@ def near_links(prints: DataFrame, radius: int = 3, *, blocks: int = 4, match: in
     if blocks - match < radius:
         raise ValueError("blocks - match must reach the radius")
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = []
+    masks, finer = [], []
     for chosen in combinations(range(blocks), match):
-        m = sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in chosen)
-        masks.append(m - (1 << 64) if m >= 1 << 63 else m)
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("table", "block"))
-    keyed = keyed.select("fp", F.xxhash64("table", "block").alias("key"))
-    # Chunks of the few large groups; their number is bounded by rows / cell.
-    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell).select("key", F.ceil(F.col("n") / (cell // 2)).cast("int").alias("chunks"))
-    parted = keyed.join(large, "key", "left").select("fp", "key", F.coalesce("chunks", F.lit(1)).alias("chunks"))
+        own = [bit for b in chosen for bit in range(edges[b], edges[b + 1])]
+        rest = [bit for bit in range(64) if bit not in own]
+        parts = [round(len(rest) * i / (radius + 1)) for i in range(radius + 2)]
+        masks.append(_mask(own))
+        finer.append([_mask(rest[i:j]) for i, j in zip(parts[:-1], parts[1:], strict=True)])
+    anded = lambda m: F.col("fp").bitwiseAND(F.lit(m).cast("long"))
+    keyed = prints.select("fp", F.posexplode(F.array(*[anded(m) for m in masks])).alias("table", "block"))
+    keyed = keyed.select("fp", "table", F.xxhash64("table", "block").alias("key"))
+    # The prints of a large group differ in at most `radius` of the other bits, so they agree in one of radius + 1 parts of those.
+    crowded = lambda df: df.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    large = sized(crowded(keyed).select("key", F.lit(True).alias("_large")), "large")
+    marked = keyed.join(large, "key", "left")
+    parts_of = F.element_at(F.array(*[F.array(*[anded(m) for m in ms]) for ms in finer]), F.col("table") + 1)
+    split = marked.where("_large").select("fp", "key", F.posexplode(parts_of).alias("part", "value")).select("fp", F.xxhash64("key", "part", "value").alias("key"))
+    largest = sized(crowded(split).select("key", F.ceil(F.col("n") / (cell // 2)).cast("int").alias("chunks")), "largest")
+    whole = marked.where("_large is null").select("fp", "key", F.lit(1).alias("chunks"))
+    parted = whole.unionByName(split.join(largest, "key", "left").select("fp", "key", F.coalesce("chunks", F.lit(1)).alias("chunks")))
     parted = parted.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), "chunks").cast("int"))
     # A cell is a pair of chunks (low, high); a row goes to every cell that its chunk is part of.
-    cells = parted.select("fp", "key", F.explode(F.expr("transform(sequence(0, chunks - 1), c -> xxhash64(key, least(own, c), greatest(own, c)))")).alias("cell"))
+    cells = parted.select("fp", F.explode(F.expr("transform(sequence(0, chunks - 1), c -> xxhash64(key, least(own, c), greatest(own, c)))")).alias("cell"))
     cells = cells.select("cell", "fp").repartition("cell").sortWithinPartitions("cell", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -148,6 +148,16 @@ def test_lines_match_brute_force(spark, empty):
     assert lines.repeated_lines(empty).count() == 0
 
 
+def test_small_batches_change_nothing(spark, docs):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    results = []
+    for n in ("1000", "2"):
+        spark.conf.set(key, n)
+        results.append((sorted(map(str, lines.repeated_lines(docs).collect())), sorted(map(str, simhash.near_duplicates(docs).collect()))))
+    spark.conf.unset(key)
+    assert results[0] == results[1] and results[0][0]
+
+
 def exact(vectors, k=20):
     ids = np.array([i for i, _ in vectors])
     x = np.array([v for _, v in vectors], float)
