@@ -122,7 +122,7 @@ def top_in_cell(index: IvfPq, q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame | None = None, key: str = "vec_id", vector: str = "embedding", *, k: int = 20, lists: int | None = None, probe: float = 0.7,
+    vectors: DataFrame, queries: DataFrame | None = None, key: str = "vec_id", vector: str = "embedding", *, k: int = 20, lists: int | None = None, probe: float = 0.8,
     shortlist: int = 160, sample_rows: int = SAMPLE_ROWS, cell_rows: int = 8192, cell_queries: int = 4096,
 ) -> DataFrame:
     """(query_id, rank, key, score): each query's k nearest by inner product, nearest first, ties to the smaller key.

@@ -67,17 +67,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: dict[str, Counter] = {}
 
     def flush() -> Iterator[pd.DataFrame]:
-        rows = [(lang, 0, w, n) for lang, c in counts.items() for w, n in c.items()]
-        for lang, c in counts.items():
-            for n in NGRAMS:
-                grams: Counter = Counter()
-                for w, k in c.items():
-                    for g in grams_of(w, n):
-                        grams[g] += k
-                rows += [(lang, n, g, k) for g, k in grams.items()]
+        rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
         counts.clear()
         if rows:
-            yield pd.DataFrame(rows, columns=["lang", "kind", "token", "n"])
+            yield pd.DataFrame(rows, columns=["lang", "token", "n"])
 
     for pdf in batches:
         for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
@@ -87,6 +80,19 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from flush()
 
 
+def _gram_counts(words: DataFrame) -> DataFrame:
+    """N-grams of the distinct words (of at most 64 letters), weighted by their counts."""
+    padded = F.concat(F.lit("^"), F.col("token"), F.lit("$"))
+
+    def level(n: int):
+        of = padded if n > 1 else F.col("token")
+        starts = F.filter(F.sequence(F.lit(1), F.length(of)), lambda i: i <= F.length(of) - (n - 1))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("kind"), F.substring(of, i, F.lit(n)).alias("token")))
+
+    grams = words.where(F.length("token") <= 64).select("lang", "n", F.explode(F.concat(*[level(n) for n in NGRAMS])).alias("g"))
+    return grams.groupBy("lang", F.col("g.kind").alias("kind"), F.col("g.token").alias("token")).agg(F.sum("n").alias("n"))
+
+
 def train(
     rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, sample_rows: int = 3000, max_words: int = 20_000, max_grams: int = 8000
 ) -> LanguageModel:
@@ -99,9 +105,8 @@ def train(
     langs = tuple(sorted(sizes))
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, sample_rows / v))])
     sample = given.where(hash_fraction("key", seed=11) < share[F.col("lang")])
-    schema = "lang string, kind int, token string, n long"
-    counts = sample.select("lang", "text").mapInPandas(_count, schema).groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
-    counts = stored(counts, "language-counts")
+    words = stored(sample.select("lang", "text").mapInPandas(_count, "lang string, token string, n long").groupBy("lang", "token").agg(F.sum("n").alias("n")), "words")
+    counts = stored(words.select("lang", F.lit(0).alias("kind"), "token", "n").unionByName(_gram_counts(words)), "language-counts")
     totals: dict[tuple[str, int], int] = {}
     least: dict[tuple[str, int], int] = {}  # the smallest count kept, so that at most the bound is kept
     room = {(name, kind): max_words if kind == 0 else max_grams for name in langs for kind in (0, *NGRAMS)}

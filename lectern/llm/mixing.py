@@ -4,7 +4,8 @@ A source's target is its weighted share of ``budget`` times all words, at most `
 is reshared by weight. Every document first gets the certain whole copies, floor(target / source words). The rest of a
 source's target is a fixed-size sample (its size is counted in words): each document has the inclusion probability
 p = the fraction of a copy still due, documents are ranked by [u / (1 - u)] / [p / (1 - p)] with u from a hash, and the
-ranking is cut where the running sum of words comes nearest to what is due. Ranks are running sums over a range
+ranking is cut before its running sum of words would pass what is due. One more document fills the rest: of those left
+the one whose size comes nearest to it. Ranks are running sums over a range
 partitioning by (source, rank), so a source with a third of all rows spans many tasks.
 """
 
@@ -83,10 +84,21 @@ def _placed(docs: DataFrame, key: str, text: str, source: str, weights: tuple, b
         before[r["source"]] = before.get(r["source"], 0) + r["n"]
     shift = spark.createDataFrame(offsets, "_p int, _source string, _before long")
     placed = summed.join(F.broadcast(shift), (F.col("_part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_source")))
-    upto = F.col("run") + F.col("_before")
-    prior = upto - F.col("size")
-    chosen = (prior < F.col("due")) & ((upto <= F.col("due")) | (upto - F.col("due") < F.col("due") - prior))
-    return placed.withColumn("chosen", chosen), plan
+    placed = placed.drop("_source").withColumn("upto", F.col("run") + F.col("_before"))
+    within = F.col("upto") <= F.col("due")
+    # What is left of each source after its last whole document, and the document that fills it best.
+    rest = plan.join(placed.where(within).groupBy("source").agg(F.max("upto").alias("got")), F.col("_source").eqNullSafe(F.col("source")), "left")
+    rest = rest.select(F.col("_source").alias("_s"), (F.col("due") - F.coalesce("got", F.lit(0))).alias("rest"))
+    off = F.abs(F.col("size") - F.col("rest"))
+    open_ = placed.where(~within & (F.col("size") > 0)).join(F.broadcast(rest), F.col("source").eqNullSafe(F.col("_s"))).where(off < F.col("rest"))
+    fills = open_.groupBy("source").agg(F.min(F.struct(off.alias("off"), "rank", "_part", "run")).alias("f")).collect()  # one row a source
+    kind = placed.schema["rank"].dataType
+    schema = T.StructType([T.StructField("_f", T.StringType()), T.StructField("_fill", kind), T.StructField("_fp", T.IntegerType()), T.StructField("_fr", T.LongType())])
+    fill = F.broadcast(spark.createDataFrame([(r["source"], r["f"]["rank"], r["f"]["_part"], r["f"]["run"]) for r in fills], schema))
+    placed = placed.join(fill, F.col("source").eqNullSafe(F.col("_f")), "left").drop("_f")
+    # Repeated rows share a rank: the place in the running sum tells which of them fills.
+    filling = F.coalesce(F.col("rank").eqNullSafe(F.col("_fill")) & (F.col("_part") == F.col("_fp")) & (F.col("run") == F.col("_fr")), F.lit(False))
+    return placed.withColumn("within", within).withColumn("chosen", within | filling), plan
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", *, weights: tuple = WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -135,27 +147,31 @@ WITH d AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN due > 0 THEN (u / (1 - u)) / ((due / source_size) / (1 - due / source_size)) ELSE 'inf'::DOUBLE END,
                             doc_id NULLS LAST, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM q
+), r2 AS (SELECT *, due - coalesce(max(CASE WHEN upto <= due THEN upto END) OVER (PARTITION BY source), 0) AS rest FROM c),
+f2 AS (
+  SELECT *, CASE WHEN upto > due AND size > 0 AND abs(size - rest) < rest THEN row_number() OVER (
+    PARTITION BY source, upto > due AND size > 0 AND abs(size - rest) < rest ORDER BY abs(size - rest), upto) END AS fill
+  FROM r2
 )
-SELECT doc_id, size, source_size, target,
-       ((whole + CASE WHEN upto - size < due AND (upto <= due OR upto - due < due - (upto - size)) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM c
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN upto <= due OR fill = 1 THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM f2
 """
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0 to 2 times); columns stay as they are.
 
-    A source's sample ends at one rank, so the choice is a comparison with its source's last rank and texts never
-    shuffle. Rows equal in doc_id and text have one rank: in or out together.
+    A source's sample ends at one rank and has one more document, so the choice is a comparison of ranks and texts
+    never shuffle. Rows equal in doc_id and text have one rank: in or out together.
     """
     names = docs.columns
     placed, plan = _placed(docs, "doc_id", "text", "source", WEIGHTS, 1.5, 2.0)
-    last = placed.where("chosen").groupBy("source").agg(F.max("rank").alias("_last")).collect()
+    last = placed.groupBy("source").agg(F.max(F.when(F.col("within"), F.col("rank"))).alias("last"), F.max("_fill").alias("fill")).collect()
     kind = placed.schema["rank"].dataType
-    schema = T.StructType([T.StructField("_s", T.StringType()), T.StructField("_last", kind)])
-    cuts = spark.createDataFrame([(r["source"], r["_last"]) for r in last], schema)
+    schema = T.StructType([T.StructField("_s", T.StringType()), T.StructField("_last", kind), T.StructField("_fill", kind)])
+    cuts = spark.createDataFrame([(r["source"], r["last"], r["fill"]) for r in last], schema)
     plan = F.broadcast(plan.join(cuts, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"))
     planned = docs.join(plan, docs["source"].cast("string").eqNullSafe(plan["_source"]))
     rank = _rank(docs["doc_id"], F.coalesce(F.xxhash64(docs["text"]), F.lit(0)))
-    copies = F.col("whole") + F.coalesce((rank <= F.col("_last")).cast("int"), F.lit(0))
+    copies = F.col("whole") + (F.coalesce(rank <= F.col("_last"), F.lit(False)) | F.coalesce(rank == F.col("_fill"), F.lit(False))).cast("int")
     return planned.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in names])
