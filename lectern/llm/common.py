@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ROOTS: dict[str, str] = {}
 #: Rows per Arrow batch handed to Python. Texts may be very long, so batches are kept short.
@@ -43,11 +44,16 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the table read back: lineage ends here."""
+    """Write ``df`` once to the shared folder and return the table read back: lineage ends here.
+
+    Tables of numbers alone are written without a codec: hashes don't compress, and the direct buffers of a codec for
+    each of many small files outlive their tasks.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    numbers = all(isinstance(f.dataType, T.NumericType | T.BooleanType) for f in schema)
+    df.write.parquet(path, compression="none" if numbers else None)
     out = spark.read.schema(schema).parquet(path)
     out._table_path = path
     return out
