@@ -133,8 +133,9 @@ def train(
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", *, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its posterior probability; the text column is dropped.
 
-    A null text, one without a letter or one of which nothing is known gets ``und`` with score 0. Ties go to the
-    language first in code-point order. Existing columns named as the results are replaced.
+    A null text, one without a letter or any text under an empty model gets ``und`` with score 0. Ties go to the
+    language first in code-point order, as does a text of which nothing is known (score: one over the languages).
+    Existing columns named as the results are replaced.
     """
     docs = docs.drop(*[c for c in (pred, score) if c in docs.columns])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -166,10 +167,9 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", *, pred:
                             memo[w] = k
                         ids[i] = k
                     total = counts @ vectors[ids]
-                    if total.any():
-                        odds = np.exp(total - total.max())
-                        k = int(np.argmax(total))
-                        label, best = m.langs[k], float(odds[k] / odds.sum())
+                    odds = np.exp(total - total.max())
+                    k = int(np.argmax(total))
+                    label, best = m.langs[k], float(odds[k] / odds.sum())
                 labels.append(label)
                 scores.append(best)
             yield pa.RecordBatch.from_arrays(

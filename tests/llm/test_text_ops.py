@@ -183,3 +183,10 @@ def test_licences_match_brute_force(spark, empty):
                         want[key, name] = max(d, want.get((key, name), 0))
     assert got == pytest.approx(want) and (3, "MIT") in got and (9, "All-rights-reserved") not in got
     assert licences.scan_licences(empty).count() == 0
+
+
+def test_letters_unknown_to_the_model_get_a_learned_language(spark):
+    data = [(i, ("der hund läuft " if i % 2 else "the dog runs ") * 3, "de" if i % 2 else "en") for i in range(20)] + [(90, "Привет мир", None), (91, "12 ...", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs).collect()}
+    assert got[90] == ("de", 0.5) and got[91] == ("und", 0.0) and got[1][0] == "de" and got[2][0] == "en"
