@@ -85,7 +85,7 @@ def _placed(docs: DataFrame, key: str, text: str, source: str, weights: tuple, b
     shift = spark.createDataFrame(offsets, "_p int, _source string, _before long")
     placed = summed.join(F.broadcast(shift), (F.col("_part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_source")))
     placed = placed.drop("_source").withColumn("upto", F.col("run") + F.col("_before"))
-    within = F.col("upto") <= F.col("due")
+    within = (F.col("due") > 0) & (F.col("upto") <= F.col("due"))  # a full source has no sample, not even of empty texts
     # What is left of each source after its last whole document, and the document that fills it best.
     rest = plan.join(placed.where(within).groupBy("source").agg(F.max("upto").alias("got")), F.col("_source").eqNullSafe(F.col("source")), "left")
     rest = rest.select(F.col("_source").alias("_s"), (F.col("due") - F.coalesce("got", F.lit(0))).alias("rest"))

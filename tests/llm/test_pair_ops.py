@@ -215,6 +215,12 @@ def test_mix_meets_targets_and_reruns_agree(spark, docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_full_sources_take_whole_copies_alone(spark):
+    rows = [(1, "a b c", "s"), (2, "", "s"), (3, None, "s"), (4, "d e f g h i j k l m n o", "t")]
+    got = {r["doc_id"]: (r["target"], r["copies"], r["taken"]) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1] == (6.0, 2, 6) and got[2][1:] == (2, 0) and got[3][1:] == (2, 0)
+
+
 def test_targets_share_by_weight():
     assert mixing.share_targets([100, 100, 100], [3, 1, 2]) == [200.0, pytest.approx(250 / 3), pytest.approx(500 / 3)]
     assert mixing.share_targets([0, 0], [3, 1]) == [0.0, 0.0] and mixing.share_targets([], []) == []
