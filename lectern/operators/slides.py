@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import BLANK_VARIANCE, minute_time
 from .timeline import ordered_scan
@@ -14,6 +18,8 @@ from .timeline import ordered_scan
 # Fixed values of the keyframe machine: bits that count as a change (similarity < 0.92 of 256), flags in the window,
 # share of flags that marks a video passage, stable samples after it, least samples between slides.
 CHANGE_SIMILARITY, WINDOW, VIDEO_SHARE, STABLE, SPACING = 0.92, 6, 0.7, 4, 6
+#: Side of the hashes: 16 x 16 bits, four 64-bit words.
+HASH_SIDE = 16
 
 
 def scene_cuts(scenes: DataFrame, media: str = "media_id", score: str = "score", threshold: float = 0.1) -> DataFrame:
@@ -96,3 +102,47 @@ def change_ratio(frames: DataFrame, media: str, ts: str, word: str, bits: int =
 
 def manifest_line(media: Column, ts: Column) -> Column:
     return F.concat_ws(" ", media.cast("string"), minute_time(ts))
+
+
+def _cosines(n: int, k: int) -> np.ndarray:
+    """The first ``k`` rows of the type-II cosine transform of ``n`` samples."""
+    return np.cos(np.pi * np.arange(k)[:, None] * (2 * np.arange(n)[None, :] + 1) / (2 * n))
+
+
+def perceptual_bits(gray: np.ndarray) -> np.ndarray:
+    """Low frequencies of square gray images (n, side, side) above their median."""
+    c = _cosines(gray.shape[-1], HASH_SIDE)
+    low = (c @ gray @ c.T).reshape(len(gray), -1)
+    return low > np.median(low, axis=1, keepdims=True)
+
+
+def gradient_bits(gray: np.ndarray) -> np.ndarray:
+    """Pixels of images (n, 16, 17) that are brighter than their left neighbour."""
+    return (gray[:, :, 1:] > gray[:, :, :-1]).reshape(len(gray), -1)
+
+
+def frame_hashes(frames: DataFrame, pixels: str = "pixels", out: str = "hash", kind: str = "perceptual") -> DataFrame:
+    """``frames`` with the 256-bit hash (array of four words, first bit highest) in place of the gray bytes, row after row.
+
+    ``perceptual`` wants square images scaled to 4 x 16 pixels a side, ``gradient`` 16 rows of 17. Frames that are null or
+    of another size get a null hash.
+    """
+    shape, bits_of = {"perceptual": ((4 * HASH_SIDE, 4 * HASH_SIDE), perceptual_bits), "gradient": ((HASH_SIDE, HASH_SIDE + 1), gradient_bits)}[kind]
+    size = shape[0] * shape[1]
+    keep = [c for c in frames.columns if c not in (pixels, out)]
+    frames = frames.select(*keep, pixels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(len(keep)).to_pylist()
+            good = [i for i, b in enumerate(raw) if b is not None and len(b) == size]
+            hashes: list[list[int] | None] = [None] * len(raw)
+            if good:
+                gray = np.frombuffer(b"".join(raw[i] for i in good), np.uint8).reshape(-1, *shape).astype(np.float64)
+                words = np.packbits(bits_of(gray), axis=1).view(">i8").astype(np.int64)
+                for i, w in zip(good, words.tolist(), strict=True):
+                    hashes[i] = w
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(hashes, pa.list_(pa.int64()))], [*keep, out])
+
+    schema = T.StructType([frames.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.LongType()))])
+    return frames.mapInArrow(run, schema)

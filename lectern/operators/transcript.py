@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_short_line, minute_time, srt_time, strip, transcript_line
+from ..functions.scalars import clamp_segment, is_short_line, minute_time, srt_time, strip, transcript_line
 from .timeline import largest_gap, until
 
 SUSPECT_LINES, LONG_BREAK, CHUNK_FROM, CHUNK = 100, 300, 1800.0, 1200.0
@@ -35,6 +38,30 @@ def chunk_plan(media: DataFrame, duration: str = "duration") -> DataFrame:
     return rows.withColumn("chunk", F.col("_i") + 1).withColumn("length", F.when(d >= CHUNK_FROM, F.least(F.lit(CHUNK), d - F.col("offset"))).otherwise(d)).drop("_i")
 
 
+def transcribe(
+    chunks: DataFrame, load: Callable[[], Callable[[str, float, float], Iterable[tuple[float, float, str]]]], key: str = "media_id", source: str = "source", duration: str = "duration"
+) -> DataFrame:
+    """(key, chunk, seq, start, end, text) that a speech recogniser finds in the rows of :func:`chunk_plan`.
+
+    ``load`` runs once a task and gives a function of (source, offset, length) that yields (start, end, text) in seconds
+    of the chunk. Times are moved by the offset and kept within the medium; texts are stripped and blank ones dropped.
+    """
+    kind = dict(chunks.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        recognise = load()
+        for pdf in batches:
+            rows = [
+                (row.key, row.chunk, row.offset, row.duration, i, float(a), float(b), text)
+                for row in pdf.itertuples(index=False) for i, (a, b, text) in enumerate(recognise(row.source, row.offset, row.length))]
+            yield pd.DataFrame(rows, columns=["key", "chunk", "offset", "duration", "seq", "a", "b", "text"])
+
+    asked = chunks.select(F.col(key).alias("key"), F.col("chunk").cast("int"), "offset", "length", F.col(duration).cast("double").alias("duration"), F.col(source).alias("source"))
+    heard = asked.mapInPandas(run, f"key {kind}, chunk int, offset double, duration double, seq int, a double, b double, text string")
+    placed = heard.withColumn("text", strip(F.col("text"))).where("text <> ''").withColumn("_at", clamp_segment(F.col("a"), F.col("b"), F.col("offset"), F.col("duration")))
+    return placed.select(F.col("key").alias(key), "chunk", "seq", "_at.start", "_at.end", "text")
+
+
 def _joined(segments: DataFrame, key: str, pos: str, item: Column, sep: str) -> DataFrame:
     rows = segments.withColumn("_item", item)
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos), F.col("_item")))), lambda x: x["_item"]), sep).alias("body"))

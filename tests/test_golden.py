@@ -1,5 +1,8 @@
 """Hand-computed rows for rules with thresholds, ties and traps."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +150,32 @@ def test_history_and_copies(spark):
     assert [(r["key"], r["count"], r["course_name"]) for r in jobs.history(ev, "key", "at", course_name="name").collect()] == [("z", 1, None), ("k", 2, "old")]
     a = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "path string, size int")
     assert sorted(r["path"] for r in catalog.copy_plan(a, a.where("path <> 'z'").withColumn("size", F.lit(1)), "path", "size").collect()) == ["y", "z"]
+
+
+def test_frame_hashes(spark):
+    rng = np.random.default_rng(1)
+    frame = rng.integers(0, 256, (64, 64)).astype(np.uint8)
+    df = spark.createDataFrame([(1, frame.tobytes()), (2, (255 - frame).tobytes()), (3, b"short"), (4, None)], "id int, pixels binary")
+    got = {r["id"]: r["hash"] for r in slides.frame_hashes(df).collect()}
+    n, k = np.arange(64), np.arange(16)
+    low = [[sum(float(frame[y, x]) * math.cos(math.pi * u * (2 * y + 1) / 128) * math.cos(math.pi * v * (2 * x + 1) / 128) for y in n for x in n) for v in k] for u in k[:2]]
+    value = sum((w & (1 << 64) - 1) << 64 * (3 - i) for i, w in enumerate(got[1]))
+    whole = slides._cosines(64, 16) @ frame @ slides._cosines(64, 16).T
+    assert np.allclose(low, whole[:2])
+    assert [value >> (255 - i) & 1 for i in range(256)] == (whole > np.median(whole)).ravel().astype(int).tolist()
+    assert sum((a ^ b).bit_count() for a, b in zip(*([w & (1 << 64) - 1 for w in got[i]] for i in (1, 2)), strict=True)) >= 250 and got[3] is None and got[4] is None
+    ramp = np.tile(np.arange(17, dtype=np.uint8), (16, 1))
+    ramp[1] = 9
+    one_ = slides.frame_hashes(spark.createDataFrame([(1, ramp.tobytes())], "id int, pixels binary"), kind="gradient").first()["hash"]
+    assert one_ == [-(1 << 48) | (1 << 32) - 1, -1, -1, -1]
+
+
+def test_transcribe_with_a_plugged_recogniser(spark):
+    def load():
+        return lambda source, offset, length: [(1.0, 2.5, f" {source} "), (3.0, 4.0, "  "), (length - 1, length + 9, "end")]
+
+    plan = transcript.chunk_plan(spark.createDataFrame([("m", "a.wav", 2400.5)], "media_id string, source string, duration double"))
+    got = sorted(tuple(r) for r in transcript.transcribe(plan, load).collect())
+    assert got == [
+        ("m", 1, 0, 1.0, 2.5, "a.wav"), ("m", 1, 2, 1199.0, 1209.0, "end"), ("m", 2, 0, 1201.0, 1202.5, "a.wav"), ("m", 2, 2, 2399.0, 2409.0 - 8.5, "end"),
+        ("m", 3, 0, 2400.5, 2400.5, "a.wav"), ("m", 3, 2, 2399.5, 2400.5, "end")]
