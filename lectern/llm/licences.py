@@ -1,14 +1,17 @@
 """Licence scans: normalised text compared to licence templates by Dice coefficient over word bigrams.
 
-A candidate is a window of consecutive lines. Both sides are lower-cased and cut into words of letters, digits and
-dots inside numbers; word bigrams count with repeats. Dice d of sizes a and b is at most 2 min(a, b) / (a + b), so a
-window of a bigrams is compared only to templates with b between a * t / (2 - t) and a * (2 - t) / t. Windows start
-and end at lines that share a bigram with some template, which loses nothing: a line that shares none only lowers
-Dice. Texts are read once, whole, without a shuffle; templates are a fixed table.
+A candidate is a window of consecutive words, whatever lines they lie in, or on request of whole lines. Both sides are
+lower-cased and cut into words of letters, digits and dots inside numbers; word bigrams count with repeats, those
+across a line end too. Dice d of sizes a and b is at most 2 min(a, b) / (a + b), so a window of a bigrams is compared
+only to templates with b between a * t / (2 - t) and a * (2 - t) / t. Windows of words start and end at a bigram of the
+template, windows of lines at lines that a bigram of some template touches, which loses nothing: what shares none only
+lowers Dice. A window that reaches t holds at least b * t / (2 - t) places of the template's bigrams, so other starts
+are passed over. Texts are read once, whole, without a shuffle; templates are a fixed table.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -79,20 +82,61 @@ class Scanner:
     def __init__(self, templates: dict[str, str], threshold: float):
         self.t = threshold
         self.templates = [(name, grams, grams.total()) for name, text in sorted(templates.items()) if (grams := bigrams(text))]
-        self.known = {g for _, grams, _ in self.templates for g in grams}
         self.most = max((n for *_, n in self.templates), default=0) * (2 - threshold) / threshold
-        self.single = {w for g in self.known for w in g}
+        self.follow: dict[str, dict[str, list[int]]] = {}  # first word, second word: numbers of the templates
+        for at, (_, grams, _) in enumerate(self.templates):
+            for a, b in grams:
+                self.follow.setdefault(a, {}).setdefault(b, []).append(at)
+
+    def known(self, words: list[str]) -> list[int]:
+        """Places of the bigrams that some template has."""
+        follow = self.follow
+        return [i for i, w in enumerate(words[:-1]) if w in follow and words[i + 1] in follow[w]]
+
+    def find(self, text: str) -> list[tuple[str, float, int, int]]:
+        """(template, best dice, first line, last line) of every template that a window of words matches."""
+        text = text.lower()
+        words = _WORD.findall(text)
+        places: dict[int, list[int]] = {}
+        for i in self.known(words):
+            for at in self.follow[words[i]][words[i + 1]]:
+                places.setdefault(at, []).append(i)
+        found = []
+        for at, on in sorted(places.items()):
+            name, want, n = self.templates[at]
+            least, most = max(1, math.ceil(n * self.t / (2 - self.t) - 1e-9)), n * (2 - self.t) / self.t
+            best = (0.0, 0, 0)
+            for i in range(len(on) - least + 1):
+                if on[i + least - 1] - on[i] >= most:
+                    continue
+                left, shared = dict(want), 0
+                for j in range(i, len(on)):
+                    size = on[j] - on[i] + 1
+                    if size > most:
+                        break
+                    gram = words[on[j]], words[on[j] + 1]
+                    if left[gram]:
+                        left[gram] -= 1
+                        shared += 1
+                        d = 2 * shared / (size + n)
+                        if d >= self.t and d > best[0]:
+                            best = d, on[i], on[j] + 1
+                if best[0] == 1:
+                    break
+            if best[0]:
+                found.append((name, *best))
+        if not found:
+            return []
+        spots = [m.start() for m in _WORD.finditer(text)]
+        return [(name, d, text.count("\n", 0, spots[a]), text.count("\n", 0, spots[b])) for name, d, a, b in found]
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(template, best dice, first line, last line) of every template matched."""
+        """(template, best dice, first line, last line) of every template that a window of whole lines matches."""
         lines = text.lower().split("\n")
-        hits = []
-        for i, line in enumerate(lines):
-            words = _WORD.findall(line)
-            if sum(w in self.single for w in words) > 1 and not self.known.isdisjoint(zip(words, words[1:], strict=False)):
-                hits.append(i)
+        stream = [(w, i) for i, line in enumerate(lines) for w in _WORD.findall(line)]
+        marked = {stream[k][1] for i in self.known([w for w, _ in stream]) for k in (i, i + 1)}
+        hits = sorted(marked)
         best: dict[str, tuple[float, int, int]] = {}
-        marked = set(hits)
         for i in hits:
             words: list[str] = []
             for j in range(i, len(lines)):
@@ -113,10 +157,11 @@ class Scanner:
         return [(name, *found) for name, found in sorted(best.items())]
 
 
-def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", *, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", *, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, whole_lines: bool = True) -> DataFrame:
     """(key, licence, dice, first_line, last_line): the best window, first on ties, of every template matched.
 
-    Lines count from 0. Null and empty texts match nothing; repeated rows each report; an empty table gives no rows.
+    Windows are of whole lines, or with ``whole_lines=False`` of words: then a statement that shares its lines with
+    other words is found as well, and the lines are those it lies in. Lines count from 0. Null and empty texts match nothing; repeated rows each report; an empty table gives no rows.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
     shared = docs.sparkSession.sparkContext.broadcast((TEMPLATES if templates is None else templates, threshold))
@@ -126,10 +171,11 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", *, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(*shared.value)
+        search = scanner.scan if whole_lines else scanner.find
         for batch in batches:
             at, found = [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
-                for row in scanner.scan(value):
+                for row in search(value):
                     at.append(i)
                     found.append(row)
             if found:
@@ -141,4 +187,4 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", *, t
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, licence, dice, first_line, last_line of every document and licence template matched."""
-    return scan_licences(table(tuned(spark), sf_dir, "documents"))
+    return scan_licences(table(tuned(spark), sf_dir, "documents"), whole_lines=False)

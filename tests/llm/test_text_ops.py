@@ -190,3 +190,37 @@ def test_letters_unknown_to_the_model_get_a_learned_language(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs).collect()}
     assert got[90] == ("de", 0.5) and got[91] == ("und", 0.0) and got[1][0] == "de" and got[2][0] == "en"
+
+
+def test_licences_within_lines_and_across_line_ends(spark):
+    mit = licences.TEMPLATES["MIT"]
+    rng = random.Random(7)
+    around = [prose(rng, 300), prose(rng, 300)]
+    data = [(1, "Intro\nCopyright 2024 Acme. All rights reserved.\nOutro"), (2, "This file is released under the MIT License."), (3, f"{around[0]} {' '.join(mit.split())} {around[1]}"),
+            (4, "Released under the MIT\nLicense."), (5, "Kara\n" + "\n".join("Released under the MIT License.".split())), (6, "Kara lono.\n" + mit.replace("copies", "a copy") + " Lono kara."), (7, "All rights. Reserved seats of the MIT.")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    words = {(r["doc_id"], r["licence"]): (r["dice"], r["first_line"], r["last_line"]) for r in licences.scan_licences(docs, whole_lines=False).collect()}
+    want = {}
+    for key, text in data:
+        stream = [(w, i) for i, line in enumerate(text.lower().split("\n")) for w in licences._WORD.findall(line)]
+        for name, template in licences.TEMPLATES.items():
+            grams = licences.bigrams(template)
+            for i in range(len(stream)) if len(stream) < 100 or name == "MIT" else ():
+                low, high = int(grams.total() * 0.8), int(grams.total() * 1.25) + 3
+                for j in range(i + low, min(len(stream), i + high)):
+                    if stream[i][0] not in template.lower():
+                        continue
+                    part = [w for w, _ in stream[i : j + 1]]
+                    d = licences.dice(licences.Counter(zip(part, part[1:], strict=False)), grams)
+                    if d >= 0.9 and d > want.get((key, name), (0,))[0]:
+                        want[key, name] = (d, stream[i][1], stream[j][1])
+    assert words == want
+    assert words[1, "All-rights-reserved"] == (1.0, 1, 1) and words[2, "MIT-notice"] == (1.0, 0, 0) and words[3, "MIT"] == (1.0, 0, 0) and (7, "All-rights-reserved") in words
+    assert words[4, "MIT-notice"] == (1.0, 0, 1) and words[5, "MIT-notice"] == (1.0, 1, 5) and 0.9 < words[6, "MIT"][0] < 1
+    lines = {(r["doc_id"], r["licence"]): (r["dice"], r["first_line"], r["last_line"]) for r in licences.scan_licences(docs).collect()}
+    assert lines[4, "MIT-notice"] == (1.0, 0, 1) and lines[5, "MIT-notice"] == (1.0, 1, 5) and (2, "MIT-notice") not in lines
+
+
+def test_licence_query_scans_words(spark, tmp_path):
+    spark.createDataFrame([(1, "Copyright 2024 Acme. All rights reserved.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in licences.op10_licences(spark, str(tmp_path)).collect()] == [(1, "All-rights-reserved", 1.0, 0, 0)]
