@@ -181,19 +181,24 @@ def near_links(prints: DataFrame, radius: int = 3, *, blocks: int = 4, match: in
     return cells.mapInArrow(run, "src long, dst long")
 
 
+def _classes(docs: DataFrame, key: str, text: str, radius: int, **kw) -> DataFrame:
+    """(key, fp, root, component_id) of every row; root, the class's fingerprint, tells apart classes of one smallest key."""
+    rows = stored(with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))), "fingerprints")
+    prints = stored(rows.groupBy("fp").agg(F.min("key").alias("least")), "prints")
+    roots = stored(connected_components(near_links(prints, radius, **kw)), "roots")
+    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+    return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, **kw) -> DataFrame:
     """(key, fp, component_id) of every row; component_id is the smallest key reachable over links.
 
     Null and empty texts have fingerprint 0 and are linked like any other. A null key stays null and is never a
     component's id unless no other key is reachable. Repeated rows get a row each. An empty table gives none.
     """
-    rows = stored(with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))), "fingerprints")
-    prints = stored(rows.groupBy("fp").agg(F.min("key").alias("least")), "prints")
-    roots = stored(connected_components(near_links(prints, radius, **kw)), "roots")
-    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(least, "root").select("fp", "component_id"), "classes")
-    return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return _classes(docs, key, text, radius, **kw).select(key, "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,11 +211,12 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each near-duplicate class stays: the one of smallest doc_id.
 
     Rows without a doc_id can't be told from each other by it; of a class in which no row has one, and of repeated
-    doc_ids within a class, one row each stays, by fingerprint and then by text hash. Columns stay as they are.
+    doc_ids within a class, one row each stays, by fingerprint and then by text hash. A doc_id that several texts carry
+    stays once in each class whose smallest it is. Columns stay as they are.
     """
     tuned(spark)
     names = docs.columns
-    found = near_duplicates(docs.select("doc_id", "text"))
+    found = _classes(docs.select("doc_id", "text"), "doc_id", "text", 3)
     gone = found.where("not (doc_id <=> component_id)").select("doc_id")
     twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
     leave = sized(gone.union(twice).distinct().select(F.col("doc_id").alias("_gone")), "leave")
@@ -219,14 +225,7 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         return sole
     again = twice.select(F.col("doc_id").alias("_twice"))
     rows = with_fingerprint(docs.join(again, docs["doc_id"].eqNullSafe(again["_twice"]), "left_semi").withColumn("_text", F.col("text")), "_text", "_fp")
-    classes = found.select("fp", "component_id").distinct().withColumnsRenamed({"fp": "_fp", "component_id": "_component"})
-    best = rows.join(classes, "_fp").where("doc_id <=> _component").withColumn("_class", F.col("_component"))
-    nameless = best.where("_class is null").join(_roots_of_null(found), "_fp").dropDuplicates(["_root"])
-    return sole.unionByName(best.where("_class is not null").dropDuplicates(["_class"]).select(*names)).unionByName(nameless.select(*names)).select(*names)
-
-
-def _roots_of_null(found: DataFrame) -> DataFrame:
-    """(_fp, _root) of the fingerprints in classes without any doc_id, linked again among themselves."""
-    bare = found.where("component_id is null").select("fp").distinct()
-    roots = connected_components(near_links(bare)).withColumnsRenamed({"node": "fp"})
-    return bare.join(roots, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("_root"))
+    classes = found.select("fp", "root", "component_id").distinct().withColumnsRenamed({"fp": "_fp", "root": "_root", "component_id": "_component"})
+    best = rows.join(classes, "_fp").where("doc_id <=> _component")
+    first = best.groupBy("_root").agg(F.min_by(F.struct(*[best[c] for c in names]), F.struct("_fp", F.xxhash64(best["text"]))).alias("_row"))
+    return sole.unionByName(first.select("_row.*")).select(*names)

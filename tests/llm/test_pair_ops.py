@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.llm import ann, lines, mixing, sharding, simhash
 from lectern.llm.components import connected_components
 
-from .conftest import DOCS, corpus
+from .conftest import DOCS, corpus, prose
 
 
 def roots(nodes, links):
@@ -284,3 +284,12 @@ def test_pipeline_runs_whole(spark, tmp_path):
     spark.createDataFrame([(1, rows[8][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert 8 not in got and 82 not in got and not {11, 12, 13} & set(got) and max(got.count(i) for i in set(got)) <= 2
+
+
+def test_simhash_stage_tells_apart_texts_of_one_id(spark):
+    rng = random.Random(21)
+    texts = [prose(rng, 60) for _ in range(4)]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (8, texts[1]), (7, texts[2]), (9, texts[3]), (3, texts[2]), (None, "Kara lono."), (None, "Kara lono."), (None, "Mivi tuse sera.")]
+    kept = simhash.stage_simhash(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    want = [(7, texts[0]), (7, texts[1]), (3, texts[2]), (9, texts[3]), (None, "Kara lono."), (None, "Mivi tuse sera.")]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
