@@ -5,7 +5,8 @@ is indexed. The rows of the inverted lists are laid out in cells of bounded size
 spans several, by hash of the id. A query visits the cells of its ``probe`` share of lists; there it ranks the rows by
 asymmetric distance tables, reranks a shortlist with exact inner products in double precision, and leaves its best k.
 Cells' queries are bounded too (``cell_queries``; more are dealt to copies of the cell). Equal vectors count once in a
-shortlist and stand for their k + 1 smallest ids, so a vector that a third of all rows share crowds nothing out.
+shortlist and stand for their k + 1 smallest ids, so a vector that a third of all rows share crowds nothing out. Rows
+equal in id and vector are one row from the start; an id with several vectors is listed once, at its best score.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def top_in_cell(index: IvfPq, q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, at: np.ndarray, codes: np.ndarray, k: int, share: float, shortlist: int) -> tuple[list, list]:
-    """For each query the ids and exact scores of its best k rows of the cell, best first, ties to the smaller id."""
+    """For each query the distinct ids and exact scores of its best k rows of the cell, best first, ties to the smaller id."""
     order = np.argsort(xid, kind="stable")
     x, xid, at, codes = x[order], xid[order], at[order], codes[order]
     _, first, group = np.unique(x, axis=0, return_index=True, return_inverse=True)
@@ -99,25 +100,39 @@ def top_in_cell(index: IvfPq, q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid
     ids[group[by][kept], place[kept]] = xid[by][kept]
     filled = np.minimum(np.diff(bounds), wide)
     x, at, codes = x[first], at[first], codes[first]
+    several = bool((xid[1:] == xid[:-1]).any())  # one id under different vectors
     out_ids, out_scores = [], []
     for lo in range(0, len(q), 256):
         part, own = q[lo : lo + 256], qid[lo : lo + 256]
         rough = np.where(index.probes(part, share)[:, at], index.approximate(part, at, codes), -np.inf)
         n = min(max(shortlist, 4 * k), rough.shape[1])
-        pick = np.argpartition(-rough, n - 1, axis=1)[:, :n] if n < rough.shape[1] else np.broadcast_to(np.arange(n), rough.shape).copy()
-        seen = np.take_along_axis(rough, pick, axis=1) > -np.inf
-        exact = np.einsum("qrd,qd->qr", x[pick], part)
-        cand = ids[pick].reshape(len(part), -1)
-        scores = np.repeat(np.where(seen, exact, -np.inf), wide, axis=1)
-        scores[cand == own[:, None]] = -np.inf
-        absent = np.arange(wide) >= filled[pick][:, :, None]
-        scores[absent.reshape(scores.shape)] = -np.inf
-        best = np.lexsort((cand, -scores), axis=-1)[:, :k]
-        cand, scores = np.take_along_axis(cand, best, axis=1), np.take_along_axis(scores, best, axis=1)
-        for c, s in zip(cand, scores, strict=True):
-            good = s > -np.inf
-            out_ids.append(c[good])
-            out_scores.append(s[good])
+        todo = np.arange(len(part))
+        got: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        while len(todo):
+            rows, short = rough[todo], []
+            pick = np.argpartition(-rows, n - 1, axis=1)[:, :n] if n < rows.shape[1] else np.broadcast_to(np.arange(n), rows.shape).copy()
+            seen = np.take_along_axis(rows, pick, axis=1) > -np.inf
+            exact = np.einsum("qrd,qd->qr", x[pick], part[todo])
+            cand = ids[pick].reshape(len(todo), -1)
+            scores = np.repeat(np.where(seen, exact, -np.inf), wide, axis=1)
+            scores[cand == own[todo, None]] = -np.inf
+            absent = np.arange(wide) >= filled[pick][:, :, None]
+            scores[absent.reshape(scores.shape)] = -np.inf
+            best = np.lexsort((cand, -scores), axis=-1)[:, : None if several else k]
+            cand, scores = np.take_along_axis(cand, best, axis=1), np.take_along_axis(scores, best, axis=1)
+            for i, c, s, full in zip(todo.tolist(), cand, scores, seen.all(axis=1), strict=True):
+                good = s > -np.inf
+                c, s = c[good], s[good]
+                if several:
+                    best_of = np.sort(np.unique(c, return_index=True)[1])[:k]
+                    c, s = c[best_of], s[best_of]
+                    if len(c) < k and full and n < rough.shape[1]:  # the vectors of few ids fill the shortlist
+                        short.append(i)
+                        continue
+                got[i] = c, s
+            todo, n = np.array(short, int), min(2 * n, rough.shape[1])
+        out_ids += [got[i][0] for i in range(len(part))]
+        out_scores += [got[i][1] for i in range(len(part))]
     return out_ids, out_scores
 
 
@@ -129,8 +144,8 @@ def nearest(
 
     ``queries`` (same columns; default: all rows) never meet the row of their own key. Vectors that are null, zero, of
     another length than most, or that hold a null or non-finite component, and rows without a key take no part.
-    Repeated rows count once; of different vectors under one key a query takes the smallest. Fewer rows than k give
-    fewer ranks; an empty table gives none.
+    Repeated rows count once; of different vectors under one key a query takes the smallest, and a neighbour counts
+    once with its best score. Fewer keys than k give fewer ranks; an empty table gives none.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -140,13 +155,13 @@ def nearest(
         return df.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
 
     rows = clean(vectors)
-    shape = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    shape = rows.groupBy(F.size("v").alias("dim")).agg(F.count_distinct(F.xxhash64("id", "v")).alias("n")).orderBy(F.desc("n"), "dim").first()
     if shape is None:
         return spark.createDataFrame([], schema).withColumnRenamed("vec_id", key)
     dim, total = shape["dim"], shape["n"]
     rows = rows.where(F.size("v") == dim)
     asked = clean(vectors if queries is None else queries).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-    sample = rows.where(hash_fraction("id", seed=3) < min(1.0, sample_rows / total)).select("id", "v").toArrow().sort_by("id")
+    sample = rows.where(hash_fraction("id", seed=3) < min(1.0, sample_rows / total)).dropDuplicates(["id", "v"]).select("id", "v").toArrow().sort_by("id")
     fitted = _matrix(sample.column("v")) if sample.num_rows else _matrix(rows.select("id", "v").limit(64).toArrow().column("v"))
     index = IvfPq.fit(fitted, lists or max(16, min(4096, round(math.sqrt(total)))))
     shared = spark.sparkContext.broadcast(index)
@@ -159,7 +174,7 @@ def nearest(
             codes = own.encode(x, at) if len(x) else np.zeros((0, len(own.codebooks)), np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "v", "list", "codes"])
 
-    indexed = stored(rows.mapInArrow(place, "id long, v array<double>, list int, codes binary"), "index")
+    indexed = stored(rows.dropDuplicates(["id", "v"]).mapInArrow(place, "id long, v array<double>, list int, codes binary"), "index")
     counts = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a list
     size = max(256, min(cell_rows, total // 48))
     begin, chunks, cells, room = {}, {}, 0, 0
@@ -211,7 +226,9 @@ def nearest(
 
     found = visits.groupBy("cell", "part").cogroup(laid.groupBy("cell", "part")).applyInArrow(search, "query_id long, ids array<long>, scores array<double>")
     pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("scores", "ids"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("i")))))
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(pairs), 1, k).alias("best"))
+    none = F.array().cast("array<struct<s:double,i:long>>")
+    once = lambda kept, x: F.when((F.size(kept) >= k) | F.exists(kept, lambda y: y["i"] == x["i"]), kept).otherwise(F.array_append(kept, x))
+    best = found.groupBy("query_id").agg(F.array_sort(pairs).alias("all")).select("query_id", F.aggregate("all", none, once).alias("best"))
     out = best.select("query_id", F.posexplode("best").alias("rank", "b"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.i").alias(key), (-F.col("b.s")).alias("score"))
 

@@ -293,3 +293,24 @@ def test_simhash_stage_tells_apart_texts_of_one_id(spark):
     kept = simhash.stage_simhash(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     want = [(7, texts[0]), (7, texts[1]), (3, texts[2]), (9, texts[3]), (None, "Kara lono."), (None, "Mivi tuse sera.")]
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("wrong", [0, 2000])
+def test_neighbours_of_repeated_keys_count_once(spark, wrong):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(300, 16))
+    x[[40, 60, 61]] = x[5] = 3 * x[20]  # 5, 40, 60 and 61 share one vector that is nearest to 20
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)]
+    hot = [vectors[5]] * 200 + [vectors[40]] * 30 + [(80, (3 * x[100] + 0.01 * rng.normal(size=16)).tolist()) for _ in range(400)] + [(999, [1.0] * 3)] * wrong
+    df = spark.createDataFrame(vectors + hot, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id in (20, 40, 100)"), lists=4, probe=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got.keys() == {20, 40, 100}
+    for q, found in got.items():
+        best = {}
+        for i, v in vectors + hot[:630]:
+            if i != q:
+                best[i] = max(best.get(i, -math.inf), float(np.dot(v, x[q])))
+        want = sorted(best.items(), key=lambda p: (-round(p[1], 9), p[0]))[:20]
+        assert [a for a, _ in found] == [a for a, _ in want] and [s for _, s in found] == pytest.approx([s for _, s in want])
