@@ -4,7 +4,8 @@ A text is cut into sentences: after a word that ends in one of ``.!?`` with no o
 word is shouting, not a sentence), at a line feed, and after ``longest`` words (so a passage written as one sentence
 still has several). Every run of ``run`` consecutive sentences with at
 least ``min_words`` words is hashed to 128 bits. Runs are joined globally; the first occurrence of a run, by
-(doc_id, text hash, place), keeps its sentences and every sentence covered by another occurrence is removed.
+(doc_id, text hash, place), keeps its sentences and every sentence covered by another occurrence is removed. Shorter
+runs are left out, as in the query's SQL, or with ``extend`` go on by further sentences until they have so many words.
 
 Counts and firsts are pre-aggregated before the shuffle, and the join back to occurrences has plain exchanges on both
 sides, so a passage that a third of all texts share is split at run time.
@@ -46,8 +47,8 @@ def sentences(buf: np.ndarray, offsets: np.ndarray, longest: int) -> tuple[np.nd
     return starts, ends, owner, np.append(np.flatnonzero(place % longest == 0), len(starts))
 
 
-def _runs(docs: DataFrame, run: int, min_words: int, longest: int) -> DataFrame:
-    """(h1, h2, key, k, pos) of every qualifying run; k tells texts of one key apart."""
+def _runs(docs: DataFrame, run: int, min_words: int, longest: int, extend: bool) -> DataFrame:
+    """(h1, h2, key, k, pos, n) of every qualifying run of n sentences; k tells texts of one key apart."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offsets in slices(batches, "text"):
@@ -56,38 +57,43 @@ def _runs(docs: DataFrame, run: int, min_words: int, longest: int) -> DataFrame:
             if n < run:
                 continue
             at = np.arange(n - run + 1)
-            words = first[at + run] - first[at]
-            at = at[(owner[first[at]] == owner[first[at + run] - 1]) & (words >= min_words)]
+            till = at + run
+            if extend:
+                till = np.maximum(till, np.searchsorted(first, first[at] + min_words))
+                at, till = at[till <= n], till[till <= n]
+            fits = (owner[first[at]] == owner[first[till] - 1]) & (first[till] - first[at] >= min_words)
+            at, till = at[fits], till[fits]
             if not len(at):
                 continue
             out = []
             for which in (0, 1):
                 marks = spans_of(running(spans_of(running(buf, which), starts, ends, which), 1 - which), first[:-1], first[1:], 1 - which)
-                out.append(spans_of(running(marks, which), at, at + run, which).view(np.int64))
+                out.append(spans_of(running(marks, which), at, till, which).view(np.int64))
             doc = owner[first[at]]
             base = np.searchsorted(owner[first[:-1]], np.arange(len(offsets) - 1))  # sentence number of a text's first
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0]), pa.array(out[1]), part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array((at - base[doc]).astype(np.int32))],
-                ["h1", "h2", "key", "k", "pos"])
+            columns = [pa.array(out[0]), pa.array(out[1]), part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array((at - base[doc]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array((till - at).astype(np.int32))] if extend else []), schema.fieldNames())
 
-    schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), docs.schema["key"], T.StructField("k", T.LongType()), T.StructField("pos", T.IntegerType())])
+    fields = [T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), docs.schema["key"], T.StructField("k", T.LongType()), T.StructField("pos", T.IntegerType())]
+    schema = T.StructType(fields + ([T.StructField("n", T.IntegerType())] if extend else []))
     return docs.select("key", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("k"), "text").mapInArrow(work, schema)
 
 
-def repeated_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", *, run: int = RUN, min_words: int = MIN_WORDS, longest: int = LONGEST) -> DataFrame:
+def repeated_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", *, run: int = RUN, min_words: int = MIN_WORDS, longest: int = LONGEST, extend: bool = False) -> DataFrame:
     """(key, k, removed array<int>): sentence numbers from 0 that non-first runs cover, for texts that have any.
 
     ``k`` is xxhash64 of the text. Rows equal in key and text count as one document. Null and empty texts, and those
-    of fewer sentences than a run, have no runs. A null key is a key of its own and sorts first.
+    of fewer sentences than a run, have no runs. ``extend`` lengthens a run of fewer than ``min_words`` words instead of leaving it out. A null key is a key of its own and sorts first.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
-    spans = _runs(rows, run, min_words, longest)
+    spans = _runs(rows, run, min_words, longest, extend)
     here = F.struct("key", "k", "pos")
     firsts = spans.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("not (first <=> last)").drop("last")
     firsts = stored(firsts, "firsts").withColumnsRenamed({"h1": "g1", "h2": "g2"})
     later = spans.join(firsts, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(~F.struct("key", "k", "pos").eqNullSafe(F.col("first")))
-    covers = later.select("key", "k", "pos").groupBy("key", "k").agg(F.collect_set("pos").alias("at"))
-    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (run - 1))))))
+    covers = later.groupBy("key", "k").agg(F.collect_set(F.struct("pos", "n") if extend else F.col("pos")).alias("at"))
+    covered = lambda p: F.sequence(p["pos"], p["pos"] + p["n"] - 1) if extend else F.sequence(p, p + (run - 1))
+    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform("at", covered))))
     return covers.select(F.col("key").alias(key), "k", numbers.alias("removed"))
 
 

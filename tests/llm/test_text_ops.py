@@ -224,3 +224,11 @@ def test_licences_within_lines_and_across_line_ends(spark):
 def test_licence_query_scans_words(spark, tmp_path):
     spark.createDataFrame([(1, "Copyright 2024 Acme. All rights reserved.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in licences.op10_licences(spark, str(tmp_path)).collect()] == [(1, "All-rights-reserved", 1.0, 0, 0)]
+
+
+def test_short_runs_are_extended_on_request(spark):
+    menu = "\n".join(f"mi{i} no{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "Own start\n" + menu), (2, menu + "\nown end here"), (3, "a b\nc d\ne f")], "doc_id long, text string")
+    got = {r["doc_id"]: r["removed"] for r in spans.repeated_sentences(docs, extend=True).collect()}
+    assert got == {2: list(range(40))} and spans.repeated_sentences(docs).count() == 0
+    assert {r["doc_id"]: r["text"] for r in spans.remove_repeats(docs, extend=True).collect()}[2] == "own end here"
