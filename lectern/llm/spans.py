@@ -7,6 +7,11 @@ least ``min_words`` words is hashed to 128 bits. Runs are joined globally; the f
 (doc_id, text hash, place), keeps its sentences and every sentence covered by another occurrence is removed. Shorter
 runs are left out, as in the query's SQL, or with ``extend`` go on by further sentences until they have so many words.
 
+With ``within`` a text is instead cut by content alone: after the same stops, and before every word of least hash among
+some ``within`` consecutive words, so cuts are at most so far apart and equal words are cut alike wherever they begin.
+With ``within=8`` and ``extend`` any 50 repeated words hold a whole run: cuts 7 words from either end depend on these
+words alone, the first is at most 7 words later, and the run from it ends 24 words after it at most.
+
 Counts and firsts are pre-aggregated before the shuffle, and the join back to occurrences has plain exchanges on both
 sides, so a passage that a third of all texts share is split at run time.
 """
@@ -32,7 +37,7 @@ _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".!?,;:"]] = True
 
 
-def sentences(buf: np.ndarray, offsets: np.ndarray, longest: int) -> tuple[np.ndarray, ...]:
+def sentences(buf: np.ndarray, offsets: np.ndarray, longest: int, within: int = 0) -> tuple[np.ndarray, ...]:
     """Words (starts, ends, text number) and the first word of each sentence, one past the last appended."""
     starts, ends, owner = word_spans(buf, offsets, _IS_WORD)
     if not len(starts):
@@ -41,18 +46,25 @@ def sentences(buf: np.ndarray, offsets: np.ndarray, longest: int) -> tuple[np.nd
     opens = np.ones(len(starts), bool)
     last = ends[:-1] - 1
     stop = _STOP[buf[last]] & (last > starts[:-1]) & ~_MARK[buf[np.maximum(last - 1, 0)]]
-    opens[1:] = (owner[1:] != owner[:-1]) | stop | (feeds[starts[1:]] != feeds[ends[:-1]])
+    opens[1:] = (owner[1:] != owner[:-1]) | stop
+    if within:
+        words = spans_of(running(buf, 0), starts, ends, 0)
+        if len(words) >= within:
+            least = np.lib.stride_tricks.sliding_window_view(words, within).argmin(axis=1) + np.arange(len(words) - within + 1)
+            opens[least[owner[: len(least)] == owner[within - 1 :]]] = True
+        return starts, ends, owner, np.append(np.flatnonzero(opens), len(starts))
+    opens[1:] |= feeds[starts[1:]] != feeds[ends[:-1]]
     at = np.flatnonzero(opens)
     place = np.arange(len(starts)) - np.repeat(at, np.diff(np.append(at, len(starts))))
     return starts, ends, owner, np.append(np.flatnonzero(place % longest == 0), len(starts))
 
 
-def _runs(docs: DataFrame, run: int, min_words: int, longest: int, extend: bool) -> DataFrame:
+def _runs(docs: DataFrame, run: int, min_words: int, longest: int, extend: bool, within: int) -> DataFrame:
     """(h1, h2, key, k, pos, n) of every qualifying run of n sentences; k tells texts of one key apart."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offsets in slices(batches, "text"):
-            starts, ends, owner, first = sentences(buf, offsets, longest)
+            starts, ends, owner, first = sentences(buf, offsets, longest, within)
             n = len(first) - 1
             if n < run:
                 continue
@@ -79,14 +91,15 @@ def _runs(docs: DataFrame, run: int, min_words: int, longest: int, extend: bool)
     return docs.select("key", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("k"), "text").mapInArrow(work, schema)
 
 
-def repeated_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", *, run: int = RUN, min_words: int = MIN_WORDS, longest: int = LONGEST, extend: bool = False) -> DataFrame:
+def repeated_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", *, run: int = RUN, min_words: int = MIN_WORDS, longest: int = LONGEST, extend: bool = False, within: int = 0) -> DataFrame:
     """(key, k, removed array<int>): sentence numbers from 0 that non-first runs cover, for texts that have any.
 
     ``k`` is xxhash64 of the text. Rows equal in key and text count as one document. Null and empty texts, and those
-    of fewer sentences than a run, have no runs. ``extend`` lengthens a run of fewer than ``min_words`` words instead of leaving it out. A null key is a key of its own and sorts first.
+    of fewer sentences than a run, have no runs. ``extend`` lengthens a run of fewer than ``min_words`` words instead of leaving it out.
+    ``within`` above 0 cuts by content instead of by line feeds and ``longest``; numbers then count those pieces. A null key is a key of its own and sorts first.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
-    spans = _runs(rows, run, min_words, longest, extend)
+    spans = _runs(rows, run, min_words, longest, extend, within)
     here = F.struct("key", "k", "pos")
     firsts = spans.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("not (first <=> last)").drop("last")
     firsts = stored(firsts, "firsts").withColumnsRenamed({"h1": "g1", "h2": "g2"})
@@ -100,7 +113,7 @@ def repeated_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """``docs`` with removed sentences cut out of the text (each with the blanks up to the next); nulls stay null."""
     found = repeated_sentences(docs, key, text, **kw).withColumnsRenamed({key: "_id", "k": "_k", "removed": "_removed"})
-    names, longest = docs.columns, kw.get("longest", LONGEST)
+    names, longest, within = docs.columns, kw.get("longest", LONGEST), kw.get("within", 0)
     joined = docs.join(found, docs[key].eqNullSafe(found["_id"]) & (F.xxhash64(docs[text]) == found["_k"]), "left").select(*names, "_removed")
     at = names.index(text)
 
@@ -110,7 +123,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **k
             for i, gone in enumerate(batch.column(len(names)).to_pylist()):
                 if gone and texts[i]:
                     raw = np.frombuffer(texts[i].encode(), np.uint8)
-                    starts, _, _, first = sentences(raw, np.array([0, len(raw)]), longest)
+                    starts, _, _, first = sentences(raw, np.array([0, len(raw)]), longest, within)
                     bounds = np.append(starts[first[:-1]], len(raw))
                     keep = np.ones(len(raw), bool)
                     for s in gone:

@@ -232,3 +232,20 @@ def test_short_runs_are_extended_on_request(spark):
     got = {r["doc_id"]: r["removed"] for r in spans.repeated_sentences(docs, extend=True).collect()}
     assert got == {2: list(range(40))} and spans.repeated_sentences(docs).count() == 0
     assert {r["doc_id"]: r["text"] for r in spans.remove_repeats(docs, extend=True).collect()}[2] == "own end here"
+
+
+def test_passages_are_found_wherever_they_begin(spark):
+    rng = random.Random(31)
+    rows, planted = [], {}
+    for i in range(60):
+        passage = [f"w{rng.randrange(10**6)}" + (rng.choice(["", "", "", ",", "."]) if i % 2 else "") for _ in range(50)]
+        for key in (2 * i, 2 * i + 1):
+            before, after = ([f"x{rng.randrange(10**9)}" for _ in range(rng.randint(0, 45))] for _ in range(2))
+            text = " ".join(before + passage + after)
+            rows.append((key, text.replace(" ", "\n", rng.randrange(20))))
+        planted[2 * i + 1] = (set(passage), set(before + after))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: set(r["text"].split()) for r in spans.remove_repeats(docs, extend=True, within=8).collect()}
+    assert all(len(passage - got[key]) >= 12 and own <= got[key] for key, (passage, own) in planted.items())
+    assert all(got[key] == set(text.split()) for key, text in rows if key % 2 == 0)
+    assert spans.repeated_sentences(docs).count() < 30
