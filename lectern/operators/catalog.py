@@ -42,7 +42,7 @@ def done_flag(videos: Column, *outputs: Column) -> Column:
 
 def prefix_map(rows: DataFrame, mapping: DataFrame, name: str, prefix: str) -> DataFrame:
     """Rows with the mapping whose prefix their name starts with; the mapping is a short configured list."""
-    return rows.join(F.broadcast(mapping.limit(10_000)), F.col(name).startswith(F.col(prefix)))
+    return rows.join(F.broadcast(mapping), F.col(name).startswith(F.col(prefix)))
 
 
 def backfill(videos: DataFrame, audio: DataFrame, on: str) -> DataFrame:

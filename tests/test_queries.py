@@ -58,3 +58,11 @@ def test_plan_shapes(spark):
     plan = lambda name: q[name](spark, SF)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan("q_keep_first") and "TakeOrderedAndProject" in plan("q_topk")
     assert "BroadcastNestedLoopJoin" not in plan("q_or_anti") and "PushedFilters: [IsNotNull(l_linenumber), LessThan(l_linenumber,3)]" in plan("q_first_segments")
+
+
+def test_prefix_map_keeps_a_long_mapping(spark):
+    from lectern.operators.catalog import prefix_map
+
+    mapping = spark.range(10_050).selectExpr("concat('p', id, '-') AS prefix", "id AS folder")
+    rows = mapping.selectExpr("concat(prefix, 'x') AS name")
+    assert prefix_map(rows.where("substr(name, 1, 4) = 'p100'"), mapping, "name", "prefix").count() == rows.where("substr(name, 1, 4) = 'p100'").count()
