@@ -1,27 +1,40 @@
 """Approximate nearest neighbours: inverted file with product-quantised residuals, exact rerank.
 
 Coarse centroids and the residual codebooks are fitted on a bounded sample (``sample_rows``, drawn by hash); every row
-is indexed. The rows of the inverted lists are laid out in cells of bounded size: short lists share a cell, a long list
-spans several, by hash of the id. A query visits the cells of its ``probe`` share of lists; there it ranks the rows by
-asymmetric distance tables, reranks a shortlist with exact inner products in double precision, and leaves its best k.
-Cells' queries are bounded too (``cell_queries``; more are dealt to copies of the cell). Equal vectors count once in a
-shortlist and stand for their k + 1 smallest ids, so a vector that a third of all rows share crowds nothing out. Rows
-equal in id and vector are one row from the start; an id with several vectors is listed once, at its best score.
+is indexed. A list is described by its size and by the variance of its residuals, so that the number of its rows that
+beat a score can be foretold from the normal law. A query visits lists in the order of the neighbours expected in them,
+until those it would miss are fewer than 1 - ``recall`` of k. What counts as a neighbour is told by the score that k rows
+are expected to reach, or by the query's scores in a pilot sample if those are higher. Vectors that form clusters thus
+cost a few lists each; vectors without structure cost as many lists as the recall needs.
+
+Lists are laid out in cells of bounded size: short lists share a cell, a long one spans several, by hash of the vector.
+Queries travel to the cells; a cell that more than ``cell_queries`` queries visit is dealt to as many copies as it needs.
+In a list the asymmetric distance tables tell which rows may reach the query's floor (a score that clearly more than k
+rows of the pilot's scale reach); those, or a shortlist of the best where they are many, get exact inner products in
+double precision. Equal vectors count once in a shortlist and stand for their
+k + 1 smallest ids, so a vector that a third of all rows share crowds nothing out and is thinned to those ids before any
+shuffle. Rows equal in id and vector are one row; an id with several vectors is listed once, at its best score.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hash_fraction, stored, table
+from .common import hash_fraction, sized, stored, table
 
 SAMPLE_ROWS, SUBSPACES, CODES = 16_384, 16, 64
+#: Sampled rows that tell a query which scores to expect; least rows of a shortlist, and rows for each neighbour expected.
+PILOT_ROWS, SHORT_LEAST, SHORT_EACH = 8192, 16, 6
+#: Standard errors of the quantiser below a floor that a row's estimate may lie.
+SLACK = 2.5
 
 
 def _kmeans(x: np.ndarray, k: int, steps: int, rng: np.random.Generator) -> np.ndarray:
@@ -29,52 +42,110 @@ def _kmeans(x: np.ndarray, k: int, steps: int, rng: np.random.Generator) -> np.n
     distinct = np.unique(x, axis=0)
     c = distinct[rng.choice(len(distinct), min(k, len(distinct)), replace=False)].copy()
     for _ in range(steps):
-        near = np.argmax(x @ c.T - 0.5 * (c * c).sum(axis=1), axis=1)
+        near = assign(x, c)
         n = np.bincount(near, minlength=len(c))
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
-        c[n > 0] = total[n > 0] / n[n > 0, None]
+        order = np.argsort(near, kind="stable")
+        c[n > 0] = np.add.reduceat(x[order], (np.cumsum(n) - n)[n > 0], axis=0) / n[n > 0, None]
     return c
 
 
+def _upper_tail(z: np.ndarray) -> np.ndarray:
+    """Probability that a standard normal number exceeds ``z`` (a polynomial good to seven digits)."""
+    a = np.abs(z)
+    t = 1 / (1 + 0.2316419 * a)
+    p = np.exp(-0.5 * a * a) * 0.3989422804 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return np.where(z >= 0, p, 1 - p)
+
+
 @dataclass(frozen=True)
 class IvfPq:
     coarse: np.ndarray  # (lists, dim)
     codebooks: list[np.ndarray]  # SUBSPACES arrays (codes, width)
     bounds: np.ndarray  # column bounds of the subspaces
+    shape: np.ndarray  # (dim, dim) covariance of the residuals, of mean variance 1
+    pilot: np.ndarray  # (rows, dim) sampled rows
+    scale: np.ndarray  # (lists,) root mean square of the list's residuals; codes are of residuals divided by it
+    noise: float  # standard error of an estimated product with a query of length 1, for scale 1
 
     @classmethod
     def fit(cls, sample: np.ndarray, lists: int, seed: int = 5) -> IvfPq:
         rng = np.random.default_rng(seed)
-        coarse = _kmeans(sample, lists, 8, rng)
-        residual = sample - coarse[assign(sample, coarse)]
-        bounds = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).round().astype(int)
+        coarse = _kmeans(sample.astype(np.float32), lists, 8, rng).astype(np.float64)
+        at, dim = assign(sample, coarse), sample.shape[1]
+        residual = (sample - coarse[at]).astype(np.float32)
+        n, square = np.bincount(at, minlength=len(coarse)), np.bincount(at, np.einsum("ij,ij->i", residual, residual), len(coarse)) / dim
+        whole = float(square.sum()) / len(sample)
+        scale = np.sqrt(np.where(square > 0, square / np.maximum(n, 1), whole or 1.0)).astype(np.float32)
+        residual /= scale[at][:, None]
+        bounds = np.linspace(0, dim, min(SUBSPACES, dim) + 1).round().astype(int)
         books = [_kmeans(residual[:, a:b], CODES, 6, rng) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return cls(coarse, books, bounds)
-
-    def encode(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        residual = x - self.coarse[at]
-        return np.stack([assign(residual[:, a:b], book) for a, b, book in zip(self.bounds[:-1], self.bounds[1:], self.codebooks, strict=True)], axis=1).astype(np.uint8)
-
-    def approximate(self, queries: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Inner products of queries and coded rows from one table of products a query and subspace."""
-        out = (queries @ self.coarse.T)[:, at]
-        for s, (a, b) in enumerate(zip(self.bounds[:-1], self.bounds[1:], strict=True)):
-            out += (queries[:, a:b] @ self.codebooks[s].T)[:, codes[:, s]]
-        return out
-
-    def probes(self, queries: np.ndarray, share: float) -> np.ndarray:
-        """Boolean (queries, lists): the lists that each query visits, by inner product with the centroid."""
-        n = min(len(self.coarse), max(8, math.ceil(share * len(self.coarse))))
-        best = np.argsort(-(queries @ self.coarse.T), axis=1, kind="stable")[:, :n]
-        out = np.zeros((len(queries), len(self.coarse)), bool)
-        np.put_along_axis(out, best, True, axis=1)
-        return out
+        error = sum(float(np.square(residual[:, a:b] - book[assign(residual[:, a:b], book)]).sum()) for a, b, book in zip(bounds[:-1], bounds[1:], books, strict=True))
+        shape = (residual.T @ residual).astype(np.float64)
+        trace = float(np.trace(shape))
+        shape = shape * (dim / trace) if trace > 0 else np.eye(dim)
+        pilot = sample[rng.choice(len(sample), min(len(sample), PILOT_ROWS), replace=False)].astype(np.float32)
+        return cls(coarse, books, bounds, shape, pilot, scale, math.sqrt(error / residual.size))
+
+    def encode(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the residuals, and the mean squares of the residuals."""
+        residual = (x - self.coarse[at]).astype(np.float32)
+        square = np.einsum("ij,ij->i", residual, residual) / residual.shape[1]
+        residual /= self.scale[at][:, None]
+        codes = np.stack([assign(residual[:, a:b], book) for a, b, book in zip(self.bounds[:-1], self.bounds[1:], self.codebooks, strict=True)], axis=1).astype(np.uint8)
+        return codes, square
+
+    def tables(self, queries: np.ndarray) -> list[np.ndarray]:
+        """For each subspace the products of its codes and the queries: (codes, queries)."""
+        return [book @ queries[:, a:b].T.astype(np.float32) for a, b, book in zip(self.bounds[:-1], self.bounds[1:], self.codebooks, strict=True)]
+
+    def expected(self, q: np.ndarray, sizes: np.ndarray, spread: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, lists): the rows of each list expected to be among a query's k nearest; each query's floor."""
+        mean = q @ self.coarse.T
+        sd = np.sqrt(np.maximum(np.einsum("qd,de,qe->q", q, self.shape, q)[:, None] * spread[None, :], 1e-18))
+        low, high = (mean - 8 * sd).min(axis=1), (mean + 8 * sd).max(axis=1)
+        for _ in range(24):
+            t = (low + high) / 2
+            many = (sizes * _upper_tail((t[:, None] - mean) / sd)).sum(axis=1) > k
+            low, high = np.where(many, t, low), np.where(many, high, t)
+        # The score of the pilot's row at about the k-th place, with some room; the query itself may be in the pilot.
+        near, far = (math.ceil(a * k * len(self.pilot) / max(1, sizes.sum())) + 2 for a in (1.5, 3))
+        floor = np.full(len(q), -np.inf)
+        if far < len(self.pilot):
+            seen = np.partition(-(q.astype(np.float32) @ self.pilot.T), (near, far), axis=1)
+            low, floor = np.maximum(low, -seen[:, near]), -seen[:, far].astype(np.float64)
+        return sizes * _upper_tail((low[:, None] - mean) / sd), floor
+
+    def probes(self, q: np.ndarray, sizes: np.ndarray, spread: np.ndarray, k: int, recall: float, share: float | None) -> tuple[np.ndarray, ...]:
+        """Query number, list, shortlist and floor of every visit.
+
+        The first lists of a query, that hold k + 1 rows together if there are so many, have no floor: they make sure
+        that k rows are found.
+        """
+        out: list[tuple[np.ndarray, ...]] = []
+        lists = len(self.coarse)
+        block = max(1, (1 << 21) // max(lists, len(self.pilot) // 4))
+        for lo in range(0, len(q), block):
+            part = q[lo : lo + block]
+            e, floor = self.expected(part, sizes, spread, k)
+            order = np.argsort(-(e if share is None else part @ self.coarse.T), axis=1, kind="stable")
+            e, n = np.take_along_axis(e, order, axis=1), sizes[order]
+            base = np.cumsum(n, axis=1) - n < k + 1
+            if share is None:
+                got = np.cumsum(e, axis=1)
+                missed = got[:, -1:] - got + e  # without this list and those after it
+                visit = (missed > (1 - recall) * np.minimum(k, got[:, -1:])) | base
+            else:
+                visit, base = np.broadcast_to(np.arange(lists) < min(lists, max(8, math.ceil(share * lists))), e.shape), np.ones(e.shape, bool)
+            i, j = np.nonzero(visit & (n > 0))
+            want = np.maximum(SHORT_LEAST + np.ceil(SHORT_EACH * e[i, j]), np.where(base[i, j], 2 * k + 2, 0))
+            out.append((i + lo, order[i, j].astype(np.int32), np.minimum(want, 1 << 30).astype(np.int32), np.where(base[i, j], -np.inf, floor[i])))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Number of the nearest centre."""
-    return np.argmax(x @ c.T - 0.5 * (c * c).sum(axis=1), axis=1)
+    half = 0.5 * (c * c).sum(axis=1)
+    return np.concatenate([np.argmax(x[i : i + 4096] @ c.T - half, axis=1) for i in range(0, max(1, len(x)), 4096)])
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -85,155 +156,248 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def top_in_cell(index: IvfPq, q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, at: np.ndarray, codes: np.ndarray, k: int, share: float, shortlist: int) -> tuple[list, list]:
-    """For each query the distinct ids and exact scores of its best k rows of the cell, best first, ties to the smaller id."""
+@dataclass(frozen=True)
+class Found:
+    """Scored pairs of queries and rows."""
+
+    query: np.ndarray
+    key: np.ndarray
+    score: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[Found]) -> Found:
+        if not parts:
+            return cls(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("query", "key", "score")))
+
+    def best(self, k: int, once: bool) -> Found:
+        """The k best keys of each query, best first, ties to the smaller key; with ``once`` a key may come repeatedly and counts once."""
+        q, i, s = self.query, self.key, self.score
+        if once:
+            order = np.lexsort((-s, i, q))
+            q, i, s = q[order], i[order], s[order]
+            first = np.ones(len(q), bool)
+            first[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])
+            q, i, s = q[first], i[first], s[first]
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        near = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return Found(q[near], i[near], s[near])
+
+
+def search_list(index: IvfPq, at: int, q: np.ndarray, qid: np.ndarray, want: np.ndarray, floor: np.ndarray, x: np.ndarray, xid: np.ndarray, codes: np.ndarray, k: int) -> Found:
+    """Exact scores of the shortlisted rows of one list for each query that visits it."""
     order = np.argsort(xid, kind="stable")
-    x, xid, at, codes = x[order], xid[order], at[order], codes[order]
-    _, first, group = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    x, xid, codes = x[order], xid[order], codes[order]
+    _, first, group = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
     group = group.ravel()
-    by = np.argsort(group, kind="stable")  # ids ascend within a group
-    bounds = np.searchsorted(group[by], np.arange(len(first) + 1))
+    fresh = np.ones(len(xid), bool)  # rows equal in id and vector count once
+    fresh[1:] = (xid[1:] != xid[:-1]) | (group[1:] != group[:-1])
+    several = len(np.unique(xid)) < int(fresh.sum())  # one id under different vectors
+    rows, members = np.flatnonzero(fresh), group[fresh]
+    by = np.argsort(members, kind="stable")  # ids ascend within a group
+    bounds = np.searchsorted(members[by], np.arange(len(first) + 1))
+    place = np.arange(len(by)) - bounds[members[by]]
     wide = int(min(k + 1, np.diff(bounds).max(initial=1)))
-    ids = np.zeros((len(first), wide), np.int64)
-    place = np.arange(len(xid)) - bounds[group[by]]
+    ids, held = np.zeros((len(first), wide), np.int64), np.zeros((len(first), wide), bool)
     kept = place < wide
-    ids[group[by][kept], place[kept]] = xid[by][kept]
-    filled = np.minimum(np.diff(bounds), wide)
-    x, at, codes = x[first], at[first], codes[first]
-    several = bool((xid[1:] == xid[:-1]).any())  # one id under different vectors
-    out_ids, out_scores = [], []
-    for lo in range(0, len(q), 256):
-        part, own = q[lo : lo + 256], qid[lo : lo + 256]
-        rough = np.where(index.probes(part, share)[:, at], index.approximate(part, at, codes), -np.inf)
-        n = min(max(shortlist, 4 * k), rough.shape[1])
-        todo = np.arange(len(part))
-        got: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        while len(todo):
-            rows, short = rough[todo], []
-            pick = np.argpartition(-rows, n - 1, axis=1)[:, :n] if n < rows.shape[1] else np.broadcast_to(np.arange(n), rows.shape).copy()
-            seen = np.take_along_axis(rows, pick, axis=1) > -np.inf
-            exact = np.einsum("qrd,qd->qr", x[pick], part[todo])
-            cand = ids[pick].reshape(len(todo), -1)
-            scores = np.repeat(np.where(seen, exact, -np.inf), wide, axis=1)
-            scores[cand == own[todo, None]] = -np.inf
-            absent = np.arange(wide) >= filled[pick][:, :, None]
-            scores[absent.reshape(scores.shape)] = -np.inf
-            best = np.lexsort((cand, -scores), axis=-1)[:, : None if several else k]
-            cand, scores = np.take_along_axis(cand, best, axis=1), np.take_along_axis(scores, best, axis=1)
-            for i, c, s, full in zip(todo.tolist(), cand, scores, seen.all(axis=1), strict=True):
-                good = s > -np.inf
-                c, s = c[good], s[good]
-                if several:
-                    best_of = np.sort(np.unique(c, return_index=True)[1])[:k]
-                    c, s = c[best_of], s[best_of]
-                    if len(c) < k and full and n < rough.shape[1]:  # the vectors of few ids fill the shortlist
-                        short.append(i)
-                        continue
-                got[i] = c, s
-            todo, n = np.array(short, int), min(2 * n, rough.shape[1])
-        out_ids += [got[i][0] for i in range(len(part))]
-        out_scores += [got[i][1] for i in range(len(part))]
-    return out_ids, out_scores
+    ids[members[by][kept], place[kept]] = xid[rows][by][kept]
+    held[members[by][kept], place[kept]] = True
+    x, codes = x[first], codes[first]
+    need = np.full(len(q), len(x)) if several else np.minimum(len(x), 1 << np.ceil(np.log2(want)).astype(np.int64))
+    scale = float(index.scale[at])
+    bar = ((floor - q @ index.coarse[at]) / scale - SLACK * index.noise * np.linalg.norm(q, axis=1)).astype(np.float32)
+    out = []
+    for lo in range(0, len(q), 1024):
+        part = slice(lo, lo + 1024)
+        rough = np.zeros((len(x), len(q[part])), np.float32)
+        for s, t in enumerate(index.tables(q[part])):
+            rough += t[codes[:, s]]
+        likely = rough >= bar[part]
+        n = likely.sum(axis=0)
+        few = n <= need[part]
+        likely &= few
+        picks = [np.nonzero(likely)]
+        for size in np.unique(need[part][~few]).tolist():
+            of = np.flatnonzero(~few & (need[part] == size))
+            top = np.argpartition(-rough[:, of], size - 1, axis=0)[:size]
+            picks.append((top.ravel(), np.broadcast_to(of, top.shape).ravel()))
+        row, query = (np.concatenate(c) for c in zip(*picks, strict=True))
+        query = query + lo
+        score = np.einsum("pd,pd->p", x[row], q[query])
+        good = score >= floor[query]
+        row, query, score = row[good], query[good], score[good]
+        key = ids[row]
+        good = held[row] & (key != qid[query][:, None])
+        query, score = (np.broadcast_to(c[:, None], key.shape)[good] for c in (qid[query], score))
+        out.append(Found(query, key[good], score))
+    return Found.of(out)
+
+
+def _cells(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """First cell of each list and the number of cells it spans; short neighbours share a cell."""
+    begin, spans, cells, left = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for at, n in enumerate(sizes.tolist()):
+        if n > room:
+            spans[at] = -(-n // room)
+            begin[at], cells, left = cells, cells + spans[at], 0
+        elif n:
+            if n > left:
+                cells, left = cells + 1, room
+            begin[at], left = cells - 1, left - n
+    return begin, spans
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame | None = None, key: str = "vec_id", vector: str = "embedding", *, k: int = 20, lists: int | None = None, probe: float = 0.8,
-    shortlist: int = 160, sample_rows: int = SAMPLE_ROWS, cell_rows: int = 8192, cell_queries: int = 4096,
+    vectors: DataFrame, queries: DataFrame | None = None, key: str = "vec_id", vector: str = "embedding", *, k: int = 20, lists: int | None = None, recall: float = 0.96,
+    probe: float | None = None, sample_rows: int = SAMPLE_ROWS, cell_rows: int = 8192, cell_queries: int = 8192,
 ) -> DataFrame:
     """(query_id, rank, key, score): each query's k nearest by inner product, nearest first, ties to the smaller key.
 
-    ``queries`` (same columns; default: all rows) never meet the row of their own key. Vectors that are null, zero, of
-    another length than most, or that hold a null or non-finite component, and rows without a key take no part.
-    Repeated rows count once; of different vectors under one key a query takes the smallest, and a neighbour counts
-    once with its best score. Fewer keys than k give fewer ranks; an empty table gives none.
+    ``queries`` (same columns; default: all rows) never meet the row of their own key. ``recall`` is the share of
+    neighbours that the visited lists are expected to hold; ``probe`` instead visits that share of the lists.
+    Vectors that are null, zero, of another length than most, or that hold a null or non-finite component, and rows
+    without a key take no part. Repeated rows count once; of different vectors under one key a query takes the
+    smallest, and a neighbour counts once with its best score. Fewer keys than k give fewer ranks; an empty table gives
+    none. Other columns, whatever their names, are not looked at; long vectors only need more time.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
 
     def clean(df: DataFrame) -> DataFrame:
-        df = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
-        return df.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
+        kind = df.schema[vector].dataType
+        narrow = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+        df = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>" if narrow else "array<double>").alias("v")).where("id is not null and v is not null")
+        # Null if an element is null, true if one is NaN.
+        whole = "not array_contains(v, cast('NaN' as {0}))".format("float" if narrow else "double")
+        return df.where(f"{whole} and array_max(v) < double('infinity') and array_min(v) > double('-infinity') and (array_max(v) <> 0 or array_min(v) <> 0)")
 
     rows = clean(vectors)
-    shape = rows.groupBy(F.size("v").alias("dim")).agg(F.count_distinct(F.xxhash64("id", "v")).alias("n")).orderBy(F.desc("n"), "dim").first()
+    shape = rows.groupBy(F.size("v").alias("dim")).agg(F.count_distinct(F.xxhash64("id", "v")).alias("n"), F.count_distinct("id").alias("ids")).orderBy(F.desc("n"), "dim").first()
     if shape is None:
         return spark.createDataFrame([], schema).withColumnRenamed("vec_id", key)
     dim, total = shape["dim"], shape["n"]
+    several = shape["ids"] != total  # some key has several vectors
     rows = rows.where(F.size("v") == dim)
-    asked = clean(vectors if queries is None else queries).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-    sample = rows.where(hash_fraction("id", seed=3) < min(1.0, sample_rows / total)).dropDuplicates(["id", "v"]).select("id", "v").toArrow().sort_by("id")
+    asked = clean(vectors if queries is None else queries).where(F.size("v") == dim)
+    asked = asked.groupBy("id").agg(F.min("v").alias("v")) if queries is None or asked.groupBy("id").count().where("count > 1").head(1) else asked
+    sample = rows.where(hash_fraction("id", seed=3) < min(1.0, sample_rows / total)).groupBy("v").agg(F.min("id").alias("id")).toArrow().sort_by("id")
     fitted = _matrix(sample.column("v")) if sample.num_rows else _matrix(rows.select("id", "v").limit(64).toArrow().column("v"))
     index = IvfPq.fit(fitted, lists or max(16, min(4096, round(math.sqrt(total)))))
     shared = spark.sparkContext.broadcast(index)
+    kind = "array<float>" if "float" in dict(rows.dtypes)["v"] else "array<double>"
 
-    def place(batches):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: IvfPq = shared.value
         for batch in batches:
-            x = _matrix(batch.column(1))
-            at = assign(x, own.coarse)
-            codes = own.encode(x, at) if len(x) else np.zeros((0, len(own.codebooks)), np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "v", "list", "codes"])
-
-    indexed = stored(rows.dropDuplicates(["id", "v"]).mapInArrow(place, "id long, v array<double>, list int, codes binary"), "index")
-    counts = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a list
-    size = max(256, min(cell_rows, total // 48))
-    begin, chunks, cells, room = {}, {}, 0, 0
-    for at, n in sorted(counts.items()):
-        if n > size:
-            chunks[at] = math.ceil(n / size)
-            begin[at], cells, room = cells, cells + chunks[at], 0
-        else:
-            if n > room:
-                cells, room = cells + 1, size
-            begin[at], chunks[at] = cells - 1, 1
-            room -= n
-    layout = spark.sparkContext.broadcast((np.array([begin.get(i, 0) for i in range(len(index.coarse))]), np.array([chunks.get(i, 0) for i in range(len(index.coarse))])))
-    first, spread = layout.value
-    cell = F.element_at(F.array(*[F.lit(int(x)) for x in first]), F.col("list") + 1)
-    spans = F.element_at(F.array(*[F.lit(max(1, int(x))) for x in spread]), F.col("list") + 1)
-    n_asked = asked.count()
-    copies = max(1, math.ceil(n_asked / cell_queries))
-    laid = indexed.withColumn("cell", (cell + F.pmod(F.xxhash64("id"), spans)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-
-    def visit(batches):
-        own, (begins, spans) = shared.value, layout.value
-        for batch in batches:
-            q = _matrix(batch.column(1))
-            if not len(q):
-                continue
-            asks = own.probes(q, probe)
-            who, where = [], []
-            for i, mask in enumerate(asks):
-                lists = np.flatnonzero(mask & (spans > 0))
-                cells = np.unique(np.concatenate([np.arange(begins[a], begins[a] + spans[a]) for a in lists])) if len(lists) else np.zeros(0, int)
-                who.append(np.full(len(cells), i))
-                where.append(cells)
-            take = pa.array(np.concatenate(who))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(where).astype(np.int32))], ["id", "v", "cell"])
-
-    visits = asked.mapInArrow(visit, "id long, v array<double>, cell int").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(copies)).cast("int"))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "ids", "scores"]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names=names)
-        codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(right.num_rows, -1)
-        qid = np.asarray(left.column("id"))
-        ids, scores = top_in_cell(
-            shared.value, _matrix(left.column("v")), qid, _matrix(right.column("v")), np.asarray(right.column("id")), np.asarray(right.column("list")), codes, k, probe, shortlist)
-        return pa.table([pa.array(qid), pa.array([x.tolist() for x in ids], kinds[1]), pa.array([x.tolist() for x in scores], kinds[2])], names=names)
-
-    found = visits.groupBy("cell", "part").cogroup(laid.groupBy("cell", "part")).applyInArrow(search, "query_id long, ids array<long>, scores array<double>")
-    pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("scores", "ids"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("i")))))
-    none = F.array().cast("array<struct<s:double,i:long>>")
-    once = lambda kept, x: F.when((F.size(kept) >= k) | F.exists(kept, lambda y: y["i"] == x["i"]), kept).otherwise(F.array_append(kept, x))
-    best = found.groupBy("query_id").agg(F.array_sort(pairs).alias("all")).select("query_id", F.aggregate("all", none, once).alias("best"))
-    out = best.select("query_id", F.posexplode("best").alias("rank", "b"))
-    return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.i").alias(key), (-F.col("b.s")).alias("score"))
+            if batch.num_rows:
+                x = _matrix(batch.column(1))
+                at = assign(x, own.coarse)
+                codes, square = own.encode(x, at)
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), packed, pa.array(square.astype(np.float64))], ["id", "v", "h", "list", "codes", "square"])
+
+    indexed = stored(rows.select("id", "v", F.xxhash64("v").alias("h")).mapInArrow(place, f"id long, v {kind}, h long, list int, codes binary, square double"), "index")
+    # A vector that very many rows share is thinned to its k + 1 smallest ids: the limit applies before the shuffle.
+    hot = sized(indexed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 4 * (k + 1)).select("h"), "hot")
+    if hot.head(1):
+        from pyspark.sql import Window
+
+        order = F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))
+        few = indexed.join(hot, "h", "left_semi").dropDuplicates(["h", "v", "id"]).withColumn("_n", order).where(F.col("_n") <= k + 1).drop("_n")
+        indexed = stored(indexed.join(hot, "h", "left_anti").unionByName(few), "thinned")
+    sizes, spread = np.zeros(len(index.coarse)), np.zeros(len(index.coarse))
+    for r in indexed.groupBy("list").agg(F.count_distinct("id").alias("n"), F.avg("square").alias("s")).collect():  # one row a list
+        sizes[r["list"]], spread[r["list"]] = r["n"], r["s"]
+    room = max(256, min(cell_rows, math.ceil(sizes.sum() / 24)))
+    begin, spans = _cells(sizes, room)
+    facts = spark.sparkContext.broadcast((sizes, spread, begin, spans))
+    layout = F.broadcast(spark.createDataFrame([(i, int(b), int(n)) for i, (b, n) in enumerate(zip(begin, spans, strict=True))], "list int, begin int, spans int"))  # at most 4,096 lists
+    laid = indexed.join(layout, "list").select("id", "v", "list", "codes", (F.col("begin") + F.pmod("h", "spans")).cast("int").alias("cell"))
+
+    def search(asked: DataFrame, share: float | None) -> DataFrame:
+        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, (sizes, spread, begin, spans) = shared.value, facts.value
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(lo, 1024)
+                    who, at, want, floor = own.probes(_matrix(batch.column(1)), sizes, spread, k, recall, share)
+                    n = spans[at]
+                    cell = np.repeat(begin[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    who, at, want, floor = (np.repeat(a, n) for a in (who, at, want, floor))
+                    order = np.lexsort((at, cell, who))
+                    who, at, want, floor, cell = who[order], at[order], want[order], floor[order], cell[order]
+                    first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (cell[1:] != cell[:-1])])) if len(who) else np.zeros(0, np.int64)
+                    offsets = pa.array(np.append(first, len(who)).astype(np.int32))
+                    take = pa.array(who[first])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(take), batch.column(1).take(take), pa.array(cell[first].astype(np.int32)),
+                         *(pa.ListArray.from_arrays(offsets, pa.array(a)) for a in (at, want, floor.astype(np.float32)))], ["id", "v", "cell", "lists", "want", "floor"])
+
+        visits = asked.select("id", "v").mapInArrow(visit, f"id long, v {kind}, cell int, lists array<int>, want array<int>, floor array<float>")
+        right = laid.withColumn("part", F.lit(0))
+        left = visits.withColumn("part", F.lit(0))
+        if asked.count() > cell_queries:
+            visits = stored(visits, "visits")
+            crowded = visits.groupBy("cell").agg(F.ceil(F.count("*") / cell_queries).cast("int").alias("copies")).where("copies > 1")
+            crowded = sized(crowded, "crowded")
+            right = laid.join(crowded, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+            left = visits.join(crowded, "cell", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+
+        def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+            names = ["query", "key", "score"]
+            if not left.num_rows or not right.num_rows:
+                return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+            own: IvfPq = shared.value
+            codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(right.num_rows, -1)
+            x, xid, at = _matrix(right.column("v")), np.asarray(right.column("id")), np.asarray(right.column("list"))
+            q, qid, asks = _matrix(left.column("v")), np.asarray(left.column("id")), left.column("lists").combine_chunks()
+            who = np.repeat(np.arange(len(q)), np.diff(np.asarray(asks.offsets)))
+            lists, want, floor = (np.asarray(left.column(c).combine_chunks().flatten()) for c in ("lists", "want", "floor"))
+            out = []
+            for one in np.unique(at).tolist():
+                on, rows = lists == one, np.flatnonzero(at == one)
+                if on.any():
+                    out.append(search_list(own, one, q[who[on]], qid[who[on]], want[on], floor[on], x[rows], xid[rows], codes[rows], k))
+            best = Found.of(out).best(k, several)
+            return pa.table([pa.array(best.query), pa.array(best.key), pa.array(best.score)], names=names)
+
+        found = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(scan, "query long, key long, score double")
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = Found.of([])
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                held = Found.of([held, Found(*(np.asarray(c) for c in batch.columns))])
+                goes_on = held.query == held.query[-1]
+                yield emit(Found(held.query[~goes_on], held.key[~goes_on], held.score[~goes_on]))
+                held = Found(held.query[goes_on], held.key[goes_on], held.score[goes_on]).best(k, several)
+            yield emit(held)
+
+        def emit(found: Found) -> pa.RecordBatch:
+            best = found.best(k, several)
+            rank = (np.arange(len(best.query)) - np.searchsorted(best.query, best.query) + 1).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(best.query), pa.array(rank), pa.array(best.key), pa.array(best.score)], ["query_id", "rank", "vec_id", "score"])
+
+        return found.repartition("query").sortWithinPartitions("query").mapInArrow(merge, schema)
+
+    out = search(asked, probe)
+    if several:
+        # Keys with several vectors: a query whose visited lists hold too few different keys is asked again of all lists.
+        out = stored(out, "neighbours")
+        full = out.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, shape["ids"] - 1)).select(F.col("query_id").alias("id"))
+        again = asked.join(full, "id", "left_anti")
+        if again.head(1):
+            again = stored(again, "again")
+            out = out.join(again.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(search(again, 1.0))
+    return out.withColumnRenamed("vec_id", key)
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, rank, vec_id, score: the 20 nearest of every vector whose id is divisible by 20."""
+    """query_id, rank, vec_id, score: the 20 nearest of every vector whose id is divisible by 20.
+
+    Nulls, unusable vectors, repeated rows, ties and empty tables: as :func:`nearest` states.
+    """
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
