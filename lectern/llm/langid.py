@@ -2,9 +2,9 @@
 
 A known word scores by its log frequency in each language. An unseen word falls back to its character n-grams, the
 longest length of which any is known; a word with none known adds nothing. The model is a fitted classifier: it
-learns from a bounded sample of labelled rows (``sample_rows`` per language, by expectation; drawn by hash), keeps
-the ``max_words`` most frequent words and ``max_grams`` n-grams of each length per language, and is therefore small
-enough to broadcast whatever the corpus is. Predictions read whole texts in one pass without a shuffle.
+learns every word and n-gram of a bounded sample of labelled rows (``sample_rows`` per language, by expectation; drawn
+by hash), and holds them as sorted 64-bit hashes with one entry for each language that has the token, so its size is
+bounded by the sample whatever the corpus is. Predictions read whole texts in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +64,65 @@ class LanguageModel:
         return None
 
 
+def hashes(tokens: list[str]) -> np.ndarray:
+    """XXH64 with seed 42 of the tokens' UTF-8, as Spark's xxhash64 gives it."""
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(t.encode(), 42) for t in tokens), np.uint64, len(tokens))
+
+
+@dataclass(frozen=True)
+class Level:
+    """Tokens of one kind: sorted hashes, one entry a language, and what a language without the token scores."""
+
+    hashes: np.ndarray
+    langs: np.ndarray
+    above: np.ndarray  # log frequency less that of an absent token
+    absent: np.ndarray  # (languages,)
+
+    @classmethod
+    def of(cls, h: np.ndarray, lang: np.ndarray, n: np.ndarray, langs: int) -> Level:
+        total = np.bincount(lang, n, langs)
+        order = np.lexsort((lang, h))
+        h, lang, n = h[order], lang[order], n[order]
+        return cls(h, lang.astype(np.int32), np.log((n + 0.1) / 0.1).astype(np.float64), np.log(0.1 / (total + 1.0)))
+
+    def add(self, tokens: list[str], row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the sum of its known tokens' vectors and their number; ``row`` is each token's."""
+        h = hashes(tokens)
+        lo = np.searchsorted(self.hashes, h, "left")
+        n = np.searchsorted(self.hashes, h, "right") - lo
+        known = np.bincount(row, n > 0, rows)
+        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        langs = len(self.absent)
+        total = np.bincount(np.repeat(row, n) * langs + self.langs[at], self.above[at], rows * langs).reshape(rows, langs)
+        return total + known[:, None] * self.absent, known
+
+
+@dataclass(frozen=True)
+class PackedModel:
+    """A :class:`LanguageModel` as arrays: levels by kind, 0 for words and n for n-grams."""
+
+    langs: tuple[str, ...]
+    levels: dict[int, Level]
+
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """(words, languages): log frequencies of each word; 0 where neither it nor an n-gram of it is known."""
+        out = np.zeros((len(words), len(self.langs)))
+        if not words:
+            return out
+        left = np.arange(len(words))
+        for kind in (0, *NGRAMS):
+            tokens = [[words[i]] if kind == 0 else grams_of(words[i], kind) for i in left.tolist()]
+            row = np.repeat(np.arange(len(left)), [len(t) for t in tokens])
+            total, known = self.levels[kind].add([t for ts in tokens for t in ts], row, len(left))
+            hit = known > 0
+            out[left[hit]] = total[hit] / known[hit, None]
+            left = left[~hit]
+            if not len(left):
+                break
+        return out
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: dict[str, Counter] = {}
 
@@ -81,7 +141,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _gram_counts(words: DataFrame) -> DataFrame:
-    """N-grams of the distinct words (of at most 64 letters), weighted by their counts."""
+    """N-grams of the distinct words, weighted by their counts."""
     padded = F.concat(F.lit("^"), F.col("token"), F.lit("$"))
 
     def level(n: int):
@@ -89,91 +149,74 @@ def _gram_counts(words: DataFrame) -> DataFrame:
         starts = F.filter(F.sequence(F.lit(1), F.length(of)), lambda i: i <= F.length(of) - (n - 1))
         return F.transform(starts, lambda i: F.struct(F.lit(n).alias("kind"), F.substring(of, i, F.lit(n)).alias("token")))
 
-    grams = words.where(F.length("token") <= 64).select("lang", "n", F.explode(F.concat(*[level(n) for n in NGRAMS])).alias("g"))
+    grams = words.select("lang", "n", F.explode(F.concat(*[level(n) for n in NGRAMS])).alias("g"))
     return grams.groupBy("lang", F.col("g.kind").alias("kind"), F.col("g.token").alias("token")).agg(F.sum("n").alias("n"))
 
 
-def train(
-    rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, sample_rows: int = 3000, max_words: int = 20_000, max_grams: int = 8000
-) -> LanguageModel:
-    """Fit on rows whose text and language are given; nulls are left out. No labelled row gives an empty model."""
+def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, sample_rows: int = 3000) -> PackedModel:
+    """Fit on rows whose text and language are given; nulls are left out. No labelled row gives an empty model.
+
+    Repeated rows count each, long texts whole. All tokens of the sample are kept, however many there are.
+    """
     given = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    spark = rows.sparkSession
     sizes = {r["lang"]: r["n"] for r in given.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return LanguageModel((), {}, {n: {} for n in NGRAMS})
+        return PackedModel((), {})
     langs = tuple(sorted(sizes))
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, sample_rows / v))])
+    number = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)])
     sample = given.where(hash_fraction("key", seed=11) < share[F.col("lang")])
     words = stored(sample.select("lang", "text").mapInPandas(_count, "lang string, token string, n long").groupBy("lang", "token").agg(F.sum("n").alias("n")), "words")
-    counts = stored(words.select("lang", F.lit(0).alias("kind"), "token", "n").unionByName(_gram_counts(words)), "language-counts")
-    totals: dict[tuple[str, int], int] = {}
-    least: dict[tuple[str, int], int] = {}  # the smallest count kept, so that at most the bound is kept
-    room = {(name, kind): max_words if kind == 0 else max_grams for name in langs for kind in (0, *NGRAMS)}
-    steps = counts.groupBy("lang", "kind", "n").agg(F.count("*").alias("tokens")).collect()  # one row for each distinct count
-    for r in sorted(steps, key=lambda r: -r["n"]):
-        k = (r["lang"], r["kind"])
-        totals[k] = totals.get(k, 0) + r["n"] * r["tokens"]
-        room[k] -= r["tokens"]
-        if room[k] >= 0:
-            least[k] = r["n"]
-    floors = spark.createDataFrame([(*k, n) for k, n in least.items()], "lang string, kind int, least long")
-    top = counts.join(F.broadcast(floors), ["lang", "kind"]).where("n >= least").collect()  # bounded by languages x kept tokens
-    at = {name: i for i, name in enumerate(langs)}
-    tables: dict[int, dict[str, np.ndarray]] = {k: {} for k in (0, *NGRAMS)}
-    for r in top:
-        tables[r["kind"]].setdefault(r["token"], np.zeros(len(langs)))[at[r["lang"]]] = r["n"]
-    for kind, level in tables.items():
-        total = np.array([totals.get((name, kind), 0) for name in langs], float)
-        for token, n in level.items():
-            level[token] = np.log((n + 0.1) / (total + 1.0)).astype(np.float64)
-    return LanguageModel(langs, tables.pop(0), tables)
-
-
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text", *, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    counts = words.select("lang", F.lit(0).alias("kind"), "token", "n").unionByName(_gram_counts(words))
+    got = counts.select(F.col("kind").cast("byte"), number[F.col("lang")].cast("short").alias("lang"), F.xxhash64("token").alias("h"), "n").toArrow()  # tokens of a bounded sample, 19 bytes each
+    kind, lang_, h, n = (np.asarray(got.column(c)) for c in ("kind", "lang", "h", "n"))
+    levels = {k: Level.of(h[kind == k].view(np.uint64), lang_[kind == k], n[kind == k], len(langs)) for k in (0, *NGRAMS)}
+    return PackedModel(langs, levels)
+
+
+def predict(docs: DataFrame, model: PackedModel, text: str = "text", *, pred: str = "lang_pred", score: str = "score", margin: str | None = None) -> DataFrame:
     """``docs`` with the predicted language and its posterior probability; the text column is dropped.
 
     A null text, one without a letter or any text under an empty model gets ``und`` with score 0. Ties go to the
     language first in code-point order, as does a text of which nothing is known (score: one over the languages).
-    Existing columns named as the results are replaced.
+    ``margin`` names a column for the mean log odds a word against the runner-up, which, unlike the posterior, does not
+    grow with the text (``und``: 0; one language: that of an unknown text, 0). Texts are read whole, rows one by one, so
+    repeated rows get a row each; an empty table gives none. Existing columns named as the results are replaced.
     """
-    docs = docs.drop(*[c for c in (pred, score) if c in docs.columns])
+    names = [pred, score, *([margin] if margin else [])]
+    docs = docs.drop(*[c for c in names if c in docs.columns])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c != text]
     at = docs.columns.index(text)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    kinds = [T.StringType(), T.DoubleType(), T.DoubleType()]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, k) for c, k in zip(names, kinds, strict=False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: LanguageModel = shared.value
+        m: PackedModel = shared.value
         memo: dict[str, int] = {}
-        vectors = np.zeros((1 << 12, max(1, len(m.langs))))
+        vectors = np.zeros((0, max(1, len(m.langs))))
+        most = max(20_000, 1_000_000 // max(1, len(m.langs)))  # words remembered; forgetting costs time alone
         for batch in batches:
-            if len(memo) > 200_000:
-                memo.clear()
-            labels, scores = [], []
-            for value in batch.column(at).to_pylist():
-                label, best = UND, 0.0
-                found = words_of(value) if value and m.langs else None
-                if found:
-                    ids, counts = np.empty(len(found), np.int64), np.fromiter(found.values(), np.float64, len(found))
-                    for i, w in enumerate(found):
-                        k = memo.get(w)
-                        if k is None:
-                            k = len(memo)
-                            if k >= len(vectors):
-                                vectors = np.concatenate([vectors, np.zeros_like(vectors)])
-                            v = m.vector(w)
-                            vectors[k] = 0.0 if v is None else v
-                            memo[w] = k
-                        ids[i] = k
-                    total = counts @ vectors[ids]
-                    odds = np.exp(total - total.max())
+            if len(memo) > most:
+                memo, vectors = {}, vectors[:0]
+            found = [words_of(value) if value and m.langs else None for value in batch.column(at).to_pylist()]
+            fresh = list(dict.fromkeys(w for words in found if words for w in words if w not in memo))
+            memo.update(zip(fresh, range(len(memo), len(memo) + len(fresh)), strict=True))
+            vectors = np.concatenate([vectors, m.vectors(fresh)]) if fresh else vectors
+            labels, scores, margins = [], [], []
+            for words in found:
+                label, best, apart = UND, 0.0, 0.0
+                if words:
+                    counts = np.fromiter(words.values(), np.float64, len(words))
+                    total = counts @ vectors[np.fromiter(map(memo.__getitem__, words), np.int64, len(words))]
                     k = int(np.argmax(total))
-                    label, best = m.langs[k], float(odds[k] / odds.sum())
+                    label, best = m.langs[k], float(1 / np.exp(total - total[k]).sum())
+                    apart = float(total[k] - np.partition(total, -2)[-2]) / float(counts.sum()) if len(total) > 1 else 0.0
                 labels.append(label)
                 scores.append(best)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*keep, pred, score])
+                margins.append(apart)
+            columns = [pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *columns[: len(names)]], [*keep, *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -184,19 +227,33 @@ def identify(docs: DataFrame, training: DataFrame | None = None, **kw) -> DataFr
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document; learns from rows that are not held out."""
+    """doc_id, held_out, lang_pred, score of every document; learns from rows that are not held out.
+
+    Nulls, empty and long texts, ties, repeated rows and empty tables: as :func:`train` and :func:`predict` state.
+    """
     docs = table(tuned(spark), sf_dir, "documents")
     model = train(docs.where(crc_mod("doc_id", 4) != 2))
     rows = docs.select("doc_id", "text", (crc_mod("doc_id", 4) == 2).alias("held_out"))
     return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def stage_langid(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.5) -> DataFrame:
-    """Documents whose language is told with a posterior of ``min_score`` or more; ``und`` goes. Columns stay."""
+def stage_langid(spark: SparkSession, docs: DataFrame, sf_dir: str, min_margin: float = 0.5, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """Documents in one clear language, of ``languages`` if those are given; a null lang becomes the predicted one.
+
+    A document is rejected if it has no letter or if its words speak on average by less than ``min_margin`` (natural log
+    odds) for its language against the runner-up: texts that mix languages, or a single word that several share. A null
+    ``min_margin`` is not allowed; with one learned language there is no runner-up and only ``und`` goes. Other columns,
+    whatever their names, stay.
+    """
     tuned(spark)
     model = train(docs.where(crc_mod("doc_id", 4) != 2))
     names = docs.columns
-    mark = next(f"_lang{i}" for i in range(len(names) + 1) if f"_lang{i}" not in names)
+    mark = next(f"_lang{i}" for i in range(len(names) + 1) if not any(c.startswith(f"_lang{i}") for c in names))
     whole = docs.withColumn(f"{mark}_text", F.col("text"))
-    told = predict(whole, model, f"{mark}_text", pred=mark, score=f"{mark}_score")
-    return told.where((F.col(mark) != UND) & (F.col(f"{mark}_score") >= min_score)).select(*names)
+    told = predict(whole, model, f"{mark}_text", pred=mark, score=f"{mark}_score", margin=f"{mark}_margin")
+    kept = told.where(F.col(mark) != UND)
+    if len(model.langs) > 1:
+        kept = kept.where(F.col(f"{mark}_margin") >= min_margin)
+    if languages is not None:
+        kept = kept.where(F.col(mark).isin(*languages))
+    return kept.select(*[F.coalesce("lang", F.col(mark).cast(docs.schema["lang"].dataType)).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in names])
