@@ -1,16 +1,18 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences: after a word that ends in one of ``.!?`` with no other mark before it (``!!`` after every
-word is shouting, not a sentence), at a line feed, and after ``longest`` words (so a passage written as one sentence
-still has several). Every run of ``run`` consecutive sentences with at
-least ``min_words`` words is hashed to 128 bits. Runs are joined globally; the first occurrence of a run, by
-(doc_id, text hash, place), keeps its sentences and every sentence covered by another occurrence is removed. Shorter
-runs are left out, as in the query's SQL, or with ``extend`` go on by further sentences until they have so many words.
+word is shouting, not a sentence), and long sentences into pieces. With ``within`` the pieces begin before every word
+whose md5 is least among some ``within`` consecutive words of the text, so equal words are cut alike wherever they
+begin; line feeds are then blanks like others. Without it a sentence also ends at a line feed and after ``longest`` words.
 
-With ``within`` a text is instead cut by content alone: after the same stops, and before every word of least hash among
-some ``within`` consecutive words, so cuts are at most so far apart and equal words are cut alike wherever they begin.
-With ``within=8`` and ``extend`` any 50 repeated words hold a whole run: cuts 7 words from either end depend on these
-words alone, the first is at most 7 words later, and the run from it ends 24 words after it at most.
+Every run of ``run`` consecutive sentences or pieces is hashed to 128 bits; with ``extend`` a run of fewer than
+``min_words`` words goes on until it has so many, else it is left out. With ``whole`` a text too short for any run is a
+span of its own. Spans are joined globally; the first occurrence of a span, by (doc_id, text hash, place), keeps its
+sentences and every sentence covered by another occurrence is removed.
+
+The query takes ``within=8, min_words=20, extend, whole``: any 50 repeated words hold a whole run then. Cuts 7 words from
+either end depend on these words alone, the first is at most 7 words later, and the run from it ends at most 27 words
+after it.
 
 Counts and firsts are pre-aggregated before the shuffle, and the join back to occurrences has plain exchanges on both
 sides, so a passage that a third of all texts share is split at run time.
@@ -19,6 +21,7 @@ sides, so a passage that a third of all texts share is split at run time.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,9 @@ from .common import stored, table, tuned
 from .textkernel import BLANK, running, slices, spans_of, word_spans
 
 RUN, MIN_WORDS, LONGEST = 3, 12, 20
+#: What the query and its SQL take.
+QUERY = {"run": 3, "min_words": 20, "within": 8, "extend": True, "whole": True}
+_MEMO: dict[int, int] = {}
 _IS_WORD = ~BLANK
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -37,6 +43,20 @@ _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".!?,;:"]] = True
 
 
+def word_order(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first 64 bits of each word's md5; words met before are remembered by their hash."""
+    words, first, which = np.unique(spans_of(running(buf, 0), starts, ends, 0), return_index=True, return_inverse=True)
+    if len(_MEMO) > 500_000:
+        _MEMO.clear()
+    values = []
+    for w, at in zip(words.tolist(), first.tolist(), strict=True):
+        v = _MEMO.get(w)
+        if v is None:
+            v = _MEMO[w] = int.from_bytes(md5(buf[starts[at] : ends[at]].tobytes()).digest()[:8], "big")
+        values.append(v)
+    return np.array(values, np.uint64)[which.ravel()]
+
+
 def sentences(buf: np.ndarray, offsets: np.ndarray, longest: int, within: int = 0) -> tuple[np.ndarray, ...]:
     """Words (starts, ends, text number) and the first word of each sentence, one past the last appended."""
     starts, ends, owner = word_spans(buf, offsets, _IS_WORD)
@@ -48,7 +68,7 @@ def sentences(buf: np.ndarray, offsets: np.ndarray, longest: int, within: int =
     stop = _STOP[buf[last]] & (last > starts[:-1]) & ~_MARK[buf[np.maximum(last - 1, 0)]]
     opens[1:] = (owner[1:] != owner[:-1]) | stop
     if within:
-        words = spans_of(running(buf, 0), starts, ends, 0)
+        words = word_order(buf, starts, ends)
         if len(words) >= within:
             least = np.lib.stride_tricks.sliding_window_view(words, within).argmin(axis=1) + np.arange(len(words) - within + 1)
             opens[least[owner[: len(least)] == owner[within - 1 :]]] = True
@@ -59,22 +79,28 @@ def sentences(buf: np.ndarray, offsets: np.ndarray, longest: int, within: int =
     return starts, ends, owner, np.append(np.flatnonzero(place % longest == 0), len(starts))
 
 
-def _runs(docs: DataFrame, run: int, min_words: int, longest: int, extend: bool, within: int) -> DataFrame:
+def _runs(docs: DataFrame, run: int, min_words: int, longest: int, extend: bool, within: int, whole: bool) -> DataFrame:
     """(h1, h2, key, k, pos, n) of every qualifying run of n sentences; k tells texts of one key apart."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offsets in slices(batches, "text"):
             starts, ends, owner, first = sentences(buf, offsets, longest, within)
             n = len(first) - 1
-            if n < run:
+            if n < (1 if whole else run):
                 continue
-            at = np.arange(n - run + 1)
+            at = np.arange(max(0, n - run + 1))
             till = at + run
             if extend:
                 till = np.maximum(till, np.searchsorted(first, first[at] + min_words))
                 at, till = at[till <= n], till[till <= n]
+            units = owner[first[:-1]]
             fits = (owner[first[at]] == owner[first[till] - 1]) & (first[till] - first[at] >= min_words)
             at, till = at[fits], till[fits]
+            if whole:
+                opens = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1]]))
+                closes = np.append(opens[1:], n)
+                short = ~np.isin(units[opens], units[at])
+                at, till = np.concatenate([at, opens[short]]), np.concatenate([till, closes[short]])
             if not len(at):
                 continue
             out = []
@@ -82,39 +108,46 @@ def _runs(docs: DataFrame, run: int, min_words: int, longest: int, extend: bool,
                 marks = spans_of(running(spans_of(running(buf, which), starts, ends, which), 1 - which), first[:-1], first[1:], 1 - which)
                 out.append(spans_of(running(marks, which), at, till, which).view(np.int64))
             doc = owner[first[at]]
-            base = np.searchsorted(owner[first[:-1]], np.arange(len(offsets) - 1))  # sentence number of a text's first
+            base = np.searchsorted(units, np.arange(len(offsets) - 1))  # sentence number of a text's first
             columns = [pa.array(out[0]), pa.array(out[1]), part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array((at - base[doc]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array((till - at).astype(np.int32))] if extend else []), schema.fieldNames())
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array((till - at).astype(np.int32))] if varied else []), schema.fieldNames())
 
     fields = [T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), docs.schema["key"], T.StructField("k", T.LongType()), T.StructField("pos", T.IntegerType())]
-    schema = T.StructType(fields + ([T.StructField("n", T.IntegerType())] if extend else []))
+    varied = extend or whole
+    schema = T.StructType(fields + ([T.StructField("n", T.IntegerType())] if varied else []))
     return docs.select("key", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("k"), "text").mapInArrow(work, schema)
 
 
-def repeated_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", *, run: int = RUN, min_words: int = MIN_WORDS, longest: int = LONGEST, extend: bool = False, within: int = 0) -> DataFrame:
-    """(key, k, removed array<int>): sentence numbers from 0 that non-first runs cover, for texts that have any.
+def repeated_sentences(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", *, run: int = RUN, min_words: int = MIN_WORDS, longest: int = LONGEST, extend: bool = False, within: int = 0, whole: bool = False
+) -> DataFrame:
+    """(key, k, removed array<int>): sentence numbers from 0 that non-first spans cover, for texts that have any.
 
-    ``k`` is xxhash64 of the text. Rows equal in key and text count as one document. Null and empty texts, and those
-    of fewer sentences than a run, have no runs. ``extend`` lengthens a run of fewer than ``min_words`` words instead of leaving it out.
-    ``within`` above 0 cuts by content instead of by line feeds and ``longest``; numbers then count those pieces. A null key is a key of its own and sorts first.
+    ``k`` is xxhash64 of the text. Rows equal in key and text count as one document. Null texts and those without a word
+    have no spans; those too short for a run have one with ``whole``, else none. Long texts are read whole. Ties of a
+    key go by text hash, and a null key is a key of its own and sorts first. An empty table gives no rows. Other columns,
+    whatever their names, are not looked at. With ``within`` numbers count the pieces cut by content.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
-    spans = _runs(rows, run, min_words, longest, extend, within)
+    spans = _runs(rows, run, min_words, longest, extend, within, whole)
     here = F.struct("key", "k", "pos")
     firsts = spans.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("not (first <=> last)").drop("last")
     firsts = stored(firsts, "firsts").withColumnsRenamed({"h1": "g1", "h2": "g2"})
     later = spans.join(firsts, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(~F.struct("key", "k", "pos").eqNullSafe(F.col("first")))
-    covers = later.groupBy("key", "k").agg(F.collect_set(F.struct("pos", "n") if extend else F.col("pos")).alias("at"))
-    covered = lambda p: F.sequence(p["pos"], p["pos"] + p["n"] - 1) if extend else F.sequence(p, p + (run - 1))
+    covers = later.groupBy("key", "k").agg(F.collect_set(F.struct("pos", "n") if extend or whole else F.col("pos")).alias("at"))
+    covered = lambda p: F.sequence(p["pos"], p["pos"] + p["n"] - 1) if extend or whole else F.sequence(p, p + (run - 1))
     numbers = F.array_sort(F.array_distinct(F.flatten(F.transform("at", covered))))
     return covers.select(F.col("key").alias(key), "k", numbers.alias("removed"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """``docs`` with removed sentences cut out of the text (each with the blanks up to the next); nulls stay null."""
-    found = repeated_sentences(docs, key, text, **kw).withColumnsRenamed({key: "_id", "k": "_k", "removed": "_removed"})
+    """``docs`` with removed sentences cut out of the text (each with the blanks up to the next); nulls and all other columns stay."""
     names, longest, within = docs.columns, kw.get("longest", LONGEST), kw.get("within", 0)
-    joined = docs.join(found, docs[key].eqNullSafe(found["_id"]) & (F.xxhash64(docs[text]) == found["_k"]), "left").select(*names, "_removed")
+    free = next(f"_gone{i}" for i in range(len(names) + 1) if f"_gone{i}" not in names)
+    found = repeated_sentences(docs, key, text, **kw).select(F.struct(F.col(key).alias("id"), "k").alias("id"), "removed").alias("f")
+    rows = docs.alias("d")
+    same = F.struct(F.col(f"d.`{key}`").alias("id"), F.xxhash64(F.col(f"d.`{text}`")).alias("k")).eqNullSafe(F.col("f.id"))
+    joined = rows.join(found, same & F.col(f"d.`{text}`").isNotNull(), "left").select(*[F.col(f"d.`{c}`") for c in names], F.col("f.removed").alias(free))
     at = names.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,30 +170,38 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **k
 
 
 def op3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, removed_sentences, first_removed, last_removed of every document that loses a sentence."""
-    found = repeated_sentences(table(tuned(spark), sf_dir, "documents"))
+    """doc_id, removed_sentences, first_removed, last_removed of every document that loses a sentence or piece.
+
+    Nulls, empty, short and long texts, ties, repeated rows and empty tables: as :func:`repeated_sentences` states.
+    """
+    found = repeated_sentences(table(tuned(spark), sf_dir, "documents"), **QUERY)
     return found.select(
         "doc_id", F.size("removed").alias("removed_sentences"), F.element_at("removed", 1).alias("first_removed"), F.element_at("removed", -1).alias("last_removed"))
 
 
+# Documents of one doc_id and different texts are ordered by a hash in Spark and by text here: the two agree where
+# doc_id is unique.
 OP3_SQL = r"""
-WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
-lines AS (
-  SELECT doc_id, text, unnest(l) AS line, generate_subscripts(l, 1) AS ln FROM (SELECT *, string_split(text, chr(10)) AS l FROM d)
-), words AS (
-  SELECT doc_id, text, ln, unnest(w) AS word, generate_subscripts(w, 1) AS wn FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM lines)
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS t, doc_id, w FROM (
+  SELECT DISTINCT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL)
+), words AS (SELECT t, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+least AS (SELECT DISTINCT t, j FROM (
+  SELECT t, i, n, i + instr(m, arg) // 33 AS j FROM (
+    SELECT t, i, n, string_agg(md5(word), ' ') OVER p AS m, min(md5(word)) OVER p AS arg FROM words WINDOW p AS (PARTITION BY t ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)))
+  WHERE i <= n - 7
 ), opened AS (
-  SELECT *, CASE WHEN lag(ln) OVER p IS DISTINCT FROM ln OR regexp_matches(lag(word) OVER p, '[^.!?,;:][.!?]$') THEN 1 ELSE 0 END AS o
-  FROM words WINDOW p AS (PARTITION BY doc_id, text ORDER BY ln, wn)
-), sent AS (SELECT *, sum(o) OVER (PARTITION BY doc_id, text ORDER BY ln, wn) AS s FROM opened),
-placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, s ORDER BY ln, wn) - 1 AS pl FROM sent),
-units AS (
-  SELECT doc_id, text, s, pl // 20 AS c, string_agg(word, chr(1) ORDER BY ln, wn) AS u, count(*) AS nw FROM placed GROUP BY ALL
-), runs AS (
-  SELECT doc_id, text, row_number() OVER p - 1 AS pos, nw + lead(nw, 1) OVER p + lead(nw, 2) OVER p AS nw,
-         u || chr(2) || lead(u, 1) OVER p || chr(2) || lead(u, 2) OVER p AS r
-  FROM units WINDOW p AS (PARTITION BY doc_id, text ORDER BY s, c)
-), ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY doc_id NULLS FIRST, text, pos) AS k FROM runs WHERE r IS NOT NULL AND nw >= 12),
-gone AS (SELECT DISTINCT doc_id, text, pos + i AS n FROM ranked, (SELECT unnest([0, 1, 2]) AS i) WHERE k > 1)
-SELECT doc_id, count(*)::INTEGER AS removed_sentences, min(n)::INTEGER AS first_removed, max(n)::INTEGER AS last_removed FROM gone GROUP BY doc_id, text
+  SELECT words.*, i = 1 OR least.j IS NOT NULL OR coalesce(regexp_matches(lag(word) OVER (PARTITION BY words.t ORDER BY i), '[^.!?,;:][.!?]$'), FALSE) AS o
+  FROM words LEFT JOIN least ON least.t = words.t AND least.j = words.i
+), marked AS (SELECT t, list((CASE WHEN o THEN chr(2) ELSE chr(1) END) || word ORDER BY i) AS w, any_value(n) AS n FROM opened GROUP BY t),
+units AS (SELECT t, i, n, row_number() OVER (PARTITION BY t ORDER BY i) - 1 AS pos FROM opened WHERE o),
+ends AS (SELECT t, i, pos FROM units UNION ALL SELECT t, max(n) + 1, max(pos) + 1 FROM units GROUP BY t),
+long AS (SELECT a.t, a.i, a.pos, b.pos AS far FROM units a ASOF JOIN ends b ON a.t = b.t AND a.i + 20 <= b.i),
+runs AS (SELECT long.t, long.i, long.pos, e.i AS till, e.pos AS stop FROM long JOIN ends e ON e.t = long.t AND e.pos = greatest(long.far, long.pos + 3)),
+spans AS (
+  SELECT * FROM runs UNION ALL
+  SELECT t, 1, 0, max(i), max(pos) FROM ends WHERE t NOT IN (SELECT t FROM runs) GROUP BY t
+), ranked AS (
+  SELECT s.t, s.pos, s.stop, row_number() OVER (PARTITION BY md5(array_to_string(w[s.i : s.till - 1], '')) ORDER BY s.t, s.pos) AS k FROM spans s JOIN marked USING (t)
+), gone AS (SELECT DISTINCT t, unnest(range(pos, stop)) AS n FROM ranked WHERE k > 1)
+SELECT any_value(doc_id) AS doc_id, count(*)::INTEGER AS removed_sentences, min(n)::INTEGER AS first_removed, max(n)::INTEGER AS last_removed FROM gone JOIN d USING (t) GROUP BY t
 """
