@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _ROOTS: dict[str, str] = {}
-#: Rows per Arrow batch handed to Python. Texts may be very long, so batches are kept short.
-ARROW_ROWS = 256
+#: Rows and bytes per Arrow batch handed to Python. Texts may be very long, so batches are kept short.
+ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -72,10 +72,10 @@ def sized(df: DataFrame, label: str, most: int = 200_000) -> DataFrame:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Short Arrow batches for long texts; a value the user has set is kept."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Arrow batches of few rows and bytes, as texts may be long; values the user has set are kept."""
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", ARROW_BYTES)):
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, str(value))
     return spark
 
 

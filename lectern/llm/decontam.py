@@ -1,10 +1,11 @@
 """Benchmark decontamination: size-partitioned MinHash containment search with exact verification.
 
-Test items are partitioned by their number of distinct five-word shingles. A partition with at most ``u`` shingles
-gets bottom-k MinHash sketches of k = floor((1 - t) * u) + 1 values: a text holding a share t of an item's shingles
-lacks at most floor((1 - t) * u) of them, so at least one sketch value is among the text's shingle hashes and no match
-is missed, however long the text. Every text is read once, without a shuffle: its shingle hashes are looked up in the
-sketches, and each (text, item) hit is verified on the shingles themselves.
+Test items are partitioned by their number of distinct five-word shingles, a partition holding l to u of them with u below
+2 l. A text that holds a share t of an item's shingles lacks at most m = floor((1 - t) u) of them. The partition therefore
+gets bottom-k MinHash signatures of k = m + h values, of which at least h must be met in a text; h grows with the
+partition's size (u / 8, at most t l), so that long items need several hits before a text is verified against them,
+and no match is missed, however long the text. Every text is read once, without a shuffle: its shingle hashes are looked
+up in the signatures, and each text and item that meet often enough are compared on the shingles themselves.
 
 Words are maximal runs of ASCII letters, digits and non-ASCII characters; A-Z are lower-cased.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import sized, table, tuned
-from .textkernel import ALNUM, LOWER, running, slices, spans_of, word_spans
+from .textkernel import ALNUM, LOWER, running, slices, spans_of, word_hashes, word_spans
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Items and bytes of items that one pass over the texts holds; more items take more passes.
@@ -37,48 +38,61 @@ def item_shingles(text: bytes, width: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
-def shingle_keys(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every run of ``width`` words that lies in one text."""
-    low = LOWER[buf]
-    starts, ends, owner = word_spans(low, offsets, ALNUM)
-    if len(starts) < width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    words = spans_of(running(low, 0), starts, ends, 0)
-    first = np.arange(len(words) - width + 1)
-    first = first[owner[first] == owner[first + width - 1]]
-    return spans_of(running(words, 1), first, first + width, 1), owner[first]
+@dataclass(frozen=True)
+class Shingles:
+    """Every run of ``width`` words that lies in one text: its hash, text number and first word, with the words' spans."""
+
+    keys: np.ndarray
+    owner: np.ndarray
+    first: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, buf: np.ndarray, offsets: np.ndarray, width: int) -> Shingles:
+        low = LOWER[buf]
+        starts, ends, owner = word_spans(low, offsets, ALNUM)
+        if len(starts) < width:
+            return cls(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), starts, ends)
+        words = word_hashes(low, starts, ends, 0)
+        first = np.arange(len(words) - width + 1)
+        first = first[owner[first] == owner[first + width - 1]]
+        return cls(spans_of(running(words, 1), first, first + width, 1), owner[first], first, starts, ends)
 
 
 @dataclass
 class Sketches:
-    """Sorted sketch values with the items they stand for, a bit filter before them, and the items' shingles."""
+    """Sorted signature values with the items they stand for, a bit filter before them, and the items' texts."""
 
     width: int
     threshold: float
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     items: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     filter: np.ndarray = field(default_factory=lambda: np.zeros(1 << _FILTER_BITS, bool))
-    shingles: list[set] = field(default_factory=list)
+    texts: list[bytes] = field(default_factory=list)
+    need: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     ids: list = field(default_factory=list)
+    memo: dict[int, tuple[set, np.ndarray]] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, rows: list, width: int, threshold: float) -> Sketches:
+    def of(cls, rows: list, width: int, threshold: float, hits: int = 8) -> Sketches:
         self = cls(width, threshold)
         partitions: dict[int, list[tuple[int, np.ndarray]]] = {}
         for key, text in rows:
             raw = text.encode()
-            grams = item_shingles(raw, width)
-            if not grams:
-                continue
-            hashes, _ = shingle_keys(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), width)
-            partitions.setdefault(len(grams).bit_length(), []).append((len(self.ids), np.unique(hashes)))
-            self.ids.append(key)
-            self.shingles.append(grams)
+            keys = np.unique(Shingles.of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), width).keys)
+            if len(keys):
+                partitions.setdefault(len(keys).bit_length(), []).append((len(self.ids), keys))
+                self.ids.append(key)
+                self.texts.append(raw)
+        self.need = np.ones(len(self.ids), np.int64)
         values, owners = [], []
         for members in partitions.values():
-            upper = max(len(h) for _, h in members)
-            k = math.floor((1 - threshold) * upper + 1e-9) + 1
+            least, most = min(len(h) for _, h in members), max(len(h) for _, h in members)
+            need = max(1, min(math.ceil(threshold * least - 1e-9), 1 + most // hits))
+            k = math.floor((1 - threshold) * most + 1e-9) + need
             for at, h in members:
+                self.need[at] = need
                 values.append(h[:k])
                 owners.append(np.full(min(k, len(h)), at))
         if values:
@@ -88,18 +102,43 @@ class Sketches:
             self.filter[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         return self
 
-    def hits(self, hashes: np.ndarray, owner: np.ndarray) -> set[tuple[int, int]]:
-        """(text number, item number) of every sketch value found."""
-        maybe = self.filter[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
-        hashes, owner = hashes[maybe], owner[maybe]
-        lo, hi = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
-        found: set[tuple[int, int]] = set()
-        while len(lo):
-            left = lo < hi
-            lo, hi, owner = lo[left], hi[left], owner[left]
-            found.update(zip(owner.tolist(), self.items[lo].tolist(), strict=True))
-            lo = lo + 1
-        return found
+    def item(self, i: int) -> tuple[set, np.ndarray]:
+        """The item's shingles and their hashes."""
+        if i not in self.memo:
+            if len(self.memo) >= 1024:
+                self.memo.clear()
+            raw = self.texts[i]
+            self.memo[i] = item_shingles(raw, self.width), np.unique(Shingles.of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), self.width).keys)
+        return self.memo[i]
+
+    def candidates(self, s: Shingles) -> np.ndarray:
+        """(pairs, 2) of text and item numbers that share as many signature values as the item's partition asks for."""
+        maybe = self.filter[(s.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
+        keys, owner = s.keys[maybe], s.owner[maybe]
+        order = np.lexsort((keys, owner))
+        keys, owner = keys[order], owner[order]
+        once = np.ones(len(keys), bool)
+        once[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+        keys, owner = keys[once], owner[once]
+        lo = np.searchsorted(self.hashes, keys, "left")
+        n = np.searchsorted(self.hashes, keys, "right") - lo
+        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pairs, hits = np.unique(np.stack([np.repeat(owner, n), self.items[at]], axis=1), axis=0, return_counts=True)
+        return pairs[hits >= self.need[pairs[:, 1]]]
+
+    def matches(self, buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text number, item number, matched, shingles) of every pair that reaches the threshold."""
+        s = Shingles.of(buf, offsets, self.width)
+        for d, i in self.candidates(s).tolist():
+            grams, hashes = self.item(i)
+            a, b = np.searchsorted(s.owner, [d, d + 1])
+            here = a + np.flatnonzero(np.isin(s.keys[a:b], hashes))
+            _, once = np.unique(s.keys[here], return_index=True)
+            # Hashes tell the places, the words themselves decide.
+            found = {tuple(LOWER[buf[s.starts[w] : s.ends[w]]].tobytes() for w in range(f, f + self.width)) for f in s.first[here[once]].tolist()}
+            m = len(grams & found)
+            if m >= self.threshold * len(grams) - 1e-9:
+                yield d, i, m, len(grams)
 
 
 def contained_items(
@@ -107,8 +146,10 @@ def contained_items(
 ) -> DataFrame:
     """(key, item key, matched, shingles, containment) of every text and item with containment >= ``threshold``.
 
-    Null texts and items, and those of fewer than ``width`` words, match nothing. Repeated rows each get their own
-    result rows. Items are processed in blocks of bounded size, one pass over the texts each.
+    Null and empty texts and items, and those of fewer than ``width`` words, match nothing. Long texts are searched whole.
+    Repeated rows of either table each get their own result rows; there are no ties to break. An empty table gives no
+    rows. Other columns, whatever their names, are not looked at. Items are processed in blocks of bounded size, one pass
+    over the texts each.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -125,17 +166,8 @@ def contained_items(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s: Sketches = shared.value
             for part, buf, offsets in slices(batches, "text"):
-                rows = []
                 keys = part.column(0)
-                by_text: dict[int, list[int]] = {}
-                for d, i in s.hits(*shingle_keys(buf, offsets, s.width)):
-                    by_text.setdefault(d, []).append(i)
-                for d, found in sorted(by_text.items()):
-                    grams = item_shingles(buf[offsets[d] : offsets[d + 1]].tobytes(), s.width)
-                    for i in sorted(found):
-                        n, m = len(s.shingles[i]), len(s.shingles[i] & grams)
-                        if m >= s.threshold * n - 1e-9:
-                            rows.append((keys[d].as_py(), s.ids[i], m, n, m / n))
+                rows = [(keys[d].as_py(), s.ids[i], m, n, m / n) for d, i, m, n in s.matches(buf, offsets)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], names)
 
@@ -154,7 +186,10 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, item_id, matched, shingles, containment of every contaminated document and item."""
+    """doc_id, item_id, matched, shingles, containment of every contaminated document and item.
+
+    Edge cases as :func:`contained_items` states.
+    """
     tuned(spark)
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -182,6 +217,7 @@ def stage_decontam(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     tuned(spark)
     names = docs.columns
-    found = contained_items(docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("h"))), table(spark, sf_dir, "benchmark"), key="_key")
-    dirty = sized(found.select(F.col("_key.doc_id").alias("_id"), F.col("_key.h").alias("_h")).distinct(), "dirty")
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_id"]) & (F.xxhash64(docs["text"]) == dirty["_h"]), "left_anti").select(*names)
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
+    dirty = sized(contained_items(keyed, table(spark, sf_dir, "benchmark"), key="key").select("key").distinct(), "dirty").alias("x")
+    rows = docs.alias("d")
+    return rows.join(dirty, F.struct(F.col("d.doc_id"), F.xxhash64("d.text").alias("h")).eqNullSafe(F.col("x.key")), "left_anti").select(*[F.col(f"d.`{c}`") for c in names])

@@ -105,6 +105,21 @@ class PackedModel:
     langs: tuple[str, ...]
     levels: dict[int, Level]
 
+    def typical(self) -> np.ndarray:
+        """For each language the mean log odds that the words learned for it speak against the likest other language."""
+        words, n = self.levels[0], len(self.langs)
+        first = np.flatnonzero(np.concatenate([[True], words.hashes[1:] != words.hashes[:-1]]))
+        row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words.hashes))))
+        above = np.zeros((len(first), n))
+        above[row, words.langs] = words.above
+        seen = 0.1 * np.exp(words.above) - 0.1
+        out = np.zeros(n)
+        for k in range(n):
+            of = words.langs == k
+            odds = (above[row[of]][:, [k]] + words.absent[k]) - (above[row[of]] + words.absent)
+            out[k] = np.delete((seen[of] @ odds) / seen[of].sum(), k).min(initial=np.inf) if of.any() else 0.0
+        return out
+
     def vectors(self, words: list[str]) -> np.ndarray:
         """(words, languages): log frequencies of each word; 0 where neither it nor an n-gram of it is known."""
         out = np.zeros((len(words), len(self.langs)))
@@ -237,13 +252,13 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def stage_langid(spark: SparkSession, docs: DataFrame, sf_dir: str, min_margin: float = 0.5, languages: tuple[str, ...] | None = None) -> DataFrame:
+def stage_langid(spark: SparkSession, docs: DataFrame, sf_dir: str, share: float = 0.1, languages: tuple[str, ...] | None = None) -> DataFrame:
     """Documents in one clear language, of ``languages`` if those are given; a null lang becomes the predicted one.
 
-    A document is rejected if it has no letter or if its words speak on average by less than ``min_margin`` (natural log
-    odds) for its language against the runner-up: texts that mix languages, or a single word that several share. A null
-    ``min_margin`` is not allowed; with one learned language there is no runner-up and only ``und`` goes. Other columns,
-    whatever their names, stay.
+    A document is rejected if it has no letter, or if its words speak on average (log odds a word) less than ``share`` of
+    what the language's own words do against the likest other language: texts that mix languages, or a single word that
+    several share. With one learned language there is no other and only ``und`` goes. Null and empty texts go; long texts
+    are read whole; repeated rows are judged alike; an empty table gives none. Other columns, whatever their names, stay.
     """
     tuned(spark)
     model = train(docs.where(crc_mod("doc_id", 4) != 2))
@@ -253,7 +268,8 @@ def stage_langid(spark: SparkSession, docs: DataFrame, sf_dir: str, min_margin:
     told = predict(whole, model, f"{mark}_text", pred=mark, score=f"{mark}_score", margin=f"{mark}_margin")
     kept = told.where(F.col(mark) != UND)
     if len(model.langs) > 1:
-        kept = kept.where(F.col(f"{mark}_margin") >= min_margin)
+        least = F.create_map(*[F.lit(x) for k, v in zip(model.langs, model.typical().tolist(), strict=True) for x in (k, share * v)])
+        kept = kept.where(F.col(f"{mark}_margin") >= least[F.col(mark)])
     if languages is not None:
         kept = kept.where(F.col(mark).isin(*languages))
     return kept.select(*[F.coalesce("lang", F.col(mark).cast(docs.schema["lang"].dataType)).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in names])

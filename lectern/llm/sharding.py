@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, stored, table
+from .common import release, sized, stored, table
 
 PROBES = 32
 
@@ -26,18 +26,15 @@ def cumulative(df: DataFrame, order: list, value: str, out: str, partitions: int
 
     ranged = df.repartitionByRange(*([partitions] if partitions else []), *order).withColumn("_part", F.spark_partition_id())
     local = stored(ranged.withColumn(out, F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))), "local")
-    sums = {r["_part"]: r["s"] for r in local.groupBy("_part").agg(F.max(out).alias("s")).collect()}  # one row a partition
-    return local.withColumn(out, F.col(out) + _offsets(local.sparkSession, sums)).drop("_part")
+    return local.join(_offsets(local.groupBy("_part").agg(F.max(out).alias("n"))), "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before")
 
 
-def _offsets(spark: SparkSession, sums: dict[int, int], column: str = "_part"):
-    """Sum of all partitions before the row's own, looked up in one array literal."""
-    most = max(sums, default=-1) + 1
-    total, before = 0, []
-    for i in range(most):
-        before.append(total)
-        total += int(sums.get(i) or 0)
-    return F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in before or [0]]), F.col(column) + 1)
+def _offsets(sums: DataFrame) -> DataFrame:
+    """(_part, _before): sum of n of all partitions before, from a table of one row a partition."""
+    from pyspark.sql import Window
+
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    return sized(sums.select("_part", F.coalesce(before, F.lit(0)).alias("_before")), "offsets")
 
 
 def minimax_cuts(ends: DataFrame, column: str, total: int, largest: int, shards: int) -> list[int]:
@@ -75,9 +72,10 @@ def minimax_cuts(ends: DataFrame, column: str, total: int, largest: int, shards:
 def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8) -> DataFrame:
     """(key, size, text_crc32, shard, slot) of every row.
 
-    size is the text's UTF-8 bytes plus 1 (null: 1). All null texts are one group, all empty texts another. slot
-    counts a shard's rows from 0 in the order of key (nulls last), crc and hash. Repeated rows each get a slot. Fewer
-    groups than shards leave the last shards empty; an empty table gives no rows.
+    size is the text's UTF-8 bytes plus 1 (null: 1). All null texts are one group, all empty texts another; long texts
+    are measured whole. slot counts a shard's rows from 0 in the order of key (nulls last), crc and hash. Repeated rows
+    each get a slot. Fewer groups than shards leave the last shards empty; an empty table gives no rows. Other columns,
+    whatever their names, are not looked at.
     """
     value = F.col(text)
     slim = docs.select(
@@ -95,24 +93,21 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shar
     sort = [F.asc("shard"), F.asc_nulls_last("key"), F.asc_nulls_last("crc"), F.asc("g1")]
     numbered = stored(placed.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part, place = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = numbered.groupBy(part.alias("_part"), "shard").agg(F.count("*").alias("n")).collect()  # partitions + shards rows
-    sums: dict[int, int] = {}
-    in_shard = dict.fromkeys(range(shards), 0)
-    for r in counts:
-        sums[r["_part"]] = sums.get(r["_part"], 0) + r["n"]
-        in_shard[r["shard"]] += r["n"]
+    counts = stored(numbered.groupBy(part.alias("_part"), "shard").agg(F.count("*").alias("n")), "counts")  # partitions + shards rows
+    in_shard = {r["shard"]: r["n"] for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     starts, before = [], 0
     for s in range(shards):
         starts.append(before)
-        before += in_shard[s]
+        before += in_shard.get(s, 0)
     start = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("shard") + 1)
-    out = numbered.withColumn("_part", part).withColumn("slot", _offsets(docs.sparkSession, sums) + place - start)
+    offsets = _offsets(counts.groupBy("_part").agg(F.sum("n").alias("n")))
+    out = numbered.withColumn("_part", part).join(offsets, "_part").withColumn("slot", F.col("_before") + place - start)
     release(rows)
     return out.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 7 under the law ``bytes``."""
+    """All documents in shards 0 to 7 under the law ``bytes``; edge cases as :func:`assign_shards` states."""
     found = assign_shards(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -9,7 +9,8 @@ survivors are verified bit by bit. Only a spanning forest of each cell's links l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,33 +25,50 @@ from .components import connected_components
 
 PIVOTS = 16
 _PIVOT_SEED = 20240229
-#: Shingles unpacked to bits at a time.
-_CHUNK = 1 << 17
-
-
-def shingle_hashes(text: bytes, width: int = 3) -> list[int]:
-    """XXH64 (seed 42) of each run of ``width`` words, A-Z lower-cased; fewer words: of all; none: nothing."""
-    words = text.lower().split()
-    if not words:
-        return []
-    if len(words) <= width:
-        return [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    joined = memoryview(b" ".join(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=False)]
+#: Shingles unpacked to bits and bytes of text cut to words at a time.
+_CHUNK, _PIECE = 1 << 17, 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
 
+def _word_pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, A-Z lower-cased, from pieces of about ``_PIECE`` bytes cut at blanks."""
+    lo = 0
+    while lo < len(text):
+        hi = lo + _PIECE
+        if hi < len(text):
+            cut = _BLANK.search(text, hi)
+            hi = cut.start() if cut else len(text)
+        yield text[lo:hi].lower().split()
+        lo = hi
 
-def fingerprint(hashes: list[int]) -> int:
+
+def shingle_hashes(text: bytes, width: int = 3) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of each run of ``width`` words, A-Z lower-cased, piece by piece; fewer words: of all; none: nothing."""
+    digest = xxhash.xxh64_intdigest
+    carried: list[bytes] = []
+    any_run = False
+    for words in _word_pieces(text):
+        words = carried + words
+        if len(words) >= width:
+            any_run = True
+            joined = memoryview(b" ".join(words))
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            ends = np.cumsum(sizes + 1) - 1
+            starts = (ends - sizes)[: len(words) - width + 1].tolist()
+            yield np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+        carried = words[max(0, len(words) - width + 1) :]
+    if carried and not any_run:
+        yield np.array([digest(b" ".join(carried), 42)], np.uint64)
+
+
+def fingerprint(hashes: Iterable[np.ndarray]) -> int:
     """A bit is 1 if it is set in more than half of the hashes; none: 0."""
-    if not hashes:
-        return 0
-    total = np.zeros(64, np.int64)
-    h = np.array(hashes, np.uint64)
-    for i in range(0, len(h), _CHUNK):
-        total += np.unpackbits(h[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)[0])
+    total, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        n += len(h)
+        for i in range(0, len(h), _CHUNK):
+            total += np.unpackbits(h[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0]) if n else 0
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", width: int = 3) -> DataFrame:
@@ -195,14 +213,16 @@ def _classes(docs: DataFrame, key: str, text: str, radius: int, **kw) -> DataFra
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, **kw) -> DataFrame:
     """(key, fp, component_id) of every row; component_id is the smallest key reachable over links.
 
-    Null and empty texts have fingerprint 0 and are linked like any other. A null key stays null and is never a
-    component's id unless no other key is reachable. Repeated rows get a row each. An empty table gives none.
+    Null and empty texts have fingerprint 0 and are linked like any other; long texts are read whole, in pieces. A null
+    key stays null and is never a component's id unless no other key is reachable. Repeated rows get a row each. Links are
+    decided by bits alone, so there are no ties. An empty table gives none. Other columns, whatever their names, are not
+    looked at.
     """
     return _classes(docs, key, text, radius, **kw).select(key, "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every document."""
+    """doc_id, fingerprint (16 hex digits), component_id of every document; edge cases as :func:`near_duplicates` states."""
     found = near_duplicates(table(tuned(spark), sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -211,21 +231,25 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each near-duplicate class stays: the one of smallest doc_id.
 
     Rows without a doc_id can't be told from each other by it; of a class in which no row has one, and of repeated
-    doc_ids within a class, one row each stays, by fingerprint and then by text hash. A doc_id that several texts carry
-    stays once in each class whose smallest it is. Columns stay as they are.
+    doc_ids within a class, one row each stays: the first by fingerprint, then by two hashes of all its columns. A doc_id
+    that several texts carry stays once in each class whose smallest it is. Null and empty texts are a class of their own
+    and of what links to it; long texts are read whole. Columns, whatever their names, stay as they are.
     """
     tuned(spark)
     names = docs.columns
     found = _classes(docs.select("doc_id", "text"), "doc_id", "text", 3)
     gone = found.where("not (doc_id <=> component_id)").select("doc_id")
-    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
-    leave = sized(gone.union(twice).distinct().select(F.col("doc_id").alias("_gone")), "leave")
-    sole = docs.where("doc_id is not null").join(leave, docs["doc_id"] == leave["_gone"], "left_anti").select(*names)
+    twice = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "twice")
+    leave = sized(gone.union(twice).distinct(), "leave").alias("x")
+    rows = docs.alias("d")
+    columns = [F.col(f"d.`{c}`") for c in names]
+    sole = rows.where("d.doc_id is not null").join(leave, F.col("d.doc_id") == F.col("x.doc_id"), "left_anti").select(*columns)
     if twice.isEmpty():
         return sole
-    again = twice.select(F.col("doc_id").alias("_twice"))
-    rows = with_fingerprint(docs.join(again, docs["doc_id"].eqNullSafe(again["_twice"]), "left_semi").withColumn("_text", F.col("text")), "_text", "_fp")
-    classes = found.select("fp", "root", "component_id").distinct().withColumnsRenamed({"fp": "_fp", "root": "_root", "component_id": "_component"})
-    best = rows.join(classes, "_fp").where("doc_id <=> _component")
-    first = best.groupBy("_root").agg(F.min_by(F.struct(*[best[c] for c in names]), F.struct("_fp", F.xxhash64(best["text"]))).alias("_row"))
-    return sole.unionByName(first.select("_row.*")).select(*names)
+    again = rows.join(twice.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left_semi")
+    again = again.select(F.struct(*columns).alias("row"), F.col("d.doc_id").alias("id"), F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(1), *columns).alias("h2"), F.col("d.text").alias("body"))
+    again = with_fingerprint(again, "body", "fp")
+    classes = found.select("fp", "root", "component_id").distinct()
+    best = again.join(classes, "fp").where("id <=> component_id")
+    first = best.groupBy("root").agg(F.min_by("row", F.struct("fp", "h1", "h2")).alias("row"))
+    return sole.unionByName(first.select("row.*"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored, table, tuned
-from .textkernel import BLANK, running, slices, spans_of, word_spans
+from .textkernel import BLANK, running, slices, spans_of, word_hashes, word_spans
 
 RUN, MIN_WORDS, LONGEST = 3, 12, 20
 #: What the query and its SQL take.
@@ -45,7 +45,7 @@ _MARK[[ord(c) for c in ".!?,;:"]] = True
 
 def word_order(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The first 64 bits of each word's md5; words met before are remembered by their hash."""
-    words, first, which = np.unique(spans_of(running(buf, 0), starts, ends, 0), return_index=True, return_inverse=True)
+    words, first, which = np.unique(word_hashes(buf, starts, ends, 0), return_index=True, return_inverse=True)
     if len(_MEMO) > 500_000:
         _MEMO.clear()
     values = []
@@ -62,7 +62,6 @@ def sentences(buf: np.ndarray, offsets: np.ndarray, longest: int, within: int =
     starts, ends, owner = word_spans(buf, offsets, _IS_WORD)
     if not len(starts):
         return starts, ends, owner, np.zeros(1, np.int64)
-    feeds = np.concatenate([[0], np.cumsum(buf == 10)])
     opens = np.ones(len(starts), bool)
     last = ends[:-1] - 1
     stop = _STOP[buf[last]] & (last > starts[:-1]) & ~_MARK[buf[np.maximum(last - 1, 0)]]
@@ -73,7 +72,8 @@ def sentences(buf: np.ndarray, offsets: np.ndarray, longest: int, within: int =
             least = np.lib.stride_tricks.sliding_window_view(words, within).argmin(axis=1) + np.arange(len(words) - within + 1)
             opens[least[owner[: len(least)] == owner[within - 1 :]]] = True
         return starts, ends, owner, np.append(np.flatnonzero(opens), len(starts))
-    opens[1:] |= feeds[starts[1:]] != feeds[ends[:-1]]
+    feeds = np.flatnonzero(buf == 10)
+    opens[1:] |= np.searchsorted(feeds, starts[1:]) != np.searchsorted(feeds, ends[:-1])
     at = np.flatnonzero(opens)
     place = np.arange(len(starts)) - np.repeat(at, np.diff(np.append(at, len(starts))))
     return starts, ends, owner, np.append(np.flatnonzero(place % longest == 0), len(starts))
@@ -105,7 +105,7 @@ def _runs(docs: DataFrame, run: int, min_words: int, longest: int, extend: bool,
                 continue
             out = []
             for which in (0, 1):
-                marks = spans_of(running(spans_of(running(buf, which), starts, ends, which), 1 - which), first[:-1], first[1:], 1 - which)
+                marks = spans_of(running(word_hashes(buf, starts, ends, which), 1 - which), first[:-1], first[1:], 1 - which)
                 out.append(spans_of(running(marks, which), at, till, which).view(np.int64))
             doc = owner[first[at]]
             base = np.searchsorted(units, np.arange(len(offsets) - 1))  # sentence number of a text's first

@@ -67,22 +67,54 @@ def spans_of(acc: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int)
     return mix((acc[ends] - acc[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D))
 
 
+#: Bytes of text whose arrays are held at a time; longer texts are cut between words.
+CHUNK_BYTES = 1 << 22
+
+
+def _chunks(buf: np.ndarray, is_word: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of pieces of about ``CHUNK_BYTES`` that end where no word goes on."""
+    lo = 0
+    while lo < len(buf):
+        hi = min(len(buf), lo + CHUNK_BYTES)
+        while hi < len(buf):
+            blank = np.flatnonzero(~is_word[buf[hi - 1 : hi + CHUNK_BYTES]])
+            if len(blank):
+                hi += int(blank[0])
+                break
+            hi = min(len(buf), hi + CHUNK_BYTES)
+        yield lo, hi
+        lo = hi
+
+
 def word_spans(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text number of every maximal run of word bytes; a run never crosses two texts."""
-    n = len(buf)
-    if n == 0:
-        e = np.zeros(0, np.int64)
-        return e, e, e
-    w = is_word[buf]
-    first = np.zeros(n + 1, bool)
-    first[offsets] = True
-    opens = w.copy()
-    opens[1:] &= ~w[:-1] | first[1:n]
-    closes = w.copy()
-    closes[:-1] &= ~w[1:] | first[1:n]
-    starts = np.flatnonzero(opens)
-    ends = np.flatnonzero(closes) + 1
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi in _chunks(buf, is_word):
+        n = hi - lo
+        w = is_word[buf[lo:hi]]
+        first = np.zeros(n + 1, bool)
+        first[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, side="right")] - lo] = True
+        opens = w.copy()
+        opens[1:] &= ~w[:-1] | first[1:n]
+        closes = w
+        closes = closes.copy()
+        closes[:-1] &= ~w[1:] | first[1:n]
+        starts.append(np.flatnonzero(opens) + lo)
+        ends.append(np.flatnonzero(closes) + (lo + 1))
+    begin = np.concatenate(starts)
+    return begin, np.concatenate(ends), np.searchsorted(offsets, begin, side="right") - 1
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """Hash of each word; the arrays behind them cover ``CHUNK_BYTES`` at a time (or one longer word)."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, side="right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        out[i:j] = spans_of(running(buf[lo:hi], which), starts[i:j] - lo, ends[i:j] - lo, which)
+        i = j
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
