@@ -2,11 +2,16 @@
 
 A line (text between line feeds, as it stands) is the set of its runs of ``SHINGLE`` characters, a shorter line the
 set of itself. Equal lines are one node. MinHash signatures of ``BANDS`` x ``ROWS`` values give band keys; at a Jaccard
-similarity of 0.8 a pair shares a key with probability 1 - (1 - 0.8^4)^10 = 0.995. Keys held by two or more different
+similarity of 0.8 a pair shares a key with probability 1 - (1 - 0.8^3)^8 = 0.997. Keys held by two or more different
 lines survive; only their lines' texts are fetched, by a scan filtered with a bit table of bounded size. In cells of
 bounded size the exact Jaccard similarity of each pair is computed, a spanning forest of the links leaves the cell, and
 distributed union-find makes components. Of each component the first line, by (key, text hash, line number), is kept.
 
+A band that many lines of one small piece of text share already is known to be shared: its rows are dealt out by id and
+only a marker meets the rows that other pieces have of it, so no task reads a hot band alone. A band of more lines than a
+cell is first verified in chunks that each hold the band's ``PIVOTS`` too; lines alike one template thus become one
+component in time linear in their number. Only lines outside the band's largest component are then compared with all others.
+
 Lines are identified by 64-bit hashes for linking and by 128 bits for equality.
 """
 
@@ -16,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,11 +30,14 @@ from .components import connected_components
 from .simhash import Forest
 from .textkernel import running, spans_of
 
-SHINGLE, BANDS, ROWS, THRESHOLD = 8, 10, 4, 0.8
+SHINGLE, BANDS, ROWS, THRESHOLD = 8, 8, 3, 0.8
+#: Lines of a crowded band that every chunk of it holds; lines of one piece of text that make a band hot.
+PIVOTS, HOT = 8, 16
 _RNG = np.random.default_rng(97)
 _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _MUL = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_FILTER_WORDS = 1 << 18
+#: Most words of 64 bits in the table of line ids (16 MB).
+_FILTER_WORDS = 1 << 21
 
 
 def cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,18 +54,30 @@ def cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return points, starts[full], ends[full], owner[full], number[full]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], at: int, most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Batches cut to about ``most`` characters, whole rows each; a null text counts as empty."""
+def _pieces(batches: Iterator[pa.RecordBatch], at: int, most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[str], int]]:
+    """Batches cut to about ``most`` characters, with the number of the first line; a null text counts as empty.
+
+    A piece holds whole rows, or whole lines of one longer row.
+    """
     for batch in batches:
         texts = [t or "" for t in batch.column(at).to_pylist()]
         lo = size = 0
         for i, t in enumerate(texts):
             if size and size + len(t) > most:
-                yield batch.slice(lo, i - lo), texts[lo:i]
+                yield batch.slice(lo, i - lo), texts[lo:i], 0
                 lo, size = i, 0
+            if len(t) > 2 * most:  # lo == i
+                begin = line = 0
+                while len(t) - begin > 2 * most and (feed := t.find("\n", begin + most)) >= 0:
+                    part = t[begin:feed]
+                    yield batch.slice(i, 1), [part], line
+                    begin, line = feed + 1, line + part.count("\n") + 1
+                yield batch.slice(i, 1), [t[begin:]], line
+                lo = i + 1
+                continue
             size += len(t) + 1
         if lo < len(texts):
-            yield batch.slice(lo), texts[lo:]
+            yield batch.slice(lo), texts[lo:], 0
 
 
 def shingle_values(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,24 +161,74 @@ def links_in_cell(key: np.ndarray, lines: list[str], threshold: float) -> list[t
     return out
 
 
-def _bit_table(ids: DataFrame) -> np.ndarray:
-    """A bit for each id (ids are hashes) in a table of fixed size: at most ``_FILTER_WORDS`` rows reach the driver."""
-    word = F.shiftrightunsigned("id", 6).bitwiseAND(F.lit(_FILTER_WORDS - 1))
+def _bit_table(ids: DataFrame, n: int) -> np.ndarray:
+    """A bit for each of some ``n`` ids (ids are hashes): at most ``_FILTER_WORDS`` rows reach the driver."""
+    words = min(_FILTER_WORDS, 1 << max(10, (n // 8).bit_length()))
+    word = F.shiftrightunsigned("id", 6).bitwiseAND(F.lit(words - 1))
     bit = F.expr("shiftleft(1L, cast(id & 63 as int))")
     got = ids.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(_FILTER_WORDS, np.int64)
+    out = np.zeros(words, np.int64)
     out[np.asarray(got.column("w"), np.int64)] = np.asarray(got.column("bits"), np.int64)
     return out.view(np.uint64)
 
 
+def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, id) of the rows of bands that hold two different ids.
+
+    Input rows (band, kind, id) are sorted; kind 0 marks a band as shared, 1 is a row of a hot band, 2 any other row. Of
+    a band that goes on in the next batch only its last id, its first row and whether it is shared are held.
+    """
+    band_, first, last, shared = None, None, None, False
+    for batch in batches:
+        band, kind, ids = (c.to_numpy() for c in batch.columns)
+        if not len(band):
+            continue
+        plain = kind == 2
+        begins = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+        size = np.diff(np.append(begins, len(band)))
+        which = np.repeat(np.arange(len(begins)), size)
+        # The first id of the band, here or in the batch before; a marker or a row of another id makes it shared.
+        at = np.where(plain, np.arange(len(band)), len(band))
+        lead = np.minimum.reduceat(at, begins)
+        lead_id = np.where(lead < len(band), ids[np.minimum(lead, len(band) - 1)], 0)
+        goes_on = band_ is not None and band[0] == band_
+        if goes_on and first is not None:
+            lead_id[0] = first
+        many = np.bitwise_or.reduceat((kind == 0) | (plain & (ids != lead_id[which])), begins)
+        late = None
+        if goes_on:
+            if many[0] and not shared and first is not None:
+                late = first
+            many[0] |= shared
+        keep = (kind == 1) | (plain & many[which])
+        fresh = np.ones(len(band), bool)
+        fresh[1:] = (band[1:] != band[:-1]) | (ids[1:] != ids[:-1]) | (kind[1:] != kind[:-1])
+        if goes_on and plain[0] and last == ids[0]:
+            fresh[0] = False
+        keep &= fresh
+        out_band, out_ids = band[keep], ids[keep]
+        if late is not None:
+            out_band, out_ids = np.append(out_band, band_), np.append(out_ids, late)
+        new = not goes_on or len(begins) > 1
+        band_, shared = band[-1], bool(many[-1])
+        if lead[-1] < len(band):
+            first = lead_id[-1] if new or first is None else first
+            last = ids[-1] if plain[-1] else last
+        elif new:
+            first, last = None, None
+        if len(out_band):
+            yield pa.RecordBatch.from_arrays([pa.array(out_band), pa.array(out_ids)], ["band", "id"])
+
+
 def fuzzy_links(docs: DataFrame, text: str = "text", *, threshold: float = THRESHOLD, cell: int = 512) -> DataFrame:
-    """(src, dst) links between line ids whose lines reach the similarity and share a band key."""
+    """(src, dst) links between line ids whose lines reach the similarity and share a band key: their components are
+    those of all such links."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text")).where("text is not null")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, texts in _pieces(batches, 0):
+        for _, texts, _ in _pieces(batches, 0):
             points, starts, ends, _, _ = cut(texts)
             if not len(starts):
                 continue
@@ -168,60 +238,31 @@ def fuzzy_links(docs: DataFrame, text: str = "text", *, threshold: float = THRES
             if len(seen) < 500_000:  # repeats beyond are sent again and met after the shuffle
                 seen.update(ids[fresh].tolist())
             if len(fresh):
-                keys = signatures(points, starts[fresh], ends[fresh]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[fresh], BANDS))], ["band", "id"])
+                keys = signatures(points, starts[fresh], ends[fresh]).view(np.int64).ravel()
+                own = np.repeat(ids[fresh], BANDS)
+                found, which, n = np.unique(keys, return_inverse=True, return_counts=True)
+                marked = found[n >= HOT]
+                kind = np.where(n[which.ravel()] >= HOT, 1, 2).astype(np.int8)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(keys, marked)), pa.array(np.append(kind, np.zeros(len(marked), np.int8))), pa.array(np.append(own, np.zeros(len(marked), np.int64)))], ["band", "kind", "id"])
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of bands that hold two different ids; of the band that goes on only its first row and a flag are held."""
-        held: tuple[int, int] | None = None  # band and id of the last band's first row
-        last, several = None, False  # the last row's id; whether the last band is known to hold several
-        for batch in batches:
-            band, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(band):
-                continue
-            goes_on = held is not None and band[0] == held[0]
-            new = np.ones(len(band), bool)
-            new[1:] = (band[1:] != band[:-1]) | (ids[1:] != ids[:-1])
-            new[0] = not (goes_on and ids[0] == last)
-            last = ids[-1]
-            whole_band = band[-1]
-            band, ids = band[new], ids[new]
-            if not len(band):
-                continue
-            first = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-            size = np.diff(np.append(first, len(band)))
-            many = size > 1
-            late = []
-            if goes_on and band[0] == held[0]:
-                if not several:
-                    late = [held]
-                many[0] = True
-            keep = np.repeat(many, size)
-            out_band, out_ids = band[keep], ids[keep]
-            if late:
-                out_band, out_ids = np.append(out_band, late[0][0]), np.append(out_ids, late[0][1])
-            if len(first) > 1 or not goes_on or band[0] != held[0]:
-                held = (int(band[first[-1]]), int(ids[first[-1]]))
-            several = bool(many[-1])
-            assert held[0] == whole_band
-            if len(out_band):
-                yield pa.RecordBatch.from_arrays([pa.array(out_band), pa.array(out_ids)], ["band", "id"])
-
-    pairs = rows.mapInArrow(bands, "band long, id long").repartition("band").sortWithinPartitions("band", "id")
-    alive = stored(pairs.mapInArrow(shared, "band long, id long"), "bands")
+    pairs = rows.mapInArrow(bands, "band long, kind byte, id long")
+    pairs = pairs.repartition(F.when(F.col("kind") == 1, F.xxhash64("band", "id")).otherwise(F.col("band"))).sortWithinPartitions("band", "kind", "id")
+    alive = stored(pairs.mapInArrow(shared_rows, "band long, id long"), "bands")
+    total = alive.count()
     ids = alive.select("id").distinct()
-    bits = spark.sparkContext.broadcast(_bit_table(ids))
+    bits = spark.sparkContext.broadcast(_bit_table(ids, total))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
         seen: set[int] = set()
-        for _, texts in _pieces(batches, 0):
+        for _, texts, _ in _pieces(batches, 0):
             points, starts, ends, _, _ = cut(texts)
             if not len(starts):
                 continue
             own = line_ids(points, starts, ends)[0]
             u = own.view(np.uint64)
-            some = np.flatnonzero((known[(u >> np.uint64(6)) & np.uint64(_FILTER_WORDS - 1)] >> (u & np.uint64(63))) & np.uint64(1))
+            some = np.flatnonzero((known[(u >> np.uint64(6)) & np.uint64(len(known) - 1)] >> (u & np.uint64(63))) & np.uint64(1))
             _, once = np.unique(own[some], return_index=True)
             some = np.array([i for i in some[once].tolist() if own[i] not in seen], np.int64)
             if len(seen) < 500_000:
@@ -234,14 +275,8 @@ def fuzzy_links(docs: DataFrame, text: str = "text", *, threshold: float = THRES
     lines = rows.mapInArrow(fetch, "id long, line string")
     known = stored(lines.join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines")
     crowded = alive.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > cell)
-    large = sized(crowded.select("band", F.ceil(F.col("n") / (cell // 2)).cast("int").alias("_chunks")), "large")
-    parted = alive.join(large, "band", "left").withColumn("chunks", F.coalesce("_chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), "chunks").cast("int"))
-    cells = parted.select("id", F.explode(F.expr("transform(sequence(0, chunks - 1), c -> xxhash64(band, least(own, c), greatest(own, c)))")).alias("cell"))
-    # Bands often hold the same set of lines: a cell with the same lines as another is verified once.
-    mark = cells.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64("id", F.lit(3)).cast("decimal(20,0)")).alias("s2"))
-    unique = mark.where("n > 1").groupBy("n", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell")
-    joined = cells.join(unique, "cell", "left_semi").join(known, "id").select("cell", "id", "line").repartition("cell").sortWithinPartitions("cell", "id")
-
+    large = sized(crowded.select("band", F.ceil(F.col("n") / (cell // 2)).cast("int").alias("chunks")), "large")
+    split = bool(large.head(1))
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell_, ids_, lines_ = np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
@@ -259,15 +294,49 @@ def fuzzy_links(docs: DataFrame, text: str = "text", *, threshold: float = THRES
         if len(cell_):
             yield links(cell_, ids_, lines_)
 
-    return joined.mapInArrow(verify, "src long, dst long")
+    def links_of(cells: DataFrame) -> DataFrame:
+        # Bands often hold the same set of lines: a cell with the same lines as another is verified once.
+        mark = cells.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64("id", F.lit(3)).cast("decimal(20,0)")).alias("s2"))
+        unique = mark.where("n > 1").groupBy("n", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell")
+        joined = cells.join(unique, "cell", "left_semi").join(known, "id").select("cell", "id", "line").repartition("cell").sortWithinPartitions("cell", "id")
+        return joined.mapInArrow(verify, "src long, dst long")
+
+    if not split:
+        return links_of(alive.select("id", F.col("band").alias("cell")))
+    few = alive.join(large, "band", "left_anti").select("id", F.col("band").alias("cell"))
+    # Repeated rows of a hot band that several pieces sent count once; a band's pivots are its least ids by hash.
+    many = stored(alive.join(large, "band").distinct(), "crowded")
+    order = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("id"), "id"))
+    pivots = stored(many.withColumn("_n", order).where(F.col("_n") <= PIVOTS).drop("_n"), "pivots")
+    chunk = F.pmod(F.xxhash64("id", F.lit(7)), "chunks").cast("int")
+    own = many.select("id", F.xxhash64("band", chunk).alias("cell"))
+    with_pivots = pivots.select("id", F.explode(F.expr("transform(sequence(0, chunks - 1), c -> xxhash64(band, c))")).alias("cell"))
+    first = stored(links_of(few.unionByName(own.unionByName(with_pivots).distinct())), "links")
+    roots = connected_components(first)
+    labelled = stored(many.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")), "labelled")
+    largest = labelled.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"))
+    largest = stored(largest.select("band", F.col("m.root").alias("main"), (F.col("n") - F.col("m.n")).alias("strays"), "n").where("strays > 0"), "largest")
+    if not largest.head(1):
+        return first
+    half = cell // 2
+    parted = labelled.join(sized(largest, "largest"), "band").withColumn("stray", F.col("root") != F.col("main"))
+    hashed = F.xxhash64("id", F.lit(7))
+    parted = parted.withColumn("s", F.ceil(F.col("strays") / half).cast("int")).withColumn("c", F.greatest(F.ceil((F.col("n") - F.col("strays")) / half), F.lit(1)).cast("int"))
+    # A cell is a chunk of strays with another one (numbers below s) or with a chunk of the main component (from s on).
+    at = F.when(F.col("stray"), F.pmod(hashed, "s")).otherwise(F.col("s") + F.pmod(hashed, "c")).cast("int")
+    meets = F.when(F.col("stray"), F.expr("sequence(0, s + c - 1)")).otherwise(F.expr("sequence(0, s - 1)"))
+    spread = parted.select("id", "band", at.alias("at"), F.explode(meets).alias("to"))
+    rest = spread.select("id", F.xxhash64("band", F.least("at", "to"), F.greatest("at", "to"), F.lit(1)).alias("cell"))
+    return first.unionByName(links_of(rest))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     """(key, k, line, h1, h2) of every non-empty line; k tells texts of one key apart."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _pieces(batches, 2):
+        for part, texts, line in _pieces(batches, 2):
             points, starts, ends, owner, number = cut(texts)
+            number = number + line
             if len(starts):
                 h1, h2 = line_ids(points, starts, ends)
                 take = pa.array(owner)
@@ -282,7 +351,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     """(key, k, removed array<int>): line numbers from 0 that are not the first of their component.
 
     ``k`` is xxhash64 of the text. Rows equal in key and text count as one document. Empty lines are never removed;
-    null texts have no lines; a null key is a key of its own and sorts first.
+    null and empty texts have no lines; long texts are read whole, in pieces of whole lines. A null key is a key of its
+    own and sorts first; ties of a key go by text hash. An empty table gives no rows. Other columns, whatever their
+    names, are not looked at.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
     roots = sized(connected_components(fuzzy_links(rows, threshold=threshold)).withColumnsRenamed({"node": "h1"}), "line-roots")
@@ -296,15 +367,17 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
 
 
 def remove_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """``docs`` with removed lines cut out of the text; nulls stay null."""
-    found = repeated_lines(docs, key, text, **kw).withColumnsRenamed({key: "_id", "k": "_k", "removed": "_removed"})
-    names = docs.columns
-    joined = docs.join(found, docs[key].eqNullSafe(found["_id"]) & (F.xxhash64(docs[text]) == found["_k"]), "left")
-    parts = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("_removed"), i))
-    return joined.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(parts, "\n"))).select(*names)
+    """``docs`` with removed lines cut out of the text; nulls and all other columns, whatever their names, stay."""
+    found = repeated_lines(docs, key, text, **kw).select(F.struct(F.col(key).alias("id"), "k").alias("id"), "removed").alias("f")
+    rows = docs.alias("d")
+    whole = F.col(f"d.`{text}`")
+    same = F.struct(F.col(f"d.`{key}`").alias("id"), F.xxhash64(whole).alias("k")).eqNullSafe(F.col("f.id"))
+    parts = F.filter(F.split(whole, "\n", -1), lambda x, i: ~F.array_contains(F.col("f.removed"), i))
+    left = F.when(F.col("f.removed").isNull(), whole).otherwise(F.array_join(parts, "\n")).alias(text)
+    return rows.join(found, same & whole.isNotNull(), "left").select(*[left if c == text else F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, removed_lines, first_removed, last_removed of every document that loses a line."""
+    """doc_id, removed_lines, first_removed, last_removed of every document that loses a line; edge cases as :func:`repeated_lines`."""
     found = repeated_lines(table(tuned(spark), sf_dir, "documents"))
     return found.select("doc_id", F.size("removed").alias("removed_lines"), F.element_at("removed", 1).alias("first_removed"), F.element_at("removed", -1).alias("last_removed"))
