@@ -132,8 +132,9 @@ def train(
 ) -> ToxicityModel:
     """Fit on labelled texts. A key with several labels counts as toxic if one of them says so; nulls are left out.
 
-    The sample of keys is bounded, so it is broadcast to the texts and no text is shuffled. Without labels of both
-    classes the model scores the share of toxic labels everywhere.
+    The sample of keys is bounded (by expectation), so it is broadcast to the texts and no text is shuffled. Without
+    labels of both classes, as in empty tables, the model scores the share of toxic labels everywhere. Long texts are
+    read whole; repeated rows of a document count each; features that tie at the bound are taken in code-point order.
     """
     spark = docs.sparkSession
     given = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).where("key is not null and toxic in (0, 1)").groupBy("key").agg(F.max("toxic").alias("toxic"))
@@ -180,7 +181,11 @@ def train(
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the probability that the text is toxic in place of the text; null and empty texts get the base."""
+    """``docs`` with the probability that the text is toxic in place of the text; null and empty texts get the base.
+
+    Long texts are read whole, repeated rows get a row each, an empty table gives none; an existing column of the
+    result's name is replaced, the others stay.
+    """
     keep = [c for c in docs.columns if c not in (text, out)]
     docs = docs.select(*keep, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -209,7 +214,10 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str =
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; learns labels of rows that are not held out."""
+    """doc_id, held_out, score, predicted of every document; learns labels of rows that are not held out.
+
+    Edge cases as :func:`train` and :func:`score` state.
+    """
     docs, labels = table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels.where(crc_mod("doc_id", 3) != 1))
     rows = docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "text")
