@@ -128,8 +128,9 @@ def clamp(x: Column, least: int = WORKERS_LEAST, most: int = WORKERS_MOST) -> Co
     return F.greatest(F.lit(least), F.least(x, F.lit(most)))
 
 
-def complete(present: Column, total: Column, share: float = COMPLETE_SHARE) -> Column:
-    return present >= share * total
+def complete(present: Column, total: Column, share: float = COMPLETE_SHARE, *, strict: bool = False) -> Column:
+    """Enough segments are there; ``strict`` wants all of them."""
+    return present >= total if strict else present >= share * total
 
 
 def healthy(size: Column, seconds: Column) -> Column:
@@ -153,12 +154,49 @@ def error_class(message: Column) -> Column:
         .otherwise("other"))
 
 
+def fetch_error_class(message: Column, absent: tuple[str, ...]) -> Column:
+    """Classes of a failed look-up: proxy, absent (the message holds one of the given phrases), else other."""
+    missing = F.lit(False)
+    for phrase in absent:
+        missing = missing | message.contains(phrase)
+    return F.when(F.lower(message).contains("proxy"), "proxy").when(missing, "absent").otherwise("other")
+
+
+def reachable(*endpoints: Column) -> Column:
+    """All endpoints answered; one that is not known did not."""
+    out = F.lit(True)
+    for e in endpoints:
+        out = out & F.coalesce(e, F.lit(False))
+    return out
+
+
+def succeeded(status: Column, word: str) -> Column:
+    """The status text holds the word of success."""
+    return F.coalesce(status.contains(word), F.lit(False))
+
+
+def probed_duration(text: Column) -> Column:
+    """Seconds that a media probe has printed; anything but a number that is not negative counts as a failure, 0."""
+    seconds = F.trim(text).try_cast("double")
+    return F.when((seconds >= 0) & (seconds < float("inf")), seconds).otherwise(F.lit(0.0))
+
+
+def reusable_audio(size: Column, duration: Column) -> Column:
+    """An extracted 16 kHz mono 16-bit file is kept: above 1,000 bytes and a tenth of what the duration asks for."""
+    return size > F.greatest(F.lit(1000.0), F.greatest(duration, F.lit(0.0)) * 32000 * 0.1)
+
+
+def has_output(size: Column, least: int = 1000) -> Column:
+    """An output file counts as made if it is larger than ``least`` bytes."""
+    return F.coalesce(size > least, F.lit(False))
+
+
 def http_hint(status: Column) -> Column:
     return F.when(status == 403, "token may be expired").when(status == 404, "video missing or deleted").otherwise("")
 
 
-def probe_state(ok: Column, error: Column, code: Column, http: Column, proxied: Column, busy_code: int = 61101114) -> Column:
-    """Ordered states of a connectivity probe; waf tells whether a proxy was on."""
+def probe_state(ok: Column, error: Column, code: Column, http: Column, proxied: Column, busy_code: int) -> Column:
+    """Ordered states of a connectivity probe; waf (the service's ``busy_code``) tells whether a proxy was on."""
     refused = code.isin(401, 403) | http.isin(401, 403)
     return (
         F.when(ok, "ok").when(F.coalesce(error, F.lit("")) != "", "neterr")

@@ -21,10 +21,12 @@ def missing_by_either(expected: DataFrame, by_stem: DataFrame, by_title: DataFra
     return expected.join(by_stem, stem, "left_anti").join(by_title, title, "left_anti")
 
 
-def upper_median(x: Column) -> Column:
-    """The upper of the two middle values: element n // 2 (from 0) of the sorted values."""
-    values = F.array_sort(F.collect_list(x))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+def upper_median(column: str) -> Column:
+    """The upper of the two middle values of a column: element n // 2 (from 0) of the sorted values.
+
+    Counted downwards, the discrete median is just that; values are pre-aggregated by their counts.
+    """
+    return F.expr(f"percentile_disc(0.5) within group (order by `{column}` desc)")
 
 
 def inventory(files: DataFrame, course: str, kind: str, kinds: list[str]) -> DataFrame:
@@ -41,8 +43,13 @@ def done_flag(videos: Column, *outputs: Column) -> Column:
 
 
 def prefix_map(rows: DataFrame, mapping: DataFrame, name: str, prefix: str) -> DataFrame:
-    """Rows with the mapping whose prefix their name starts with; the mapping is a short configured list."""
-    return rows.join(F.broadcast(mapping), F.col(name).startswith(F.col(prefix)))
+    """Rows with every mapping row whose prefix their name starts with.
+
+    Names are cut to each length that a prefix has (one row a length), so this is an equi-join of any size.
+    """
+    lengths = mapping.select(F.length(prefix).alias("_n")).where("_n is not null").distinct().agg(F.collect_list("_n").alias("_lengths"))
+    cut = rows.crossJoin(lengths).withColumn("_n", F.explode("_lengths")).where(F.length(name) >= F.col("_n"))
+    return cut.withColumn("_start", F.substr(F.col(name), F.lit(1), F.col("_n"))).join(mapping, F.col("_start") == F.col(prefix)).drop("_lengths", "_n", "_start")
 
 
 def backfill(videos: DataFrame, audio: DataFrame, on: str) -> DataFrame:
@@ -57,10 +64,10 @@ def copy_plan(source: DataFrame, target: DataFrame, path: str, size: str) -> Dat
 
 
 def matrix(*axes: DataFrame) -> DataFrame:
-    """All combinations of short configured axes."""
+    """All combinations of configured axes; by their sizes Spark broadcasts them or not."""
     out = axes[0]
     for axis in axes[1:]:
-        out = out.crossJoin(F.broadcast(axis))
+        out = out.crossJoin(axis)
     return out
 
 
@@ -69,7 +76,50 @@ def top_by(df: DataFrame, order: list, n: int) -> DataFrame:
 
 
 def concat_capped(df: DataFrame, keys: list[str], order: list[str], header: Column, text: Column, most: int = 180_000, tail: str = "\n...(cut)") -> DataFrame:
-    """Non-empty texts joined in order under their headers, capped with a mark."""
-    parts = df.withColumn("_t", text).where(F.trim("_t") != "").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.concat(header, F.col("_t")).alias("_p")))).alias("_l"))
+    """Non-empty texts joined in order under their headers, capped with a mark.
+
+    Rows that begin beyond the cap are dropped by a running length before anything is collected.
+    """
+    rows = df.withColumn("_t", text).where(F.trim("_t") != "").withColumn("_p", F.concat(header, F.col("_t")))
+    before = F.coalesce(F.sum(F.length("_p") + 1).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = rows.withColumn("_before", before).where(F.col("_before") <= most)
+    parts = near.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "_p"))).alias("_l"))
     whole = F.array_join(F.transform("_l", lambda x: x["_p"]), "\n")
     return parts.withColumn("text", F.when(F.length(whole) > most, F.concat(F.substring(whole, 1, most), F.lit(tail))).otherwise(whole)).drop("_l")
+
+
+def first_keys(df: DataFrame, keys: list[str], value: str, n: int = 10) -> DataFrame:
+    """(keys, n, first): the number of distinct values of each key and the first ``n`` of them in order."""
+    once = df.select(*keys, value).distinct()
+    total = once.groupBy(*keys).agg(F.count("*").alias("n"))
+    few = once.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).where(F.col("_n") <= n)
+    return total.join(few.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("first")), keys)
+
+
+def first_match(sessions: DataFrame, wanted: DataFrame, on: str, order: list[str]) -> DataFrame:
+    """Of each wanted id the first session that carries it, in the order in which the courses were searched."""
+    return keep_first(sessions.join(wanted, on, "left_semi"), [on], [F.asc(c) for c in order])
+
+
+def counts_by(df: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, counts): a map from item to its number of rows; items without rows are absent."""
+    per = df.groupBy(key, item).agg(F.count("*").alias("n"))
+    return per.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(item, "n")))).alias("counts"))
+
+
+def selected(items: DataFrame, choice: DataFrame, pos: str) -> DataFrame:
+    """Chosen items in the order of their place in the list."""
+    return items.join(choice, pos, "left_semi").orderBy(pos)
+
+
+def by_name(df: DataFrame, name: str) -> DataFrame:
+    """Rows in code-point order of a name, as directory walks are sorted."""
+    return df.orderBy(F.col(name).cast("binary"))
+
+
+def extensions(*lists: DataFrame) -> DataFrame:
+    """The union of lists as a set."""
+    out = lists[0]
+    for one in lists[1:]:
+        out = out.unionAll(one)
+    return out.distinct()

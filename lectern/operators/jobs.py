@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import complete
+from ..functions.scalars import complete, succeeded
 from .catalog import upper_median
 
 HISTORY_MOST = 50
@@ -26,7 +26,7 @@ def final_attempts(attempts: DataFrame, keys: list[str], ok: Column) -> DataFram
 def rank_trials(trials: DataFrame, keys: list[str], value: Column, keep: Column | None = None) -> DataFrame:
     """Upper median a configuration, rank from 1 (ties by name) and ratio to the best."""
     rows = trials if keep is None else trials.where(keep)
-    med = rows.groupBy(*keys).agg(upper_median(value).alias("median"), F.count("*").alias("trials"))
+    med = rows.withColumn("_value", value).groupBy(*keys).agg(upper_median("_value").alias("median"), F.count("*").alias("trials"))
     w = Window.orderBy("median", *keys)  # one row a configuration
     best = F.first("median").over(w)
     return med.withColumn("rank", F.row_number().over(w)).withColumn("ratio", F.when(best > 0, F.round(F.col("median") / best, 2)))
@@ -43,3 +43,47 @@ def history(events: DataFrame, key: str, at: str, **last: str) -> DataFrame:
     newest = [F.max(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(F.col(at), F.col(c))))[c].alias(name) for name, c in last.items()]
     rows = events.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("count"), F.max(at).alias("last_used"), *newest)
     return rows.orderBy(F.desc("last_used"), key).limit(HISTORY_MOST)
+
+
+def batch_totals(results: DataFrame, slides: str = "slides", status: str = "status", word: str = "ok", segments: str | None = None) -> DataFrame:
+    """One row: files, those that succeeded, slides in all and, if given, segments in all; an empty batch gives zeros."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (slides, segments) if c]
+    return results.agg(F.count("*").alias("files"), F.count_if(succeeded(F.col(status), word)).alias("succeeded"), *sums)
+
+
+def retryable(tasks: DataFrame, status: str = "status", failed: int = -1) -> DataFrame:
+    """Tasks to run again: those that failed."""
+    return tasks.where(F.col(status) == failed)
+
+
+def last_samples(samples: DataFrame, keys: list[str], order: list[str], value: str, n: int = 30) -> DataFrame:
+    """(keys, history): the last ``n`` samples of each key, oldest first."""
+    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    few = samples.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n)
+    history = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v")))), lambda x: x["v"])
+    return few.groupBy(*keys).agg(history.alias("history"))
+
+
+def merge_manifest(segments: DataFrame, job: str, idx: str = "idx", size: str = "bytes") -> DataFrame:
+    """(job, pos, file, bytes, total): the present segments in merging order, with the bytes of the whole."""
+    there = segments.where(F.col(size) > 0)
+    whole = Window.partitionBy(job)
+    pos = F.row_number().over(whole.orderBy(idx))
+    return there.select(job, pos.alias("pos"), F.concat(F.col(idx).cast("string"), F.lit(".ts")).alias("file"), F.col(size).alias("bytes"), F.sum(size).over(whole).alias("total"))
+
+
+def cleaned_history(rows: DataFrame) -> DataFrame:
+    """Entries with a course id that is not blank; missing texts become empty, a missing or zero count 1."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    good = rows.where(F.trim(F.coalesce("course_id", F.lit(""))) != "")
+    return good.select("course_id", text("course_name"), text("professor"), text("last_used"), F.coalesce(F.nullif("count", F.lit(0)), F.lit(1)).alias("count"))
+
+
+def without(rows: DataFrame, key: str, value) -> DataFrame:
+    """History without the entry of a key (white space around it is ignored)."""
+    return rows.where(~F.col(key).eqNullSafe(F.trim(F.lit(value).cast("string"))))
+
+
+def cleared(rows: DataFrame) -> DataFrame:
+    """An empty history of the same columns."""
+    return rows.where(F.lit(False))

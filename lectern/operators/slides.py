@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import BLANK_VARIANCE, minute_time
-from .timeline import ordered_scan
+from .timeline import scan_keys
 
 # Fixed values of the keyframe machine: bits that count as a change (similarity < 0.92 of 256), flags in the window,
 # share of flags that marks a video passage, stable samples after it, least samples between slides.
@@ -83,11 +83,12 @@ def advance(m: Machine, ts: float, word: int, bits: int) -> list[float]:
 
 def keyframes(frames: DataFrame, media: str, ts: str, word: str, bits: int = 64) -> DataFrame:
     """(media, ts) of the slides; passages that keep changing are skipped until they settle."""
-    kind = dict(frames.dtypes)
     mask = (1 << bits) - 1
-    return ordered_scan(
-        frames.select(media, ts, word), [media], [ts], Machine,
-        lambda m, row: [(getattr(row, media), t) for t in advance(m, getattr(row, ts), int(getattr(row, word)) & mask, bits)], f"{media} {kind[media]}, {ts} {kind[ts]}")
+
+    def feed(m: Machine, rows: dict[str, np.ndarray]) -> dict[str, list]:
+        return {ts: [t for at, w in zip(rows[ts].tolist(), rows[word].tolist(), strict=True) for t in advance(m, at, w & mask, bits)]}
+
+    return scan_keys(frames, [media], [ts], Machine, feed, f"{ts} {dict(frames.dtypes)[ts]}", word)
 
 
 def change_ratio(frames: DataFrame, media: str, ts: str, word: str, bits: int = 64) -> DataFrame:
@@ -104,6 +105,18 @@ def manifest_line(media: Column, ts: Column) -> Column:
     return F.concat_ws(" ", media.cast("string"), minute_time(ts))
 
 
+def slide_manifest(media: DataFrame, slides: DataFrame, on: str, file: str, error: str = "error") -> DataFrame:
+    """(media, status, slides, files): every medium that was tried, its images in name order.
+
+    A medium without slides still gets a row, a placeholder, so that it is not tried again; one whose extraction failed
+    says why.
+    """
+    images = slides.groupBy(on).agg(F.array_sort(F.collect_list(file)).alias("files"), F.count("*").alias("slides"))
+    n = F.coalesce("slides", F.lit(0))
+    status = F.when(F.col(error).isNotNull(), F.concat(F.lit("failed: "), F.col(error))).when(n > 0, F.format_string("ok (%d)", n)).otherwise("placeholder")
+    return media.select(on, error).join(images, on, "left").select(on, status.alias("status"), n.alias("slides"), F.coalesce("files", F.array().cast("array<string>")).alias("files"))
+
+
 def _cosines(n: int, k: int) -> np.ndarray:
     """The first ``k`` rows of the type-II cosine transform of ``n`` samples."""
     return np.cos(np.pi * np.arange(k)[:, None] * (2 * np.arange(n)[None, :] + 1) / (2 * n))

@@ -1,12 +1,14 @@
 """Order-dependent rules. Those that read only neighbours are window functions. Those whose next step depends on what
-they kept before are folds over a key's sorted rows, or a scan of sorted partitions when a key may be long."""
+they kept before are scans of sorted partitions with a state, or, for the short lists of one row, folds of an array."""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,22 +99,128 @@ def adaptive_window(oks: Column, initial: int = 16, up: int = 1, down: int = 2,
     return F.aggregate(oks, start, step, lambda h: F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))))
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], make: Callable[[], Any], step: Callable[[Any, Any], list[tuple]], schema: str) -> DataFrame:
-    """Run a state machine over each key's rows in order; memory is one state, however long a key is.
+def scan_keys(df: DataFrame, keys: list[str], order: list[str], make: Callable[[], Any], feed: Callable[[Any, dict[str, np.ndarray]], dict[str, Any]], schema: str, *cols: str) -> DataFrame:
+    """Run a state machine over each key's rows in order, however long a key is: memory is one batch and one state.
 
-    ``make()`` gives a state, ``step(state, row)`` the output rows for a named tuple of the input.
+    ``make()`` gives a state. ``feed(state, columns)`` gets the next rows of one key as arrays and returns arrays of the
+    output columns beside the keys, of any one length.
     """
-    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for pdf in batches:
-            out: list[tuple] = []
-            for row in pdf.itertuples(index=False):
-                now = tuple(getattr(row, k) for k in keys)
-                if now != key:
-                    key, state = now, make()
-                out += step(state, row)
-            yield pd.DataFrame(out, columns=names)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    kinds = dict(df.dtypes)
+    full = ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema])
+    names = [part.split()[0] for part in schema.split(", ")]
+    wanted = [*keys, *dict.fromkeys([*order, *cols])]
+    rows = df.select(*wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            heads = [batch.column(i) for i in range(len(keys))]
+            change = np.zeros(batch.num_rows, bool)
+            for c in heads:
+                codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                change[1:] |= codes[1:] != codes[:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            columns = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(wanted) if i >= len(keys)}
+            at: list[int] = []
+            out: dict[str, list] = {n: [] for n in names}
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(c[lo].as_py() for c in heads)
+                if state is None or key != held:
+                    held, state = key, make()
+                got = feed(state, {n: v[lo:hi] for n, v in columns.items()})
+                size = len(got[names[0]])
+                at += [lo] * size
+                for n in names:
+                    out[n].extend(got[n])
+            if at:
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in heads), *(pa.array(out[n], types[n]) for n in names)], [*keys, *names])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    parsed = df.sparkSession.createDataFrame([], full).schema
+    types = {f.name: to_arrow_type(f.dataType) for f in parsed if f.name in names}
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, full)
+
+
+def spaced(df: DataFrame, keys: list[str], order: list[str], value: str, least: float, out: str) -> DataFrame:
+    """(keys, out) of the rows at least ``least`` after the last one kept; the first is kept."""
+    kind = dict(df.dtypes)[out]
+
+    def feed(state: dict, rows: dict[str, np.ndarray]) -> dict[str, Any]:
+        v = np.asarray(rows[value], float)
+        i = 0 if state.get("last") is None else int(np.searchsorted(v, state["last"] + least))
+        taken = []
+        while i < len(v):
+            taken.append(i)
+            state["last"] = float(v[i])
+            # The next row that far ahead; rounding may put it one off.
+            i = max(i + 1, int(np.searchsorted(v, state["last"] + least)))
+            while i < len(v) and v[i] - state["last"] < least:
+                i += 1
+        return {out: rows[out][taken].tolist()}
+
+    return scan_keys(df, keys, order, dict, feed, f"{out} {kind}", value, out)
+
+
+def throttled(df: DataFrame, keys: list[str], done: str, total: str, step: float, *cols: str) -> DataFrame:
+    """(keys, done, cols) of the rows emitted when ``step`` further than the last emitted (from 0) or complete."""
+    kinds = dict(df.dtypes)
+
+    def feed(state: dict, rows: dict[str, np.ndarray]) -> dict[str, Any]:
+        d, whole = rows[done], rows[total]
+        taken, i = [], 0
+        while i < len(d):
+            due = np.flatnonzero((d[i : i + 4096] >= state["last"] + step) | (d[i : i + 4096] == whole[i : i + 4096]))
+            if not len(due):
+                i += 4096
+                continue
+            i += int(due[0])
+            taken.append(i)
+            state["last"] = float(d[i])
+            i += 1
+        return {c: rows[c][taken].tolist() for c in (done, *cols)}
+
+    return scan_keys(df, keys, [done], lambda: {"last": 0.0}, feed, ", ".join(f"{c} {kinds[c]}" for c in (done, *cols)), total, *cols)
+
+
+def unlike(df: DataFrame, keys: list[str], order: list[str], word: str, most: int, out: str, memory: int = 1) -> DataFrame:
+    """(keys, out) of the rows whose hash differs in more than ``most`` bits from each of the last ``memory`` kept."""
+    kind = dict(df.dtypes)[out]
+
+    def feed(state: deque, rows: dict[str, np.ndarray]) -> dict[str, Any]:
+        words = rows[word].astype(np.int64).view(np.uint64)
+        taken, i = [], 0
+        while i < len(words):
+            block = words[i : i + 256]
+            fresh = np.ones(len(block), bool)
+            for kept in state:
+                fresh &= np.bitwise_count(block ^ kept) > most
+            hit = np.flatnonzero(fresh)
+            if not len(hit):
+                i += len(block)
+                continue
+            i += int(hit[0])
+            taken.append(i)
+            state.append(words[i])
+            i += 1
+        return {out: rows[out][taken].tolist()}
+
+    return scan_keys(df, keys, order, lambda: deque(maxlen=memory), feed, f"{out} {kind}", word, out)
+
+
+def windows(df: DataFrame, keys: list[str], order: list[str], ok: str, initial: int = 16, up: int = 1, down: int = 2, least: int = 4, most: int = 64) -> DataFrame:
+    """(keys, pos, size): window sizes after each result, up on success, down on failure, within bounds."""
+
+    def feed(state: dict, rows: dict[str, np.ndarray]) -> dict[str, Any]:
+        size, out = state["size"], []
+        for good in rows[ok].tolist():
+            size = min(size + up, most) if good else max(size - down, least)
+            out.append(size)
+        pos = list(range(state["pos"], state["pos"] + len(out)))
+        state["size"], state["pos"] = size, state["pos"] + len(out)
+        return {"pos": pos, "size": out}
+
+    return scan_keys(df, keys, order, lambda: {"size": initial, "pos": 1}, feed, "pos long, size int", ok)

@@ -94,7 +94,7 @@ SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'ok' WHEN event_id % 5 = 1 THEN
 def q_probe_state(t: Tables) -> DataFrame:
     k = F.col("event_id") % 5
     return t.events.select("event_id", fn.probe_state(
-        k == 0, F.when(k == 1, "no route"), F.when(k == 2, 61101114).otherwise(0), F.when(k == 3, 401).otherwise(200), F.col("user_id") % 2 == 0).alias("state"))
+        k == 0, F.when(k == 1, "no route"), F.when(k == 2, 777).otherwise(0), F.when(k == 3, 401).otherwise(200), F.col("user_id") % 2 == 0, 777).alias("state"))
 
 
 @query("SELECT p_partkey, greatest(4, least(p_size, 32)) AS workers, p_size >= 0.95 * 50 AS gate FROM part")
@@ -131,11 +131,11 @@ def q_course_filter(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT user_id, arg_max(event_id, ts) AS event_id FROM events, (SELECT max(ts) AS top FROM events) WHERE ts >= top - INTERVAL 1 DAY GROUP BY user_id""")
+SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events, (SELECT max(ts) AS top FROM events) WHERE ts >= top - INTERVAL 1 DAY GROUP BY user_id""")
 def q_recent(t: Tables) -> DataFrame:
     top = t.events.agg(F.max("ts").alias("top"))
     recent = t.events.crossJoin(F.broadcast(top)).where(F.col("ts") >= F.col("top") - F.expr("INTERVAL '1' DAY"))
-    return recent.groupBy("user_id").agg(F.max_by("event_id", "ts").alias("event_id"))
+    return recent.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
 @query("""
@@ -213,8 +213,8 @@ def q_image_counts(t: Tables) -> DataFrame:
 @query("""
 SELECT l_suppkey, array_to_string((list_sort(list(DISTINCT l_orderkey)))[1:10], ',') AS first_ten, len(list(DISTINCT l_orderkey)) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey""")
 def q_failed_ten(t: Tables) -> DataFrame:
-    keys = F.array_sort(F.collect_set("l_orderkey"))
-    return t.lineitem.where("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.array_join(F.slice(keys, 1, 10).cast("array<string>"), ",").alias("first_ten"), F.size(keys).cast("long").alias("n"))
+    found = ops.first_keys(t.lineitem.where("l_returnflag = 'R'"), ["l_suppkey"], "l_orderkey")
+    return found.select("l_suppkey", F.array_join(F.col("first").cast("array<string>"), ",").alias("first_ten"), "n")
 
 
 @query("SELECT DISTINCT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region WHERE r_regionkey < 3")
@@ -224,7 +224,7 @@ def q_set_ops(t: Tables) -> DataFrame:
 
 @query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def q_difference(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_nationkey").alias("k")).exceptAll(t.customer.limit(0).select("c_nationkey")).subtract(t.supplier.where("s_acctbal > 5000").select("s_nationkey"))
+    return t.customer.select(F.col("c_nationkey").alias("k")).subtract(t.supplier.where("s_acctbal > 5000").select("s_nationkey"))
 
 
 @query("SELECT p_partkey, p_retailprice FROM part WHERE p_size > 5 ORDER BY p_retailprice DESC, p_partkey LIMIT 10")

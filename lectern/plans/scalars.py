@@ -15,8 +15,8 @@ def q_sanitize(t: Tables) -> DataFrame:
     return t.pages.select("page_id", fn.sanitize_name(F.col("url")).alias("name"), fn.basename(F.col("url")).alias("base"))
 
 
-@query(r"""
-SELECT doc_id, array_to_string(regexp_extract_all(x, '第\d+周\s+星期[一二三四五六日天]\s+第\d+大节'), '|') AS titles
+@query(f"""
+SELECT doc_id, array_to_string(regexp_extract_all(x, '{fn.SESSION_TITLE}'), '|') AS titles
 FROM (SELECT doc_id, '课 第' || (doc_id % 20) || '周 星期' || (CASE WHEN doc_id % 2 = 0 THEN '一' ELSE '八' END) || ' 第3大节, 第1周 星期日 第' || (doc_id % 7) || '大节' AS x FROM documents)""")
 def q_title_extract(t: Tables) -> DataFrame:
     d = F.col("doc_id")

@@ -69,8 +69,7 @@ k AS (SELECT user_id, event_id, s, n, s AS kept, TRUE AS take FROM e WHERE n = 1
   UNION ALL SELECT e.user_id, e.event_id, e.s, e.n, CASE WHEN e.s - k.kept >= 43200 THEN e.s ELSE k.kept END, e.s - k.kept >= 43200 FROM k JOIN e ON e.user_id = k.user_id AND e.n = k.n + 1)
 SELECT user_id, event_id FROM k WHERE take""")
 def q_min_interval(t: Tables) -> DataFrame:
-    rows = ops.sorted_rows(_timed(t), ["user_id"], ["ts", "event_id"], "s")
-    return rows.select("user_id", F.explode(ops.keep_spaced(F.col("rows"), "s", 43200.0)).alias("r")).select("user_id", "r.event_id")
+    return ops.spaced(_timed(t), ["user_id"], ["s", "event_id"], "s", 43200.0, "event_id")
 
 
 @query("""
@@ -82,9 +81,9 @@ SELECT user_id, event_id, n AS done FROM k WHERE take""")
 def q_throttle(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
-    numbered = t.events.withColumn("done", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"))
-    rows = ops.sorted_rows(numbered, ["user_id"], ["done"], "event_id")
-    return rows.select("user_id", F.explode(ops.throttle(F.col("rows"), "done", F.size("rows"), 5)).alias("r")).select("user_id", "r.event_id", "r.done")
+    w = Window.partitionBy("user_id")
+    numbered = t.events.select("user_id", "event_id", F.row_number().over(w.orderBy("ts", "event_id")).cast("long").alias("done"), F.count("*").over(w).alias("total"))
+    return ops.throttled(numbered, ["user_id"], "done", "total", 5, "event_id")
 
 
 @query("""
@@ -93,9 +92,9 @@ k AS (SELECT user_id, n, CASE WHEN ok THEN 17 ELSE 14 END AS w FROM e WHERE n =
   UNION ALL SELECT e.user_id, e.n, CASE WHEN e.ok THEN least(k.w + 1, 64) ELSE greatest(k.w - 2, 4) END FROM k JOIN e ON e.user_id = k.user_id AND e.n = k.n + 1)
 SELECT user_id, max(w) AS top, min(w) AS low, arg_max(w, n) AS last FROM k GROUP BY user_id""")
 def q_aimd(t: Tables) -> DataFrame:
-    rows = ops.sorted_rows(t.events, ["user_id"], ["ts", "event_id"], "event_type")
-    w = ops.adaptive_window(F.transform("rows", lambda r: r["event_type"] != "error"))
-    return rows.select("user_id", w.alias("w")).select("user_id", F.array_max("w").alias("top"), F.array_min("w").alias("low"), F.element_at("w", -1).alias("last"))
+    rows = _timed(t).select("user_id", "s", "event_id", (F.col("event_type") != "error").alias("ok"))
+    sizes = ops.windows(rows, ["user_id"], ["s", "event_id"], "ok")
+    return sizes.groupBy("user_id").agg(F.max("size").alias("top"), F.min("size").alias("low"), F.max_by("size", "pos").alias("last"))
 
 
 @query(f"""
@@ -104,8 +103,8 @@ k AS (SELECT label, vec_id, n, w AS kept, TRUE AS take FROM e WHERE n = 1
   UNION ALL SELECT e.label, e.vec_id, e.n, CASE WHEN bit_count(xor(e.w, k.kept)) > 25 THEN e.w ELSE k.kept END, bit_count(xor(e.w, k.kept)) > 25 FROM k JOIN e ON e.label = k.label AND e.n = k.n + 1)
 SELECT label, vec_id FROM k WHERE take""")
 def q_phash_dedup(t: Tables) -> DataFrame:
-    rows = ops.sorted_rows(t.embeddings.select("label", "vec_id", _sign_word().alias("w")), ["label"], ["vec_id"], "w")
-    return rows.select("label", F.explode(ops.keep_unlike(F.col("rows"), "w", 25)).alias("r")).select("label", "r.vec_id")
+    rows = t.embeddings.select("label", "vec_id", _sign_word().alias("w"))
+    return ops.unlike(rows, ["label"], ["vec_id"], "w", 25, "vec_id")
 
 
 @query(f"""
@@ -115,8 +114,8 @@ k AS (SELECT label, vec_id, n, [w] AS kept, TRUE AS take FROM e WHERE n = 1
     SELECT e.label, e.vec_id, e.n, e.w, k.kept, len([x for x in k.kept if bit_count(xor(e.w, x)) <= 24]) = 0 AS fresh FROM k JOIN e ON e.label = k.label AND e.n = k.n + 1))
 SELECT label, vec_id FROM k WHERE take""")
 def q_recent5(t: Tables) -> DataFrame:
-    rows = ops.sorted_rows(t.embeddings.select("label", "vec_id", _sign_word().alias("w")), ["label"], ["vec_id"], "w")
-    return rows.select("label", F.explode(ops.keep_unlike(F.col("rows"), "w", 24, 5)).alias("r")).select("label", "r.vec_id")
+    rows = t.embeddings.select("label", "vec_id", _sign_word().alias("w"))
+    return ops.unlike(rows, ["label"], ["vec_id"], "w", 24, "vec_id", 5)
 
 
 def _frames(t: Tables) -> DataFrame:
@@ -126,7 +125,35 @@ def _frames(t: Tables) -> DataFrame:
     return v.select("label", (F.col("vec_id") * 8 + F.col("i")).cast("double").alias("ts"), word.alias("w"))
 
 
-@query()
+FRAMES_SQL = f"""v AS (SELECT label, vec_id, {SIGN_SQL} AS w, unnest(range(0, 7)) AS i FROM embeddings),
+f AS (SELECT label, (vec_id * 8 + i)::DOUBLE AS ts, CASE WHEN vec_id % 4 = 0 THEN xor(w, i * 1048575) ELSE w END AS w FROM v)"""
+
+
+@query(f"""
+WITH RECURSIVE {FRAMES_SQL},
+n AS (SELECT label, ts, w, row_number() OVER (PARTITION BY label ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY label) AS total FROM f),
+-- seen: the hash compared against; flags: the last six changes; video: in a passage; wait, calm: the slide that waits and its calm samples; last: place of the last slide.
+m AS (
+  SELECT label, -1::BIGINT AS i, NULL::BIGINT AS seen, []::BOOLEAN[] AS flags, FALSE AS video, NULL::DOUBLE AS wait, 0 AS calm, -6::BIGINT AS last, NULL::DOUBLE AS taken FROM (SELECT DISTINCT label FROM n)
+  UNION ALL
+  SELECT label, i,
+    CASE WHEN video THEN seen WHEN wait1 IS NULL THEN w WHEN NOT changed AND calm1 >= 4 THEN w ELSE seen END,
+    flags, video,
+    CASE WHEN video OR wait1 IS NULL THEN NULL WHEN changed THEN ts WHEN calm1 >= 4 THEN NULL ELSE wait1 END,
+    CASE WHEN video OR wait1 IS NULL THEN 0 WHEN changed THEN 0 WHEN calm1 >= 4 THEN 0 ELSE calm1 END,
+    CASE WHEN take THEN i ELSE last END,
+    CASE WHEN take THEN (CASE WHEN wait1 IS NULL THEN ts ELSE wait1 END) END
+  FROM (
+    SELECT *, NOT video AND (CASE WHEN wait1 IS NULL THEN seen IS NULL OR (changed AND spaced) ELSE NOT changed AND calm1 >= 4 AND spaced END) AS take FROM (
+      SELECT *, CASE WHEN opened THEN ts ELSE wait END AS wait1, (CASE WHEN opened THEN 1 ELSE calm END) + (CASE WHEN changed THEN 0 ELSE 1 END) AS calm1, i - last >= 6 AS spaced FROM (
+        SELECT *, len(flags) = 6 AND video0 AND NOT video AS opened FROM (
+          SELECT *, CASE WHEN len(flags) = 6 THEN len(list_filter(flags, lambda x: x)) / 6.0::DOUBLE >= 0.7 ELSE video0 END AS video FROM (
+            SELECT *, (flags0 || [changed])[-6:] AS flags FROM (
+              SELECT n.label, n.i, n.ts, n.w, m.seen, m.flags AS flags0, m.video AS video0, m.wait, m.calm, m.last,
+                     coalesce(1 - bit_count(xor(n.w, m.seen)) / 63.0::DOUBLE < 0.92, FALSE) AS changed
+              FROM m JOIN n ON n.label = m.label AND n.i = m.i + 1))))))
+)
+SELECT label, taken AS ts FROM m WHERE taken IS NOT NULL""")
 def q_video_segment(t: Tables) -> DataFrame:
     return slides.keyframes(_frames(t), "label", "ts", "w", 63)
 

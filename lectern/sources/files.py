@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import AUDIO_EXTENSIONS, VIDEO_EXTENSIONS, parent, stem, suffix
+from ..operators.jobs import cleaned_history
 
 # Folder names whose files are outputs, never inputs.
 SKIPPED_FOLDERS = ("extracted_ppt", "transcripts", "slides", "temp")
@@ -36,9 +37,7 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         rows = spark.createDataFrame([], HISTORY_SCHEMA)
-    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    good = rows.where(F.trim(F.coalesce("course_id", F.lit(""))) != "")
-    return good.select("course_id", text("course_name"), text("professor"), text("last_used"), F.coalesce(F.nullif("count", F.lit(0)), F.lit(1)).alias("count")).orderBy(F.desc("last_used"), "course_id")
+    return cleaned_history(rows).orderBy(F.desc("last_used"), "course_id")
 
 
 def read_ids(spark: SparkSession, path: str, *, comments: bool = True) -> DataFrame:
@@ -56,6 +55,13 @@ def course_info(payload: DataFrame, body: str = "body") -> DataFrame:
         F.coalesce(F.try_element_at(F.col("r.data.professors"), F.lit(1))["name"], F.lit("unknown")).alias("professor"), (F.col("r.code") == "0").alias("ok"))
 
 
+def checked_sessions(info: DataFrame, sessions: DataFrame, key: str = "course_id") -> DataFrame:
+    """``info`` with error: a reply that is not good, or a course whose session list is empty; null if all is well."""
+    listed = sessions.groupBy(key).agg(F.count("*").alias("_n"))
+    error = F.when(~F.coalesce("ok", F.lit(False)), "bad reply").when(F.coalesce("_n", F.lit(0)) == 0, "no sessions")
+    return info.join(listed, key, "left").withColumn("error", error).drop("_n")
+
+
 def session_lists(payload: DataFrame, body: str = "body", attempt: str = "attempt", key: str = "course_id") -> DataFrame:
     """Sessions of replies that are a list, ``{data: [...]}`` or ``{list: [...]}``; the first non-empty attempt counts."""
     item = "array<struct<id:string,title:string>>"
@@ -69,9 +75,14 @@ def session_lists(payload: DataFrame, body: str = "body", attempt: str = "attemp
 
 
 def log_tail(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
-    """Last ``n`` lines of a log file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("pos", "line"))
-    return lines.orderBy(F.desc("pos")).limit(n)
+    """(pos, line): the last ``n`` lines of a log file, the last one first; pos counts back from 0.
+
+    Lines are read as rows and ordered by their block of the file and place in it, so only ``n`` rows a task are held.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    last = lines.orderBy(F.desc("block"), F.desc("at")).limit(n)
+    place = F.row_number().over(Window.orderBy(F.desc("block"), F.desc("at"))) - 1  # n rows
+    return last.select(place.alias("pos"), F.col("value").alias("line")).orderBy("pos")
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:

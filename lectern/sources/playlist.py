@@ -36,6 +36,24 @@ def variants(lines: DataFrame, policy: str = "best") -> DataFrame:
     return chosen.select("playlist_id", resolve_url(F.col("base_url"), F.col("link")).alias("url"), "bandwidth")
 
 
+def resolved(lines: DataFrame, links: DataFrame, policy: str = "best", nesting: int = 5) -> DataFrame:
+    """(playlist_id, url, depth): the media playlist that each playlist leads to.
+
+    ``links`` gives the id behind a url (url, target). Masters may lead to masters; a chain of more than ``nesting``
+    has no answer. Each round is one join, for all playlists at once.
+    """
+    step = variants(lines, policy).join(links, "url").select("playlist_id", "url", "target")
+    masters = step.select(F.col("playlist_id").alias("master")).distinct()
+    at = step
+    out = None
+    for depth in range(1, nesting + 1):
+        ended = at.join(masters, at["target"] == masters["master"], "left_anti").select("playlist_id", "url", F.lit(depth).alias("depth"))
+        out = ended if out is None else out.unionByName(ended)
+        further = step.select(F.col("playlist_id").alias("target"), F.col("url").alias("url2"), F.col("target").alias("target2"))
+        at = at.join(further, "target").select("playlist_id", F.col("url2").alias("url"), F.col("target2").alias("target"))
+    return out
+
+
 def segments(lines: DataFrame) -> DataFrame:
     """(playlist_id, idx, url) of a media playlist's segments, idx from 0."""
     rows = until(lines, ["playlist_id"], "pos", F.col("line").startswith(END)).where(~F.col("line").startswith("#"))

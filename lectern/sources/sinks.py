@@ -32,6 +32,8 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A report table of at most ``most`` rows (reports hold one row a configuration)."""
-    rows = [df.columns, ["---"] * len(df.columns), *[["" if v is None else str(v) for v in r] for r in df.limit(most).collect()]]
-    return "\n".join("| " + " | ".join(r) + " |" for r in rows)
+    """A report table (reports hold one row a configuration); rows beyond ``most`` are replaced by a line that says so."""
+    found = df.limit(most + 1).collect()
+    rows = [df.columns, ["---"] * len(df.columns), *[["" if v is None else str(v) for v in r] for r in found[:most]]]
+    lines = ["| " + " | ".join(r) + " |" for r in rows]
+    return "\n".join([*lines, f"(more than {most} rows)"] if len(found) > most else lines)
