@@ -82,7 +82,7 @@ def concat_capped(df: DataFrame, keys: list[str], order: list[str], header: Colu
     """
     rows = df.withColumn("_t", text).where(F.trim("_t") != "").withColumn("_p", F.concat(header, F.col("_t")))
     before = F.coalesce(F.sum(F.length("_p") + 1).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = rows.withColumn("_before", before).where(F.col("_before") <= most)
+    near = rows.withColumn("_before", before).where(F.col("_before") <= most + 1)
     parts = near.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "_p"))).alias("_l"))
     whole = F.array_join(F.transform("_l", lambda x: x["_p"]), "\n")
     return parts.withColumn("text", F.when(F.length(whole) > most, F.concat(F.substring(whole, 1, most), F.lit(tail))).otherwise(whole)).drop("_l")
