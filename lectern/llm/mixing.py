@@ -52,15 +52,16 @@ def uniform(key: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def _odds(key: Column, size: Column) -> Column:
-    """Random odds over inclusion odds; without a probability above 0 a document is last."""
-    p, u = F.col("rate") * size, uniform(key)
-    return F.when(p > 0, (u / (1 - u)) / (p / (1 - p))).otherwise(F.lit(float("inf")))
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, size, h, rate, certain) with sure and rank: odds, then key (null last) and hash.
 
-
-def _rank(key: Column, size: Column, h: Column) -> Column:
-    """Place of a document in its source's order: odds, then key (null last) and hash."""
-    return F.struct(_odds(key, size).alias("q"), key.isNull().alias("bare"), key.alias("key"), h.alias("h"))
+    Odds are random odds over inclusion odds; without a probability above 0 a document is last. Each step is a column of
+    its own, so that hashes and word counts are computed once a row.
+    """
+    rows = rows.withColumn("u", uniform(F.col("key"))).withColumn("p", F.col("rate") * F.col("size")).withColumn("sure", _sure(F.col("size")))
+    odds = F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))).otherwise(F.lit(float("inf")))
+    rows = rows.withColumn("odds", odds)
+    return rows.withColumn("rank", F.struct(F.col("odds").alias("q"), F.col("key").isNull().alias("bare"), "key", "h")).drop("u", "p", "odds")
 
 
 def words_of(text: Column) -> Column:
@@ -109,7 +110,7 @@ def _placed(rows: DataFrame, weights: tuple, budget: float, cap: float) -> tuple
     rows = stored(rows, "sizes")
     plan = _plan(rows, weights, budget, cap)
     planned = rows.join(sized(plan, "plan"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    ranked = planned.withColumn("sure", _sure(F.col("size"))).withColumn("rank", _rank(F.col("key"), F.col("size"), F.col("h")))
+    ranked = _ranked(planned)
     # Certain documents stand apart from the ranking and add nothing to its running sum.
     ranged = ranked.repartitionByRange(F.asc_nulls_last("source"), "sure", "rank").withColumn("_part", F.spark_partition_id())
     local = Window.partitionBy("_part", "source").orderBy("sure", "rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -224,16 +225,12 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     edge = lambda c: F.count_if((F.col("within") | F.col("filling")) & F.col("rank").eqNullSafe(F.col(c)))
     cuts = counted.groupBy("_s", "last", "fill").agg(edge("last").alias("n_last"), edge("fill").alias("n_fill"))
     chosen = plan.join(cuts, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    chosen = sized(chosen, "cuts").alias("m")
-    planned = docs.alias("d").join(chosen, source.cast("string").eqNullSafe(F.col("m._source")))
-    size = words_of(text)
-    p, u = F.col("m.rate") * size, uniform(key)
-    odds = F.when(p > 0, (u / (1 - u)) / (p / (1 - p))).otherwise(F.lit(float("inf")))
-    rank = F.struct(odds.alias("q"), key.isNull().alias("bare"), key.alias("key"), h.alias("h"))
-    sure = F.coalesce(size >= F.col("m.certain"), F.lit(False))
-    at_last, at_fill = (F.coalesce(rank.eqNullSafe(F.col(c)) & F.col(c).isNotNull(), F.lit(False)) for c in ("m.last", "m.fill"))
-    state = F.when(sure, F.lit(1)).when(at_last, F.lit(2)).when(at_fill, F.lit(3)).when(F.coalesce(rank < F.col("m.last"), F.lit(False)), F.lit(1)).otherwise(F.lit(0))
-    marked = planned.select(F.struct(*[F.col(f"d.`{c}`") for c in names]).alias("row"), F.col("m.whole").alias("whole"), state.alias("state"), F.col("m.n_last").alias("n_last"), F.col("m.n_fill").alias("n_fill"))
+    chosen = sized(chosen.select("_source", "whole", "certain", "rate", "last", "fill", "n_last", "n_fill"), "cuts")
+    whole = docs.alias("d").select(F.struct(*[F.col(f"d.`{c}`") for c in names]).alias("row"), key.alias("key"), source.cast("string").alias("source"), words_of(text).alias("size"), h.alias("h"))
+    ranked = _ranked(whole.join(chosen, F.col("source").eqNullSafe(F.col("_source"))))
+    at_last, at_fill = (F.coalesce(F.col("rank").eqNullSafe(F.col(c)) & F.col(c).isNotNull(), F.lit(False)) for c in ("last", "fill"))
+    state = F.when(F.col("sure"), F.lit(1)).when(at_last, F.lit(2)).when(at_fill, F.lit(3)).when(F.coalesce(F.col("rank") < F.col("last"), F.lit(False)), F.lit(1)).otherwise(F.lit(0))
+    marked = ranked.select("row", "whole", state.alias("state"), "n_last", "n_fill")
     plain = marked.where("state < 2").select("row", (F.col("whole") + F.col("state")).alias("copies"))
     # At most two kinds of rows a source, each counted before it is shuffled.
     few = marked.where("state >= 2").groupBy("row", "whole", "state", "n_last", "n_fill").agg(F.count("*").alias("n"))
