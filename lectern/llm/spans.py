@@ -192,16 +192,17 @@ least AS (SELECT DISTINCT t, j FROM (
 ), opened AS (
   SELECT words.*, i = 1 OR least.j IS NOT NULL OR coalesce(regexp_matches(lag(word) OVER (PARTITION BY words.t ORDER BY i), '[^.!?,;:][.!?]$'), FALSE) AS o
   FROM words LEFT JOIN least ON least.t = words.t AND least.j = words.i
-), marked AS (SELECT t, list((CASE WHEN o THEN chr(2) ELSE chr(1) END) || word ORDER BY i) AS w, any_value(n) AS n FROM opened GROUP BY t),
-units AS (SELECT t, i, n, row_number() OVER (PARTITION BY t ORDER BY i) - 1 AS pos FROM opened WHERE o),
+), numbered AS (SELECT t, i, n, word, (sum(o::INTEGER) OVER (PARTITION BY t ORDER BY i) - 1)::BIGINT AS pos FROM opened),
+units AS (SELECT t, pos, min(i) AS i, any_value(n) AS n, string_agg(word, chr(1) ORDER BY i) AS u FROM numbered GROUP BY t, pos),
 ends AS (SELECT t, i, pos FROM units UNION ALL SELECT t, max(n) + 1, max(pos) + 1 FROM units GROUP BY t),
 long AS (SELECT a.t, a.i, a.pos, b.pos AS far FROM units a ASOF JOIN ends b ON a.t = b.t AND a.i + 20 <= b.i),
-runs AS (SELECT long.t, long.i, long.pos, e.i AS till, e.pos AS stop FROM long JOIN ends e ON e.t = long.t AND e.pos = greatest(long.far, long.pos + 3)),
-spans AS (
-  SELECT * FROM runs UNION ALL
-  SELECT t, 1, 0, max(i), max(pos) FROM ends WHERE t NOT IN (SELECT t FROM runs) GROUP BY t
+runs AS (SELECT long.t, long.pos, e.pos AS stop FROM long JOIN ends e ON e.t = long.t AND e.pos = greatest(long.far, long.pos + 3)),
+spans AS (SELECT * FROM runs UNION ALL SELECT t, 0, max(pos) FROM ends WHERE t NOT IN (SELECT t FROM runs) GROUP BY t),
+bodies AS (
+  SELECT s.t, s.pos, s.stop, md5(string_agg(u.u, chr(2) ORDER BY u.pos)) AS body
+  FROM (SELECT *, unnest(range(pos, stop)) AS part FROM spans) s JOIN units u ON u.t = s.t AND u.pos = s.part GROUP BY ALL
 ), ranked AS (
-  SELECT s.t, s.pos, s.stop, row_number() OVER (PARTITION BY md5(array_to_string(w[s.i : s.till - 1], '')) ORDER BY s.t, s.pos) AS k FROM spans s JOIN marked USING (t)
+  SELECT t, pos, stop, row_number() OVER (PARTITION BY body ORDER BY t, pos) AS k FROM bodies
 ), gone AS (SELECT DISTINCT t, unnest(range(pos, stop)) AS n FROM ranked WHERE k > 1)
 SELECT any_value(doc_id) AS doc_id, count(*)::INTEGER AS removed_sentences, min(n)::INTEGER AS first_removed, max(n)::INTEGER AS last_removed FROM gone JOIN d USING (t) GROUP BY t
 """
