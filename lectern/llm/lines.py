@@ -106,8 +106,18 @@ def signatures(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return keys
 
 
-def line_ids(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(spans_of(running(points, w), starts, ends, w).view(np.int64) for w in (0, 1))
+def line_ids(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: tuple[int, ...] = (0, 1)) -> tuple[np.ndarray, ...]:
+    return tuple(spans_of(running(points, w), starts, ends, w).view(np.int64) for w in which)
+
+
+def hot_keys(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys that occur ``HOT`` times or more; a count of their first 16 bits rules most out."""
+    bucket = keys.view(np.uint64) >> np.uint64(48)
+    full = np.bincount(bucket.astype(np.int64), minlength=1 << 16) >= HOT
+    if not full.any():
+        return keys[:0]
+    found, n = np.unique(keys[full[bucket]], return_counts=True)
+    return found[n >= HOT]
 
 
 def _shared(own: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
@@ -232,7 +242,7 @@ def fuzzy_links(docs: DataFrame, text: str = "text", *, threshold: float = THRES
             points, starts, ends, _, _ = cut(texts)
             if not len(starts):
                 continue
-            ids = line_ids(points, starts, ends)[0]
+            ids = line_ids(points, starts, ends, (0,))[0]
             _, once = np.unique(ids, return_index=True)
             fresh = np.array([i for i, v in zip(once.tolist(), ids[once].tolist(), strict=True) if v not in seen], np.int64)
             if len(seen) < 500_000:  # repeats beyond are sent again and met after the shuffle
@@ -240,9 +250,10 @@ def fuzzy_links(docs: DataFrame, text: str = "text", *, threshold: float = THRES
             if len(fresh):
                 keys = signatures(points, starts[fresh], ends[fresh]).view(np.int64).ravel()
                 own = np.repeat(ids[fresh], BANDS)
-                found, which, n = np.unique(keys, return_inverse=True, return_counts=True)
-                marked = found[n >= HOT]
-                kind = np.where(n[which.ravel()] >= HOT, 1, 2).astype(np.int8)
+                marked = hot_keys(keys)
+                kind = np.full(len(keys), 2, np.int8)
+                if len(marked):
+                    kind[np.isin(keys, marked)] = 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.append(keys, marked)), pa.array(np.append(kind, np.zeros(len(marked), np.int8))), pa.array(np.append(own, np.zeros(len(marked), np.int64)))], ["band", "kind", "id"])
 
@@ -260,7 +271,7 @@ def fuzzy_links(docs: DataFrame, text: str = "text", *, threshold: float = THRES
             points, starts, ends, _, _ = cut(texts)
             if not len(starts):
                 continue
-            own = line_ids(points, starts, ends)[0]
+            own = line_ids(points, starts, ends, (0,))[0]
             u = own.view(np.uint64)
             some = np.flatnonzero((known[(u >> np.uint64(6)) & np.uint64(len(known) - 1)] >> (u & np.uint64(63))) & np.uint64(1))
             _, once = np.unique(own[some], return_index=True)
