@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import carry
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key by a total order (a row limit within the window, pushed below the shuffle)."""
@@ -21,12 +23,9 @@ def missing_by_either(expected: DataFrame, by_stem: DataFrame, by_title: DataFra
     return expected.join(by_stem, stem, "left_anti").join(by_title, title, "left_anti")
 
 
-def upper_median(column: str) -> Column:
-    """The upper of the two middle values of a column: element n // 2 (from 0) of the sorted values.
-
-    Counted downwards, the discrete median is just that; values are pre-aggregated by their counts.
-    """
-    return F.expr(f"percentile_disc(0.5) within group (order by `{column}` desc)")
+def upper_median(df: DataFrame, keys: list[str], value: str, out: str = "median", partitions: int | None = None) -> DataFrame:
+    """(keys, out, n): the upper of the two middle values of each key, element n // 2 (from 0) of its sorted values."""
+    return carry.nth_values(df, keys, value, lambda n: F.floor(n / 2), partitions).withColumnRenamed(value, out)
 
 
 def inventory(files: DataFrame, course: str, kind: str, kinds: list[str]) -> DataFrame:

@@ -26,7 +26,7 @@ def final_attempts(attempts: DataFrame, keys: list[str], ok: Column) -> DataFram
 def rank_trials(trials: DataFrame, keys: list[str], value: Column, keep: Column | None = None) -> DataFrame:
     """Upper median a configuration, rank from 1 (ties by name) and ratio to the best."""
     rows = trials if keep is None else trials.where(keep)
-    med = rows.withColumn("_value", value).groupBy(*keys).agg(upper_median("_value").alias("median"), F.count("*").alias("trials"))
+    med = upper_median(rows.select(*keys, value.alias("_value")), keys, "_value").withColumnRenamed("n", "trials")
     w = Window.orderBy("median", *keys)  # one row a configuration
     best = F.first("median").over(w)
     return med.withColumn("rank", F.row_number().over(w)).withColumn("ratio", F.when(best > 0, F.round(F.col("median") / best, 2)))
@@ -38,11 +38,34 @@ def paired(trials: DataFrame, block: str, order: list, value: str) -> DataFrame:
     return trials.withColumn("next", F.lead(value).over(w)).withColumn("_n", F.row_number().over(w)).where("_n % 2 = 1 and next is not null").drop("_n")
 
 
+def history_state(events: DataFrame, key: str, at: str, **last: str) -> DataFrame:
+    """Mergeable state of look-ups: (key, count, last_used) and, for each field, its last non-empty value with its time.
+
+    A blank or null key is no look-up. Of equal times the greater value stands.
+    """
+    newest = [F.max(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(F.col(at).alias("at"), F.col(c).alias("value")))).alias(name) for name, c in last.items()]
+    named = F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != "")
+    return events.where(named).groupBy(key).agg(F.count("*").alias("count"), F.max(at).alias("last_used"), *newest)
+
+
+def merge_history(stored: DataFrame, delta: DataFrame, key: str) -> DataFrame:
+    """The state of both: counts add up, the newest time and each field's newest non-empty value stand.
+
+    The look-ups behind ``stored`` are not read again. States merge in any order and grouping.
+    """
+    fields = [c for c in stored.columns if c not in (key, "count", "last_used")]
+    return stored.unionByName(delta).groupBy(key).agg(F.sum("count").alias("count"), F.max("last_used").alias("last_used"), *[F.max(c).alias(c) for c in fields])
+
+
+def newest_history(state: DataFrame, key: str, most: int = HISTORY_MOST) -> DataFrame:
+    """The ``most`` newest entries of a state, fields as plain values; ties by key."""
+    fields = [c for c in state.columns if c not in (key, "count", "last_used")]
+    return state.select(key, "count", "last_used", *[F.col(f"{c}.value").alias(c) for c in fields]).orderBy(F.desc("last_used"), key).limit(most)
+
+
 def history(events: DataFrame, key: str, at: str, **last: str) -> DataFrame:
     """Upsert of look-ups as one aggregate: count, last time, last non-empty value of each field; newest 50."""
-    newest = [F.max(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(F.col(at), F.col(c))))[c].alias(name) for name, c in last.items()]
-    rows = events.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("count"), F.max(at).alias("last_used"), *newest)
-    return rows.orderBy(F.desc("last_used"), key).limit(HISTORY_MOST)
+    return newest_history(history_state(events, key, at, **last), key)
 
 
 def batch_totals(results: DataFrame, slides: str = "slides", status: str = "status", word: str = "ok", segments: str | None = None) -> DataFrame:

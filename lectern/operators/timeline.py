@@ -1,5 +1,6 @@
-"""Order-dependent rules. Those that read only neighbours are window functions. Those whose next step depends on what
-they kept before are scans of sorted partitions with a state, or, for the short lists of one row, folds of an array."""
+"""Order-dependent rules. Those that read neighbours, sum, or keep rows a distance apart are scans of range partitions with a
+carry at the boundaries (``carry``), so one long key is many tasks. Those whose next step depends on the rows kept before
+are scans of each key with a state, or, for the short lists of one row, folds of an array."""
 
 from __future__ import annotations
 
@@ -9,47 +10,52 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import carry
+
 
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a zone-less timestamp."""
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
 
 
-def largest_gap(df: DataFrame, keys: list[str], order: list[str], start: str, end: str) -> DataFrame:
+def largest_gap(df: DataFrame, keys: list[str], order: list[str], start: str, end: str, partitions: int | None = None) -> DataFrame:
     """(keys, gap, at): the largest start minus previous end and the start it precedes; the earliest on ties.
 
-    Only gaps above 0 count; a key without one is not returned.
+    Only gaps above 0 count; a key without one is not returned. A long key spreads over many tasks.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    gaps = df.withColumn("gap", F.col(start) - F.lag(end).over(w)).withColumn("_pos", F.row_number().over(w)).where("gap > 0")
-    best = F.max(F.struct("gap", (-F.col("_pos")).alias("p"), F.col(start).alias("at")))
-    return gaps.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.gap").alias("gap"), F.col("b.at").alias("at"))
+    rows = carry.previous(carry.ranged(df.select(*dict.fromkeys([*keys, *order, start, end])), keys, order, partitions), {"_end": end}).df
+    first = F.min(F.struct((-F.col("gap")).alias("g"), *order, F.col(start).alias("_at")))
+    best = rows.withColumn("gap", F.col(start) - F.col("_end")).where("gap > 0").groupBy(*keys).agg(first.alias("b"))
+    return best.select(*keys, (-F.col("b.g")).alias("gap"), F.col("b._at").alias("at"))
+
+
+def _changed(rows: carry.Ranged, value: str) -> carry.Ranged:
+    """Rows whose value differs from the row before, in their partitions."""
+    return carry.previous(rows, {"_before": value}).with_rows(lambda d: d.where(f"_first or not (_before <=> {value})").drop("_before", "_first"))
 
 
-def changes(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def changes(df: DataFrame, keys: list[str], order: list[str], value: str, partitions: int | None = None) -> DataFrame:
     """Rows whose value differs from the row before."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_before", F.lag(value).over(w)).withColumn("_n", F.row_number().over(w)).where(f"_n = 1 or not (_before <=> {value})").drop("_before", "_n")
+    return _changed(carry.ranged(df, keys, order, partitions), value).df.drop("_part")
 
 
-def longest_stall(df: DataFrame, keys: list[str], order: list[str], seconds: str, value: str) -> DataFrame:
+def longest_stall(df: DataFrame, keys: list[str], order: list[str], seconds: str, value: str, partitions: int | None = None) -> DataFrame:
     """(keys, stall, at): the longest time between changes, one decimal, earliest on ties; below two samples 0, 0."""
-    kept = changes(df, keys, order, value)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    steps = kept.withColumn("_s", F.lead(seconds).over(w) - F.col(seconds)).withColumn("_n", F.row_number().over(w))
-    best = F.max(F.struct(F.coalesce("_s", F.lit(-1.0)).alias("s"), (-F.col("_n")).alias("n"), F.col(seconds).alias("at")))
-    out = steps.groupBy(*keys).agg(best.alias("b"), F.count("*").alias("n"))
-    return out.select(*keys, F.when(F.col("n") < 2, 0.0).otherwise(F.round("b.s", 1)).alias("stall"), F.when(F.col("n") < 2, 0.0).otherwise(F.round("b.at", 1)).alias("at"))
+    kept = _changed(carry.ranged(df.select(*dict.fromkeys([*keys, *order, seconds, value])), keys, order, partitions), value)
+    steps = carry.previous(kept, {"_at": seconds}).df.where("not _first").withColumn("_s", F.col(seconds) - F.col("_at"))
+    best = steps.groupBy(*keys).agg(F.min(F.struct((-F.col("_s")).alias("s"), *order, F.col("_at").alias("_t"))).alias("b"))
+    out = df.select(*keys).distinct().join(best.withColumnsRenamed({k: f"_{i}" for i, k in enumerate(keys)}), [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)], "left")
+    return out.select(*keys, F.coalesce(F.round(-F.col("b.s"), 1), F.lit(0.0)).alias("stall"), F.coalesce(F.round("b._t", 1), F.lit(0.0)).alias("at"))
 
 
-def idle_sessions(df: DataFrame, keys: list[str], order: list[str], seconds: Column, limit: float = 180.0) -> DataFrame:
-    """``df`` with a session number from 0 that grows after more than ``limit`` idle seconds."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("_s", seconds).withColumn("_new", F.coalesce((F.col("_s") - F.lag("_s").over(w) > limit).cast("int"), F.lit(0)))
-    return rows.withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_s", "_new")
+def idle_sessions(df: DataFrame, keys: list[str], order: list[str], seconds: Column, limit: float = 180.0, partitions: int | None = None) -> DataFrame:
+    """``df`` with a session number from 0 that grows after more than ``limit`` idle seconds; without keys one timeline."""
+    rows = carry.previous(carry.ranged(df.withColumn("_s", seconds), keys, order, partitions), {"_last": "_s"})
+    opened = rows.with_rows(lambda d: d.withColumn("_new", F.coalesce((F.col("_s") - F.col("_last") > limit).cast("int"), F.lit(0))))
+    return carry.running(opened, "_new", "session").df.drop("_s", "_last", "_first", "_new", "_part")
 
 
 def until(df: DataFrame, keys: list[str], pos: str, stop: Column) -> DataFrame:
@@ -145,45 +151,19 @@ def scan_keys(df: DataFrame, keys: list[str], order: list[str], make: Callable[[
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, full)
 
 
-def spaced(df: DataFrame, keys: list[str], order: list[str], value: str, least: float, out: str) -> DataFrame:
-    """(keys, out) of the rows at least ``least`` after the last one kept; the first is kept."""
-    kind = dict(df.dtypes)[out]
+def spaced(df: DataFrame, keys: list[str], order: list[str], value: str, least: float, out: str, partitions: int | None = None) -> DataFrame:
+    """(keys, out) of the rows at least ``least`` after the last one kept; the first is kept.
 
-    def feed(state: dict, rows: dict[str, np.ndarray]) -> dict[str, Any]:
-        v = np.asarray(rows[value], float)
-        i = 0 if state.get("last") is None else int(np.searchsorted(v, state["last"] + least))
-        taken = []
-        while i < len(v):
-            taken.append(i)
-            state["last"] = float(v[i])
-            # The next row that far ahead; rounding may put it one off.
-            i = max(i + 1, int(np.searchsorted(v, state["last"] + least)))
-            while i < len(v) and v[i] - state["last"] < least:
-                i += 1
-        return {out: rows[out][taken].tolist()}
-
-    return scan_keys(df, keys, order, dict, feed, f"{out} {kind}", value, out)
+    ``order`` starts with ``value``. The rule is ``value - last >= least`` as doubles round, at every batch and partition.
+    """
+    rows = df.select(*dict.fromkeys([*keys, *order, out]))
+    return carry.greedy(rows, keys, order, value, least, -np.inf, partitions=partitions).select(*keys, out)
 
 
-def throttled(df: DataFrame, keys: list[str], done: str, total: str, step: float, *cols: str) -> DataFrame:
+def throttled(df: DataFrame, keys: list[str], done: str, total: str, step: float, *cols: str, partitions: int | None = None) -> DataFrame:
     """(keys, done, cols) of the rows emitted when ``step`` further than the last emitted (from 0) or complete."""
-    kinds = dict(df.dtypes)
-
-    def feed(state: dict, rows: dict[str, np.ndarray]) -> dict[str, Any]:
-        d, whole = rows[done], rows[total]
-        taken, i = [], 0
-        while i < len(d):
-            due = np.flatnonzero((d[i : i + 4096] >= state["last"] + step) | (d[i : i + 4096] == whole[i : i + 4096]))
-            if not len(due):
-                i += 4096
-                continue
-            i += int(due[0])
-            taken.append(i)
-            state["last"] = float(d[i])
-            i += 1
-        return {c: rows[c][taken].tolist() for c in (done, *cols)}
-
-    return scan_keys(df, keys, [done], lambda: {"last": 0.0}, feed, ", ".join(f"{c} {kinds[c]}" for c in (done, *cols)), total, *cols)
+    rows = df.select(*dict.fromkeys([*keys, done, *cols]), (F.col(done) == F.col(total)).alias("_whole"))
+    return carry.greedy(rows, keys, [done, *cols], done, step, step, "_whole", partitions).select(*keys, done, *cols)
 
 
 def unlike(df: DataFrame, keys: list[str], order: list[str], word: str, most: int, out: str, memory: int = 1) -> DataFrame:

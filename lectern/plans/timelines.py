@@ -49,18 +49,7 @@ def q_first_progress(t: Tables) -> DataFrame:
 WITH g AS (SELECT event_id, ts, {SECONDS} - lag({SECONDS}) OVER (ORDER BY ts, event_id) > 180 AS n FROM events)
 SELECT event_id, coalesce(sum(n::INTEGER) OVER (ORDER BY ts, event_id), 0)::BIGINT AS session FROM g""")
 def q_idle_sessions(t: Tables) -> DataFrame:
-    # One global timeline: days are numbered apart and joined by the sessions that end before each, so that no task holds all rows.
-    rows = _timed(t).select("event_id", "ts", "s", F.to_date("ts").alias("day"))
-    edges = rows.groupBy("day").agg(F.min("s").alias("first"), F.max("s").alias("last"))
-    local = ops.idle_sessions(rows, ["day"], ["ts", "event_id"], F.col("s"))
-    from pyspark.sql import Window
-
-    whole = Window.orderBy("day")  # one row a day
-    per = local.groupBy("day").agg(F.max("session").alias("ends")).join(edges, "day")
-    opens = F.coalesce((F.col("first") - F.lag("last").over(whole) > 180).cast("int"), F.lit(0))
-    begun = per.withColumn("opens", opens)
-    base = begun.select("day", (F.sum(F.col("opens")).over(whole) + F.coalesce(F.sum("ends").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base"))
-    return local.join(base, "day").select("event_id", (F.col("session") + F.col("base")).cast("long").alias("session"))
+    return ops.idle_sessions(_timed(t).select("event_id", "ts", "s"), [], ["ts", "event_id"], F.col("s")).select("event_id", "session")
 
 
 @query(f"""

@@ -141,7 +141,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [(r["course_id"], r["professor"], r["ok"]) for r in info] == [("5", "unknown", True), (None, "unknown", False)]
     for rows in ([1, 2], [3]):
         sinks.replace_table(spark.createDataFrame([(x,) for x in rows], "x int"), str(tmp_path / "t"))
-    assert [r["x"] for r in spark.read.json(str(tmp_path / "t")).collect()] == [3]
+    assert [r["x"] for r in sinks.read_table(spark, str(tmp_path / "t")).collect()] == [3]
     assert sinks.markdown(spark.createDataFrame([(1, None)], "a int, b string")) == "| a | b |\n| --- | --- |\n| 1 |  |"
 
 

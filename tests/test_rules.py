@@ -48,7 +48,7 @@ def test_log_tail_of_a_file_in_many_blocks(spark, tmp_path):
 def test_medians_first_keys_and_caps(spark):
     for n in range(1, 7):
         df = spark.range(n).selectExpr("1 as k", "id * 10 as v")
-        assert df.groupBy("k").agg(catalog.upper_median("v").alias("m")).first()["m"] == sorted(range(0, n * 10, 10))[n // 2]
+        assert catalog.upper_median(df, ["k"], "v").first()["median"] == sorted(range(0, n * 10, 10))[n // 2]
     df = spark.range(200).selectExpr("id % 2 as k", "id % 60 as v")
     got = {r["k"]: (r["n"], r["first"]) for r in catalog.first_keys(df, ["k"], "v", 3).collect()}
     assert got == {0: (30, [0, 2, 4]), 1: (30, [1, 3, 5])}
