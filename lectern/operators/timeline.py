@@ -58,6 +58,12 @@ def idle_sessions(df: DataFrame, keys: list[str], order: list[str], seconds: Col
     return carry.running(opened, "_new", "session").df.drop("_s", "_last", "_first", "_new", "_part")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], number: str, total: str, partitions: int | None = None) -> DataFrame:
+    """``df`` with the number of each row of its key, from 1, and the number of the key's rows. Keys are not null."""
+    rows = carry.running(carry.ranged(df.withColumn("_one", F.lit(1)), keys, order, partitions), "_one", number).df.drop("_one", "_part")
+    return rows.join(rows.groupBy(*keys).agg(F.max(number).alias(total)), keys)
+
+
 def until(df: DataFrame, keys: list[str], pos: str, stop: Column) -> DataFrame:
     """Rows before the first row for which ``stop`` holds; all rows if it never does."""
     ends = df.where(stop).groupBy(*keys).agg(F.min(pos).alias("_stop"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, media, scalars, timelines  # noqa: F401 - modules register their queries
+from . import catalog, files, media, scalars, timelines  # noqa: F401 - modules register their queries
 from .base import QUERIES, SQL
 
 

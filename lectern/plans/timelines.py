@@ -68,10 +68,7 @@ k AS (SELECT user_id, event_id, n, total, CASE WHEN n >= 5 OR n = total THEN n E
   FROM k JOIN e ON e.user_id = k.user_id AND e.n = k.n + 1)
 SELECT user_id, event_id, n AS done FROM k WHERE take""")
 def q_throttle(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id")
-    numbered = t.events.select("user_id", "event_id", F.row_number().over(w.orderBy("ts", "event_id")).cast("long").alias("done"), F.count("*").over(w).alias("total"))
+    numbered = ops.numbered(t.events.select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], "done", "total")
     return ops.throttled(numbered, ["user_id"], "done", "total", 5, "event_id")
 
 
@@ -170,8 +167,9 @@ FROM l GROUP BY doc_id""")
 def q_line_quality(t: Tables) -> DataFrame:
     from ..functions.scalars import is_short_line
 
-    n = F.count_if(is_short_line(F.col("line")))
-    return t.documents.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).groupBy("doc_id").agg(F.count("*").alias("lines"), n.alias("short_lines"), (n > 3).alias("suspect"))
+    lines = F.split("text", "\n", -1)
+    counted = t.documents.select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, is_short_line)).cast("long").alias("short_lines"))
+    return counted.withColumn("suspect", F.col("short_lines") > 3)
 
 
 def _segments(t: Tables) -> DataFrame:

@@ -16,10 +16,16 @@ HISTORY_SCHEMA = "course_id string, course_name string, professor string, last_u
 
 
 def scan_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("mp4",), *, recursive: bool = True, skip: tuple[str, ...] = SKIPPED_FOLDERS) -> DataFrame:
-    """(path, stem, ext, folder, length, mtime) of matching files; contents are never read."""
+    """(path, stem, ext, folder, length, mtime) of matching files; contents are never read.
+
+    Without ``recursive`` only files that lie in ``path`` itself, not those of folders below it that look like partitions.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length", F.col("modificationTime").alias("mtime"))
     rows = files.select("path", stem(F.col("path")).alias("stem"), F.lower(F.substring(suffix(F.col("path")), 2, 10)).alias("ext"), parent(F.col("path")).alias("folder"), "length", "mtime")
     out = rows.where(F.col("ext").isin(*extensions))
+    if not recursive and not any(c in path for c in "*?[{"):
+        here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        out = out.where(F.col("folder") == here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(here).toString())
     for name in skip:
         out = out.where(~F.col("folder").contains(name))
     return out
@@ -75,14 +81,15 @@ def session_lists(payload: DataFrame, body: str = "body", attempt: str = "attemp
 
 
 def log_tail(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
-    """(pos, line): the last ``n`` lines of a log file, the last one first; pos counts back from 0.
+    """(pos, line): the last ``n`` lines of a log, the last one first; pos counts back from 0.
 
-    Lines are read as rows and ordered by their block of the file and place in it, so only ``n`` rows a task are held.
+    ``path`` is a file, or a folder of rolled files whose names stand in order. Lines are read as rows and ordered by their
+    file, block of the file and place in it, so only ``n`` rows a task are held.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    last = lines.orderBy(F.desc("block"), F.desc("at")).limit(n)
-    place = F.row_number().over(Window.orderBy(F.desc("block"), F.desc("at"))) - 1  # n rows
-    return last.select(place.alias("pos"), F.col("value").alias("line")).orderBy("pos")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    order = [F.desc("file"), F.desc("block"), F.desc("at")]
+    place = F.row_number().over(Window.orderBy(*order)) - 1  # n rows
+    return lines.orderBy(*order).limit(n).select(place.alias("pos"), F.col("value").alias("line")).orderBy("pos")
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
