@@ -65,10 +65,27 @@ def release(df: DataFrame | None) -> None:
         _delete(df.sparkSession, df._table_path)
 
 
-def sized(df: DataFrame, label: str, most: int = 200_000) -> DataFrame:
-    """Write a table of narrow keys and mark it for broadcast if it has at most ``most`` rows; else joins shuffle."""
+#: Rows and bytes of files up to which a table is broadcast.
+SMALL_ROWS, SMALL_BYTES = 200_000, 8 << 20
+
+
+def sized(df: DataFrame, label: str, most: int = SMALL_ROWS) -> DataFrame:
+    """Write a table of narrow keys and mark it for broadcast if it has few rows and bytes; else joins shuffle."""
     kept = stored(df, label)
-    return F.broadcast(kept) if kept.count() <= most else kept
+    return F.broadcast(kept) if kept.count() <= most and _size(kept.sparkSession, kept._table_path) <= SMALL_BYTES else kept
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
+def bounded_sample(df: DataFrame, groups: list[str], order: Column, most: int) -> DataFrame:
+    """At most ``most`` rows of each group, those of least ``order``; the limit is applied before rows are shuffled."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy(order))
+    return df.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
 def tuned(spark: SparkSession) -> SparkSession:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, hash_fraction, stored, table, tuned
+from .common import bounded_sample, crc_mod, hash_fraction, stored, table, tuned
 
 _WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
@@ -168,19 +168,27 @@ def _gram_counts(words: DataFrame) -> DataFrame:
     return grams.groupBy("lang", F.col("g.kind").alias("kind"), F.col("g.token").alias("token")).agg(F.sum("n").alias("n"))
 
 
+#: Languages learned: the most frequent ones, as vectors have a number for each.
+MOST_LANGUAGES = 512
+
+
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, sample_rows: int = 3000) -> PackedModel:
     """Fit on rows whose text and language are given; nulls are left out. No labelled row gives an empty model.
 
-    Repeated rows count each, long texts whole. All tokens of the sample are kept, however many there are.
+    A language is learned from at most ``sample_rows`` rows, drawn by a hash of key and text: a null key, and a key of very
+    many rows, are sampled like others, and rows that repeat are drawn together up to the bound. Of more than
+    ``MOST_LANGUAGES`` languages the most frequent are learned (ties in code-point order). Repeated rows count each, long
+    texts whole. All tokens of the sample are kept, however many there are.
     """
     given = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in given.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in given.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return PackedModel((), {})
     langs = tuple(sorted(sizes))
-    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, sample_rows / v))])
+    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, 1.2 * sample_rows / v))])
     number = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)])
-    sample = given.where(hash_fraction("key", seed=11) < share[F.col("lang")])
+    drawn = given.withColumn("u", hash_fraction("key", "text", seed=11)).where(F.col("u") < share[F.col("lang")])
+    sample = bounded_sample(drawn, ["lang"], F.col("u"), sample_rows)
     words = stored(sample.select("lang", "text").mapInPandas(_count, "lang string, token string, n long").groupBy("lang", "token").agg(F.sum("n").alias("n")), "words")
     counts = words.select("lang", F.lit(0).alias("kind"), "token", "n").unionByName(_gram_counts(words))
     got = counts.select(F.col("kind").cast("byte"), number[F.col("lang")].cast("short").alias("lang"), F.xxhash64("token").alias("h"), "n").toArrow()  # tokens of a bounded sample, 19 bytes each
