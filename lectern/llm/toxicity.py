@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, hash_fraction, stored, table, tuned
+from .common import bounded_sample, crc_mod, hash_fraction, stored, table, tuned
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7)
-#: Bounds of the fit: labelled rows a class (by expectation), features kept, least documents and z of a feature.
-SAMPLE_ROWS, MAX_FEATURES, MIN_DOCS, MIN_Z = 6000, 2000, 4, 4.5
+#: Bounds of the fit: labelled rows a class and a key, features kept, least documents and z of a feature.
+SAMPLE_ROWS, KEY_ROWS, MAX_FEATURES, MIN_DOCS, MIN_Z = 6000, 16, 2000, 4, 4.5
 
 # Identity terms by group; a term is swapped for the next of its group.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -132,8 +132,9 @@ def train(
 ) -> ToxicityModel:
     """Fit on labelled texts. A key with several labels counts as toxic if one of them says so; nulls are left out.
 
-    The sample of keys is bounded (by expectation), so it is broadcast to the texts and no text is shuffled. Without
-    labels of both classes, as in empty tables, the model scores the share of toxic labels everywhere. Long texts are
+    The sample of keys is bounded (by expectation), so it is broadcast to the texts. Of their texts at most
+    ``KEY_ROWS`` a key and then ``sample_rows`` a class are taken, least hash first, so a key of very many rows does not
+    fill the sample, and what reaches the driver is bounded by rows. Without labels of both classes, as in empty tables, the model scores the share of toxic labels everywhere. Long texts are
     read whole; repeated rows of a document count each; features that tie at the bound are taken in code-point order.
     """
     spark = docs.sparkSession
@@ -143,7 +144,8 @@ def train(
         return ToxicityModel({}, 40.0 if sizes.get(1) else -40.0)
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample_rows / sizes[1]))).otherwise(F.lit(min(1.0, sample_rows / sizes[0])))
     sample = F.broadcast(stored(given.where(hash_fraction("key", seed=23) < share), "labelled"))
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").join(sample, "key").select("text", "toxic")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").join(sample, "key").withColumn("u", hash_fraction("key", "text", seed=29))
+    texts = bounded_sample(bounded_sample(texts, ["key"], F.col("u"), KEY_ROWS), ["toxic"], F.col("u"), sample_rows).select("text", "toxic")
     texts = stored(texts, "labelled-texts")
     n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
