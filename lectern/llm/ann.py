@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: inverted file with product-quantised residuals, exact rerank.
 
-Coarse centroids and the residual codebooks are fitted on a bounded sample (``sample_rows``, drawn by hash); every row
+Coarse centroids and the residual codebooks are fitted on a bounded sample (``sample_rows``, or 40 a list, drawn by a hash of id and vector); every row
 is indexed. A list is described by its size and by the variance of its residuals, so that the number of its rows that
 beat a score can be foretold from the normal law. A query visits lists in the order of the neighbours expected in them,
 until those it would miss are fewer than 1 - ``recall`` of k. What counts as a neighbour is told by the score that k rows
@@ -30,7 +30,8 @@ from pyspark.sql import types as T
 
 from .common import hash_fraction, sized, stored, table
 
-SAMPLE_ROWS, SUBSPACES, CODES = 16_384, 16, 64
+#: Rows of the sample at least, and for each list.
+SAMPLE_ROWS, FIT_ROWS, SUBSPACES, CODES = 16_384, 40, 16, 64
 #: Sampled rows that tell a query which scores to expect; least rows of a shortlist, and rows for each neighbour expected.
 PILOT_ROWS, SHORT_LEAST, SHORT_EACH = 8192, 16, 6
 #: Standard errors of the quantiser below a floor that a row's estimate may lie.
@@ -249,7 +250,7 @@ def _cells(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame | None = None, key: str = "vec_id", vector: str = "embedding", *, k: int = 20, lists: int | None = None, recall: float = 0.96,
+    vectors: DataFrame, queries: DataFrame | None = None, key: str = "vec_id", vector: str = "embedding", *, k: int = 20, lists: int | None = None, recall: float = 0.97,
     probe: float | None = None, sample_rows: int = SAMPLE_ROWS, cell_rows: int = 8192, cell_queries: int = 8192,
 ) -> DataFrame:
     """(query_id, rank, key, score): each query's k nearest by inner product, nearest first, ties to the smaller key.
@@ -281,9 +282,13 @@ def nearest(
     rows = rows.where(F.size("v") == dim)
     asked = clean(vectors if queries is None else queries).where(F.size("v") == dim)
     asked = asked.groupBy("id").agg(F.min("v").alias("v")) if queries is None or asked.groupBy("id").count().where("count > 1").head(1) else asked
-    sample = rows.where(hash_fraction("id", seed=3) < min(1.0, sample_rows / total)).groupBy("v").agg(F.min("id").alias("id")).toArrow().sort_by("id")
-    fitted = _matrix(sample.column("v")) if sample.num_rows else _matrix(rows.select("id", "v").limit(64).toArrow().column("v"))
-    index = IvfPq.fit(fitted, lists or max(16, min(4096, round(math.sqrt(total)))))
+    count = lists or max(16, min(4096, round(math.sqrt(total))))
+    wanted = max(sample_rows, FIT_ROWS * count)
+    drawn = rows.withColumn("u", hash_fraction("id", "v", seed=3)).where(F.col("u") < max(min(1.0, wanted / total), 64 / total))
+    # The limit holds where repeated rows are drawn together; the least hash stands in where none is drawn.
+    sample = drawn.orderBy("u", "id").limit(2 * wanted).groupBy("v").agg(F.min("id").alias("id")).toArrow()
+    sample = sample if sample.num_rows else rows.orderBy(hash_fraction("id", "v", seed=3), "id").limit(64).select("v", "id").toArrow()
+    index = IvfPq.fit(_matrix(sample.sort_by("id").column("v")), count)
     shared = spark.sparkContext.broadcast(index)
     kind = "array<float>" if "float" in dict(rows.dtypes)["v"] else "array<double>"
 
