@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sized, table, tuned
+from .common import sized, stored, table, tuned
 from .textkernel import ALNUM, LOWER, running, slices, spans_of, word_hashes, word_spans
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -153,7 +153,9 @@ def contained_items(
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    items = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    # Rows that repeat an item are counted, not carried: however many there are, a block holds the item once.
+    items = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where("text is not null").groupBy("item", "text").agg(F.count("*").alias("rows"))
+    items = stored(items, "items")
     total = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     blocks = max(1, math.ceil(total["n"] / BLOCK_ITEMS), math.ceil(total["bytes"] / BLOCK_BYTES))
     schema = T.StructType([
@@ -161,13 +163,13 @@ def contained_items(
         T.StructField("matched", T.LongType()), T.StructField("shingles", T.LongType()), T.StructField("containment", T.DoubleType())])
 
     def search(block: DataFrame) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Sketches.of([(r["item"], r["text"]) for r in block.collect()], width, threshold))
+        shared = spark.sparkContext.broadcast(Sketches.of([((r["item"], r["rows"]), r["text"]) for r in block.collect()], width, threshold))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s: Sketches = shared.value
             for part, buf, offsets in slices(batches, "text"):
                 keys = part.column(0)
-                rows = [(keys[d].as_py(), s.ids[i], m, n, m / n) for d, i, m, n in s.matches(buf, offsets)]
+                rows = [(keys[d].as_py(), s.ids[i][0], m, n, m / n) for d, i, m, n in s.matches(buf, offsets) for _ in range(s.ids[i][1])]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], names)
 
