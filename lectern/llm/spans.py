@@ -1,18 +1,19 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences: after a word that ends in one of ``.!?`` with no other mark before it (``!!`` after every
-word is shouting, not a sentence), and long sentences into pieces. With ``within`` the pieces begin before every word
-whose md5 is least among some ``within`` consecutive words of the text, so equal words are cut alike wherever they
-begin; line feeds are then blanks like others. Without it a sentence also ends at a line feed and after ``longest`` words.
+word is shouting, not a sentence), and sentences of more than ``longest`` words into pieces. With ``within`` the pieces
+begin before every word whose md5 is least among some ``within`` consecutive words of the text, so equal words are cut
+alike wherever they begin; line feeds are then blanks like others. Without it a sentence also ends at a line feed and
+pieces have ``longest`` words.
 
 Every run of ``run`` consecutive sentences or pieces is hashed to 128 bits; with ``extend`` a run of fewer than
 ``min_words`` words goes on until it has so many, else it is left out. With ``whole`` a text too short for any run is a
 span of its own. Spans are joined globally; the first occurrence of a span, by (doc_id, text hash, place), keeps its
 sentences and every sentence covered by another occurrence is removed.
 
-The query takes ``within=8, min_words=20, extend, whole``: any 50 repeated words hold a whole run then. Cuts 7 words from
-either end depend on these words alone, the first is at most 7 words later, and the run from it ends at most 27 words
-after it.
+The query takes ``within=8, min_words=20, extend, whole``. Of repeated words the parts of sentences at either end may be
+lost, if the sentences go on differently; any run of three whole sentences or pieces between them is found. Within a
+sentence that is long in both texts, cuts 7 words from either end depend on the repeated words alone.
 
 Counts and firsts are pre-aggregated before the shuffle, and the join back to occurrences has plain exchanges on both
 sides, so a passage that a third of all texts share is split at run time.
@@ -67,10 +68,13 @@ def sentences(buf: np.ndarray, offsets: np.ndarray, longest: int, within: int =
     stop = _STOP[buf[last]] & (last > starts[:-1]) & ~_MARK[buf[np.maximum(last - 1, 0)]]
     opens[1:] = (owner[1:] != owner[:-1]) | stop
     if within:
+        size = np.diff(np.append(np.flatnonzero(opens), len(starts)))
+        long = np.repeat(size > longest, size)
         words = word_order(buf, starts, ends)
         if len(words) >= within:
             least = np.lib.stride_tricks.sliding_window_view(words, within).argmin(axis=1) + np.arange(len(words) - within + 1)
-            opens[least[owner[: len(least)] == owner[within - 1 :]]] = True
+            least = least[owner[: len(least)] == owner[within - 1 :]]
+            opens[least[long[least]]] = True
         return starts, ends, owner, np.append(np.flatnonzero(opens), len(starts))
     feeds = np.flatnonzero(buf == 10)
     opens[1:] |= np.searchsorted(feeds, starts[1:]) != np.searchsorted(feeds, ends[:-1])
@@ -189,9 +193,12 @@ least AS (SELECT DISTINCT t, j FROM (
   SELECT t, i, n, i + instr(m, arg) // 33 AS j FROM (
     SELECT t, i, n, string_agg(md5(word), ' ') OVER p AS m, min(md5(word)) OVER p AS arg FROM words WINDOW p AS (PARTITION BY t ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)))
   WHERE i <= n - 7
-), opened AS (
-  SELECT words.*, i = 1 OR least.j IS NOT NULL OR coalesce(regexp_matches(lag(word) OVER (PARTITION BY words.t ORDER BY i), '[^.!?,;:][.!?]$'), FALSE) AS o
-  FROM words LEFT JOIN least ON least.t = words.t AND least.j = words.i
+), stops AS (
+  SELECT *, (i = 1 OR coalesce(regexp_matches(lag(word) OVER (PARTITION BY t ORDER BY i), '[^.!?,;:][.!?]$'), FALSE)) AS o FROM words
+), sentence AS (SELECT *, sum(o::INTEGER) OVER (PARTITION BY t ORDER BY i) AS s FROM stops),
+opened AS (
+  SELECT x.t, x.i, x.n, x.word, x.o OR (least.j IS NOT NULL AND count(*) OVER (PARTITION BY x.t, x.s) > 20) AS o
+  FROM sentence x LEFT JOIN least ON least.t = x.t AND least.j = x.i
 ), numbered AS (SELECT t, i, n, word, (sum(o::INTEGER) OVER (PARTITION BY t ORDER BY i) - 1)::BIGINT AS pos FROM opened),
 units AS (SELECT t, pos, min(i) AS i, any_value(n) AS n, string_agg(word, chr(1) ORDER BY i) AS u FROM numbered GROUP BY t, pos),
 ends AS (SELECT t, i, pos FROM units UNION ALL SELECT t, max(n) + 1, max(pos) + 1 FROM units GROUP BY t),
