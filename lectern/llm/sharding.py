@@ -5,19 +5,23 @@ text hash). The smallest capacity for which a greedy pass fits the groups into `
 search, and the cuts are those of the greedy pass at that capacity.
 
 Everything is DataFrame code. Prefix sums come from a range partitioning: sums within each partition and the offsets
-of the partitions before it (one row a partition). A greedy pass is ``shards`` look-ups of "the largest prefix sum not
-above x"; each look-up is one aggregate over the table of prefix sums, with the range pushed down to its files, and
-``PROBES`` capacities are tested at once, so the search needs log(range) / log(PROBES) rounds.
+of the partitions before it (one row a partition). The search keeps, on the driver, the least and greatest prefix sum of at
+most some ten thousand buckets of values; these bound every cut of a greedy pass, so whole ranges of capacities are settled at
+once, and one aggregate a round refines the few buckets where cuts may still lie.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import release, sized, stored, table
 
-PROBES = 32
+#: Buckets of prefix sums that one look-up returns.
+BUCKETS = 16_384
 
 
 def cumulative(df: DataFrame, order: list, value: str, out: str, partitions: int | None = None) -> DataFrame:
@@ -37,36 +41,80 @@ def _offsets(sums: DataFrame) -> DataFrame:
     return sized(sums.select("_part", F.coalesce(before, F.lit(0)).alias("_before")), "offsets")
 
 
-def minimax_cuts(ends: DataFrame, column: str, total: int, largest: int, shards: int) -> list[int]:
-    """Prefix sums after which the greedy pass at the smallest feasible capacity cuts (at most ``shards - 1``)."""
+class Resolution:
+    """What is known of the prefix sums: for each bucket of values the least and the greatest sum in it.
+
+    :meth:`refine` looks into spans of values with one aggregate of some ``BUCKETS`` rows.
+    """
 
-    def greedy(capacities: list[int]) -> dict[int, list[int]]:
-        """Cuts for each capacity; feasible if the rest after the last cut fits."""
-        cuts: dict[int, list[int]] = {c: [] for c in capacities}
+    def __init__(self, ends: DataFrame, column: str, total: int) -> None:
+        self.ends, self.column = ends, F.col(column)
+        self.buckets: list[tuple[int, int]] = [(0, 0)]
+        self.refine([(1, total)])
+
+    def refine(self, spans: list[tuple[int, int]]) -> None:
+        """Replace the buckets within ``spans`` (of which none overlap) by finer ones."""
+        sizes = [b - a + 1 for a, b in spans]
+        width = max(1, min(-(-sum(sizes) // BUCKETS), max(sizes) // 2))  # the largest is split in any case
+        place, inside, offset = F.lit(None).cast("long"), F.lit(False), 0
+        for a, b in spans:
+            place = F.when(self.column.between(a, b), F.floor((self.column - a) / width) + offset).otherwise(place)
+            inside, offset = inside | self.column.between(a, b), offset + (b - a) // width + 1
+        found = self.ends.where(inside).groupBy(place.alias("b")).agg(F.min(self.column).alias("lo"), F.max(self.column).alias("hi")).collect()
+        others = [x for x in self.buckets if not any(a <= x[0] and x[1] <= b for a, b in spans)]
+        self.buckets = sorted([*others, *((r["lo"], r["hi"]) for r in found)])
+        self.starts = [lo for lo, _ in self.buckets]
+
+    def up_to(self, x: int) -> tuple[int, int]:
+        """Bounds of the largest prefix sum not above ``x``."""
+        lo, hi = self.buckets[bisect_right(self.starts, x) - 1]
+        return (hi, hi) if hi <= x else (lo, x if lo < x else lo)
+
+    def path(self, capacity: int, shards: int) -> list[tuple[int, int]]:
+        """Bounds of the cuts that a greedy pass makes, from 0 on."""
+        cuts = [(0, 0)]
         for _ in range(shards - 1):
-            want = {c: (cuts[c][-1] if cuts[c] else 0) + c for c in capacities}
-            ask = sorted({x for x in want.values() if x < total})
-            found = {x: x for x in want.values() if x >= total}
-            if ask:
-                # A prefix sum not more than `largest` below x always exists, so the scan is bounded by range.
-                near = ends.where((F.col(column) >= ask[0] - largest) & (F.col(column) <= ask[-1]))
-                row = near.agg(*[F.max(F.when(F.col(column) <= x, F.col(column))).alias(f"m{i}") for i, x in enumerate(ask)]).first()
-                found |= {x: (row[f"m{i}"] or 0) for i, x in enumerate(ask)}
-            for c in capacities:
-                cuts[c].append(min(total, found[want[c]]))
+            cuts.append((self.up_to(cuts[-1][0] + capacity)[0], self.up_to(cuts[-1][1] + capacity)[1]))
         return cuts
 
-    low, high = max(largest, -(-total // shards)), largest + -(-total // shards)
-    best: list[int] | None = None
-    while low < high or best is None:
-        step = max(1, (high - low) // PROBES)
-        tried = sorted({*range(low, high + 1, step), high}) if high - low > PROBES else list(range(low, high + 1))
-        cuts = greedy(tried)
-        fits = [c for c in tried if total - (cuts[c][-1] if cuts[c] else 0) <= c]
-        first = fits[0]  # `high` always fits
-        best, at = cuts[first], tried.index(first)
-        low, high = (first if at == 0 else tried[at - 1] + 1), first
-    return [c for c in dict.fromkeys(best) if 0 < c < total]
+    def open_spans(self, low: int, high: int, shards: int) -> list[tuple[int, int]]:
+        """Buckets in which a greedy pass of a capacity from ``low`` to ``high`` may look for a cut, merged."""
+        asked = [(a[0] + low, b[1] + high) for a, b in zip(self.path(low, shards)[:-1], self.path(high, shards)[:-1], strict=True)]
+        spans: list[tuple[int, int]] = []
+        for lo, hi in self.buckets:
+            if lo < hi and any(lo <= y and hi > x for x, y in asked):
+                if spans and spans[-1][1] + 1 >= lo:
+                    spans[-1] = (spans[-1][0], hi)
+                else:
+                    spans.append((lo, hi))
+        return spans
+
+
+def _least(low: int, high: int, holds: Callable[[int], bool]) -> int:
+    """The least number from ``low`` on for which ``holds``, or ``high``."""
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if holds(middle) else (middle + 1, high)
+    return high
+
+
+def minimax_cuts(ends: DataFrame, column: str, total: int, largest: int, shards: int) -> list[int]:
+    """Prefix sums after which the greedy pass at the smallest feasible capacity cuts (at most ``shards - 1``).
+
+    A capacity is feasible if what is left after the last cut fits. Known buckets bound each cut from both sides, so a
+    binary search on the driver gives the least capacity that may be feasible and the least that surely is; then only the
+    buckets where cuts of capacities between the two may lie are refined, until the two meet at exact cuts.
+    """
+    sums = Resolution(ends, column, total)
+    low, high = max(largest, -(-total // shards)), largest + -(-total // shards)  # the latter always fits
+    while True:
+        low = _least(low, high, lambda c: total - sums.path(c, shards)[-1][1] <= c)
+        high = _least(low, high, lambda c: total - sums.path(c, shards)[-1][0] <= c)
+        spans = sums.open_spans(low, high, shards)
+        if not spans:
+            cuts = [lo for lo, _ in sums.path(high, shards)]
+            return [c for c in dict.fromkeys(cuts) if 0 < c < total]
+        sums.refine(spans)
 
 
 def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8) -> DataFrame:
