@@ -383,7 +383,9 @@ def remove_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw)
     rows = docs.alias("d")
     whole = F.col(f"d.`{text}`")
     same = F.struct(F.col(f"d.`{key}`").alias("id"), F.xxhash64(whole).alias("k")).eqNullSafe(F.col("f.id"))
-    parts = F.filter(F.split(whole, "\n", -1), lambda x, i: ~F.array_contains(F.col("f.removed"), i))
+    # The lines are bound once as a variable; numbers of removed lines are taken out by hash, not searched for each line.
+    numbers = lambda s: F.array_except(F.sequence(F.lit(0), F.size(s) - 1), F.col("f.removed"))
+    parts = F.transform(F.array(F.split(whole, "\n", -1)), lambda s: F.transform(numbers(s), lambda i: F.get(s, i)))[0]
     left = F.when(F.col("f.removed").isNull(), whole).otherwise(F.array_join(parts, "\n")).alias(text)
     return rows.join(found, same & whole.isNotNull(), "left").select(*[left if c == text else F.col(f"d.`{c}`") for c in docs.columns])
 
