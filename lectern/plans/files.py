@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import jobs
 from ..operators.carry import shared_folder
-from ..sources import files, sinks, spool
+from ..sources import files, playlist, playlist_files, sinks, spool
 from .base import Tables, query
 
 
@@ -105,3 +105,33 @@ def q_spool(t: Tables) -> DataFrame:
     finally:
         q.stop()
     return t.spark.read.schema("job_id string, done int").parquet(f"{path}/out")
+
+
+#: Links of a page, in order; the playlist ends after four of them, what follows the end mark does not count.
+LINKS_SQL = """l AS (SELECT page_id, unnest(h) AS link, generate_subscripts(h, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages)),
+s AS (SELECT page_id, link, pos, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS idx FROM l WHERE pos <= 4 AND link <> '' AND NOT starts_with(link, '#'))"""
+
+
+def _playlist_lines(t: Tables) -> DataFrame:
+    """A playlist file a page, with the links of its html as segments, read back by the playlist source."""
+    path, links = _folder(t), F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    lines = F.transform(links, lambda x, i: F.concat(F.lit("#EXTINF:4,\r\n"), x, F.when(i == 3, "\r\n\r\n#EXT-X-ENDLIST").otherwise("")))
+    text = F.concat(F.lit("#EXTM3U\r\n"), F.array_join(lines, "\r\n"), F.lit("\n"))
+    playlist_files.write_playlists(t.pages.select(F.col("page_id").cast("string").alias("playlist_id"), text.alias("text")), path)
+    return playlist_files.read_playlists(t.spark, path, "https://files.example")
+
+
+@query(f"""
+WITH {LINKS_SQL}
+SELECT CAST(page_id AS VARCHAR) AS playlist_id, CAST(idx AS INTEGER) AS idx,
+  CASE WHEN regexp_matches(link, '^[a-z]+://') THEN link WHEN starts_with(link, '/') THEN 'https://files.example' || link ELSE 'https://files.example/' || link END AS url FROM s""")
+def q_playlist_files(t: Tables) -> DataFrame:
+    return playlist.segments(_playlist_lines(t))
+
+
+@query(f"""
+WITH {LINKS_SQL}
+SELECT CAST(page_id AS VARCHAR) AS playlist_id, '#EXTM3U' || chr(10) || string_agg('#EXTINF:4,' || chr(10) || idx || '.ts', chr(10) ORDER BY pos) || chr(10) || '#EXT-X-ENDLIST' || chr(10) AS text
+FROM s WHERE page_id % 2 = 0 GROUP BY page_id""")
+def q_playlist_local(t: Tables) -> DataFrame:
+    return playlist.rewritten(_playlist_lines(t).where(F.col("playlist_id").cast("long") % 2 == 0))

@@ -6,6 +6,7 @@ and are not opened.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 from pyarrow import fs
@@ -45,7 +46,7 @@ class PlaylistReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         system, path = folder_of(self.path)
         root = path.rstrip("/") + "/"
-        found = [f for f in system.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True)) if f.is_file and f.path.lower().endswith(SUFFIX)]
+        found = [f for f in system.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True)) if f.is_file and f.path.lower().endswith(SUFFIX) and not f.base_name.startswith(".")]
         tasks: list[list[str]] = []
         room = 0
         for f in sorted(found, key=lambda f: f.path):
@@ -98,3 +99,24 @@ def read_playlists(spark: SparkSession, path: str, base_url: str, task_bytes: in
 def links(lines: DataFrame) -> DataFrame:
     """(url, target): which playlist lies behind each url, for ``playlist.resolved``."""
     return lines.select(F.col("base_url").alias("url"), F.col("playlist_id").alias("target")).distinct()
+
+
+def write_playlists(texts: DataFrame, path: str, key: str = "playlist_id", text: str = "text") -> None:
+    """One ``<key>.m3u8`` file a row below ``path``, written by the tasks; a file is there as a whole or not at all."""
+    system, root = folder_of(path)
+    root = root.rstrip("/")
+    if isinstance(system, fs.LocalFileSystem):
+        system.create_dir(root)
+
+    def write(rows: Iterator) -> None:
+        system, _ = folder_of(path)
+        for r in rows:
+            name = f"{root}/{r[key]}{SUFFIX}"
+            folder, _, base = name.rpartition("/")
+            system.create_dir(folder)
+            draft = f"{folder}/.{base}.{uuid.uuid4().hex}"
+            with system.open_output_stream(draft) as f:
+                f.write((r[text] or "").encode())
+            system.move(draft, name)
+
+    texts.select(key, text).foreachPartition(write)
