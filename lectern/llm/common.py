@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _ROOTS: dict[str, str] = {}
+#: Paths of the tables stored so far.
+_TABLES: list[str] = []
 #: Rows and bytes per Arrow batch handed to Python. Texts may be very long, so batches are kept short.
 ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 
@@ -56,9 +60,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path, compression="none" if numbers else None)
     out = spark.read.schema(schema).parquet(path)
     out._table_path = path
+    _TABLES.append(path)
     return out
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables stored within the block are removed at its end, but for those put into the list it gives."""
+    before, kept = len(_TABLES), []
+    try:
+        yield kept
+    finally:
+        stay = {df._table_path for df in kept}
+        for path in [p for p in _TABLES[before:] if p not in stay]:
+            _delete(spark, path)
+        _TABLES[before:] = [p for p in _TABLES[before:] if p in stay]
+
+
 def release(df: DataFrame | None) -> None:
     """Remove a table made by :func:`stored` that no later plan reads."""
     if df is not None and hasattr(df, "_table_path"):

@@ -215,7 +215,9 @@ FROM m JOIN n USING (item_id) WHERE matched >= 0.8 * shingles - 1e-9
 def stage_decontam(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item go on, columns as they are; the others go.
 
-    The decision is made in one pass beside the text, so whole rows never shuffle.
+    The decision is made in one pass beside the text, so whole rows never shuffle. Rows alike in doc_id and text are decided
+    alike, a null doc_id is a key like others; null and empty texts hold nothing and go on; long texts are searched whole.
+    No items, or no documents, leave the table as it is. Columns, whatever their names, stay as they are.
     """
     tuned(spark)
     names = docs.columns

@@ -378,7 +378,12 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
 
 
 def remove_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """``docs`` with removed lines cut out of the text; nulls and all other columns, whatever their names, stay."""
+    """``docs`` with removed lines cut out of the text.
+
+    Null texts stay null, texts without a removed line stay as they are; rows alike in key and text lose the same lines.
+    Long texts are cut whole, an empty table gives no rows. Other columns, whatever their names, stay. Ties: as
+    :func:`repeated_lines` states.
+    """
     found = repeated_lines(docs, key, text, **kw).select(F.struct(F.col(key).alias("id"), "k").alias("id"), "removed").alias("f")
     rows = docs.alias("d")
     whole = F.col(f"d.`{text}`")

@@ -212,7 +212,9 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A source's sample ends at one rank and has one more document, so the choice is a comparison of ranks and texts don't
     shuffle. Rows that share the last rank or the filling one are counted, and only as many go on as the mix takes, so
-    taken words are as near to the targets as those of :func:`mix`.
+    taken words are as near to the targets as those of :func:`mix`. A null source is a source, the last; null and empty
+    texts have no words and go, long texts count whole; rows without a doc_id rank after the others of equal odds. An empty
+    table gives no rows.
     """
     names = docs.columns
     key, text, source = (F.col(f"d.`{c}`") for c in ("doc_id", "text", "source"))

@@ -161,5 +161,9 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot of every document that is left."""
+    """doc_id, size, text_crc32, shard, slot of every document that is left.
+
+    Nulls in any column, empty and long texts, repeated rows, ties, empty tables and other columns: as
+    :func:`assign_shards` states.
+    """
     return assign_shards(docs)

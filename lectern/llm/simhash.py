@@ -233,7 +233,8 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows without a doc_id can't be told from each other by it; of a class in which no row has one, and of repeated
     doc_ids within a class, one row each stays: the first by fingerprint, then by two hashes of all its columns. A doc_id
     that several texts carry stays once in each class whose smallest it is. Null and empty texts are a class of their own
-    and of what links to it; long texts are read whole. Columns, whatever their names, stay as they are.
+    and of what links to it; long texts are read whole; an empty table gives no rows. Columns, whatever their names, stay
+    as they are.
     """
     tuned(spark)
     names = docs.columns

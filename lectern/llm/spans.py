@@ -145,7 +145,12 @@ def repeated_sentences(
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """``docs`` with removed sentences cut out of the text (each with the blanks up to the next); nulls and all other columns stay."""
+    """``docs`` with removed sentences cut out of the text (each with the blanks up to the next).
+
+    Null texts stay null, texts without a repeat stay as they are; rows alike in key and text lose the same sentences. Long
+    texts are cut whole, an empty table gives no rows. Other columns, whatever their names, stay. Ties: as
+    :func:`repeated_sentences` states.
+    """
     names, longest, within = docs.columns, kw.get("longest", LONGEST), kw.get("within", 0)
     free = next(f"_gone{i}" for i in range(len(names) + 1) if f"_gone{i}" not in names)
     found = repeated_sentences(docs, key, text, **kw).select(F.struct(F.col(key).alias("id"), "k").alias("id"), "removed").alias("f")
