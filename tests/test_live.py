@@ -72,7 +72,7 @@ def test_keyframes_of_any_split_and_after_restarts(spark, tmp_path, rocksdb):
         if i % 2:  # some runs find two new files, and each begins from the checkpoint
             stream = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).parquet(folder)
             run(keyframes.stream_keyframes(stream, "media_id", "ts", "w", 63), out, checkpoint)
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == want and len(want) > 10
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == want and len(want) > 5
 
 
 def test_late_frames_wait_for_the_watermark(spark, tmp_path, rocksdb):
