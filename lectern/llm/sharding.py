@@ -18,27 +18,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, sized, stored, table
+from .common import release, stored, table
 
 #: Buckets of prefix sums that one look-up returns.
 BUCKETS = 16_384
 
 
-def cumulative(df: DataFrame, order: list, value: str, out: str, partitions: int | None = None) -> DataFrame:
-    """``df`` with the running sum of ``value`` in the given total order, as a stored table; no global sort task."""
+def cumulative(df: DataFrame, order: list, value: str, out: str, partitions: int | None = None) -> tuple[DataFrame, int, int]:
+    """``df`` with the running sum of ``value`` in the given total order, as a stored table; the whole sum and the largest value.
+
+    No global sort task: sums are taken within range partitions, and one row a partition goes to the driver.
+    """
     from pyspark.sql import Window
 
     ranged = df.repartitionByRange(*([partitions] if partitions else []), *order).withColumn("_part", F.spark_partition_id())
     local = stored(ranged.withColumn(out, F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))), "local")
-    return local.join(_offsets(local.groupBy("_part").agg(F.max(out).alias("n"))), "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before")
+    parts = local.groupBy("_part").agg(F.max(out).alias("n"), F.max(value).alias("most")).collect()
+    before = _before(local.sparkSession, {r["_part"]: r["n"] for r in parts})
+    found = stored(local.join(before, "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before"), "sums")
+    release(local)
+    return found, sum(r["n"] for r in parts), max((r["most"] for r in parts), default=0)
 
 
-def _offsets(sums: DataFrame) -> DataFrame:
-    """(_part, _before): sum of n of all partitions before, from a table of one row a partition."""
-    from pyspark.sql import Window
-
-    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    return sized(sums.select("_part", F.coalesce(before, F.lit(0)).alias("_before")), "offsets")
+def _before(spark: SparkSession, sums: dict[int, int]) -> DataFrame:
+    """(_part, _before): the sum of all partitions before each; one row a partition, broadcast."""
+    rows, total = [], 0
+    for part in sorted(sums):
+        rows.append((part, total))
+        total += sums[part]
+    return F.broadcast(spark.createDataFrame(rows, "_part int, _before long"))
 
 
 class Resolution:
@@ -132,24 +140,21 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shar
     rows = stored(slim, "slim")
     groups = rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"), F.min("key").alias("least"))
     order = [F.asc_nulls_last("least"), F.asc("g1"), F.asc("g2")]
-    ends = stored(cumulative(groups, order, "bytes", "end").select("g1", "g2", "bytes", "end"), "ends")
-    facts = ends.agg(F.coalesce(F.max("end"), F.lit(0)).alias("total"), F.coalesce(F.max("bytes"), F.lit(0)).alias("largest")).first()
-    cuts = minimax_cuts(ends, "end", facts["total"], facts["largest"], shards) if facts["total"] else []
+    ends, total, largest = cumulative(groups, order, "bytes", "end")
+    cuts = minimax_cuts(ends, "end", total, largest, shards) if total else []
     shard = sum((F.when(F.col("end") > c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
     placed = rows.join(ends.select("g1", "g2", shard.alias("shard")), ["g1", "g2"]).select("key", "size", "crc", "g1", "shard")
     # Row numbers: range partitions in (shard, key) order, sorted inside, with the sizes of those before.
     sort = [F.asc("shard"), F.asc_nulls_last("key"), F.asc_nulls_last("crc"), F.asc("g1")]
     numbered = stored(placed.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part, place = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = stored(numbered.groupBy(part.alias("_part"), "shard").agg(F.count("*").alias("n")), "counts")  # partitions + shards rows
-    in_shard = {r["shard"]: r["n"] for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    starts, before = [], 0
-    for s in range(shards):
-        starts.append(before)
-        before += in_shard.get(s, 0)
-    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("shard") + 1)
-    offsets = _offsets(counts.groupBy("_part").agg(F.sum("n").alias("n")))
-    out = numbered.withColumn("_part", part).join(offsets, "_part").withColumn("slot", F.col("_before") + place - start)
+    counts = numbered.groupBy(part.alias("_part"), "shard").agg(F.count("*").alias("n")).collect()  # partitions + shards rows
+    sizes, in_part = [0] * shards, dict.fromkeys(sorted({r["_part"] for r in counts}), 0)
+    for r in counts:
+        sizes[r["shard"]] += r["n"]
+        in_part[r["_part"]] += r["n"]
+    start = F.element_at(F.array(*[F.lit(sum(sizes[:i])).cast("long") for i in range(shards)]), F.col("shard") + 1)
+    out = numbered.withColumn("_part", part).join(_before(docs.sparkSession, in_part), "_part").withColumn("slot", F.col("_before") + place - start)
     release(rows)
     return out.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
