@@ -93,12 +93,17 @@ def iso_minute(text: Column) -> Column:
     return F.substring(F.replace(text, F.lit("T"), F.lit(" ")), 1, 16)
 
 
-def human_bytes(n: Column) -> Column:
+def human_bytes(n: Column, largest: str = "TB") -> Column:
+    """Size in the unit below which it stays under 1024, ``largest`` at most; one decimal of the exact value, ties to even."""
     n = n.cast("double")
-    out = F.when(n < 1024, F.format_string("%.1f B", n))
-    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
-        out = out.when(n < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024.0**power))
-    return out.otherwise(F.format_string("%.1f TB", n / 1024.0**4))
+    units = ("B", "KB", "MB", "GB", "TB")
+    last = units.index(largest)
+    # format_number rounds the exact binary value, as printf does; format_string rounds the shortest decimal, half up.
+    shown = [F.concat(F.call_function("format_number", n / 1024.0**power, F.lit("0.0")), F.lit(f" {unit}")) for power, unit in enumerate(units)]
+    out = shown[last]
+    for power in reversed(range(last)):
+        out = F.when(n < 1024.0 ** (power + 1), shown[power]).otherwise(out)
+    return out
 
 
 def throughput(size: Column, seconds: Column) -> Column:

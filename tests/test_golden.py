@@ -30,6 +30,8 @@ def test_names_labels_and_sizes(spark):
     assert one(spark, fn.sanitize_name(F.lit('　a/b:c*?"<>|d\\ '))) == "a_b_c______d_"
     assert one(spark, fn.history_label(F.lit("7"), F.lit("x" * 30), F.lit(" P "), F.lit(0))) == "7  ·  " + "x" * 27 + "… · P  ·  1 次"
     assert [one(spark, fn.human_bytes(F.lit(n))) for n in (1023, 1024, 1536 * 1024, 5 << 40)] == ["1023.0 B", "1.0 KB", "1.5 MB", "5.0 TB"]
+    # Ties go to the even digit, and the largest unit takes what is beyond it.
+    assert [one(spark, fn.human_bytes(F.lit(n), "GB")) for n in (1024 + 256, 1024 + 768, 16 * 512_000**2, None)] == ["1.2 KB", "1.8 KB", "3906.2 GB", None]
     assert [one(spark, fn.backoff(F.lit(a))) for a in (0, 3, 9)] == [0.5, 4.0, 8.0]
     assert [one(spark, fn.error_class(F.lit(m))) for m in ("ProxyError timeout", "Read timed out", "SSLError", "other")] == ["proxy", "timeout", "ssl", "other"]
     assert [one(spark, fn.complete(F.lit(n), F.lit(100))) for n in (95, 94)] == [True, False] and one(spark, fn.complete(F.lit(19), F.lit(20)))
