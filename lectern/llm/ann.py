@@ -2,16 +2,18 @@
 
 Coarse centroids and the residual codebooks are fitted on a bounded sample (``sample_rows``, or 40 a list, drawn by a hash of id and vector); every row
 is indexed. A list is described by its size and by the variance of its residuals, so that the number of its rows that
-beat a score can be foretold from the normal law. A query visits lists in the order of the neighbours expected in them,
-until those it would miss are fewer than 1 - ``recall`` of k. What counts as a neighbour is told by the score that k rows
-are expected to reach, or by the query's scores in a pilot sample if those are higher. Vectors that form clusters thus
-cost a few lists each; vectors without structure cost as many lists as the recall needs.
+beat a score can be foretold from the normal law. A query visits lists in the order of the neighbours expected in them.
+What counts as a neighbour is told by the score that k rows are expected to reach, or by the query's scores in a pilot
+sample if those are higher. The law orders the lists well but, on rows with long tails, is far off in its counts. So
+where to stop is measured: up to ``CHECKED`` queries, drawn by hash, are compared with all rows by brute force, and a
+query stops where, of their true neighbours, ``recall`` would be found. Vectors that form clusters thus cost a few lists
+each; vectors without structure cost as many lists as the recall needs, all of them if need be.
 
 Lists are laid out in cells of bounded size: short lists share a cell, a long one spans several, by hash of the vector.
 Queries travel to the cells; a cell that more than ``cell_queries`` queries visit is dealt to as many copies as it needs.
 In a list the asymmetric distance tables tell which rows may reach the query's floor (a score that clearly more than k
-rows of the pilot's scale reach); those, or a shortlist of the best where they are many, get exact inner products in
-double precision. Equal vectors count once in a shortlist and stand for their
+rows of the pilot's scale reach): those whose estimate, raised by the row's own quantisation error times a slack that the
+same queries measure, reaches it. They get exact inner products in double precision. Equal vectors count once in a shortlist and stand for their
 k + 1 smallest ids, so a vector that a third of all rows share crowds nothing out and is thinned to those ids before any
 shuffle. Rows equal in id and vector are one row; an id with several vectors is listed once, at its best score.
 """
@@ -32,10 +34,12 @@ from .common import hash_fraction, sized, stored, table
 
 #: Rows of the sample at least, and for each list.
 SAMPLE_ROWS, FIT_ROWS, SUBSPACES, CODES = 16_384, 40, 16, 64
-#: Sampled rows that tell a query which scores to expect; least rows of a shortlist, and rows for each neighbour expected.
-PILOT_ROWS, SHORT_LEAST, SHORT_EACH = 8192, 16, 6
-#: Standard errors of the quantiser below a floor that a row's estimate may lie.
-SLACK = 2.5
+#: Sampled rows that tell a query which scores to expect; queries that are compared with all rows.
+PILOT_ROWS, CHECKED = 8192, 256
+#: Standard errors of a row's code that its estimate may lie below a floor, at least; share of true neighbours within the slack.
+SLACK, WITHIN = 2.5, 0.995
+#: Pairs of a query and a row whose vectors are held at a time.
+PAIRS = 1 << 16
 
 
 def _kmeans(x: np.ndarray, k: int, steps: int, rng: np.random.Generator) -> np.ndarray:
@@ -51,10 +55,11 @@ def _kmeans(x: np.ndarray, k: int, steps: int, rng: np.random.Generator) -> np.n
 
 
 def _upper_tail(z: np.ndarray) -> np.ndarray:
-    """Probability that a standard normal number exceeds ``z`` (a polynomial good to seven digits)."""
+    """Probability that a standard normal number exceeds ``z`` (a polynomial good to seven digits, relative ones far out)."""
     a = np.abs(z)
     t = 1 / (1 + 0.2316419 * a)
     p = np.exp(-0.5 * a * a) * 0.3989422804 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    p = np.where(a > 5, np.exp(-0.5 * a * a) * 0.3989422804 * a / (a * a + 1), p)
     return np.where(z >= 0, p, 1 - p)
 
 
@@ -66,7 +71,6 @@ class IvfPq:
     shape: np.ndarray  # (dim, dim) covariance of the residuals, of mean variance 1
     pilot: np.ndarray  # (rows, dim) sampled rows
     scale: np.ndarray  # (lists,) root mean square of the list's residuals; codes are of residuals divided by it
-    noise: float  # standard error of an estimated product with a query of length 1, for scale 1
 
     @classmethod
     def fit(cls, sample: np.ndarray, lists: int, seed: int = 5) -> IvfPq:
@@ -80,21 +84,29 @@ class IvfPq:
         residual /= scale[at][:, None]
         bounds = np.linspace(0, dim, min(SUBSPACES, dim) + 1).round().astype(int)
         books = [_kmeans(residual[:, a:b], CODES, 6, rng) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        error = sum(float(np.square(residual[:, a:b] - book[assign(residual[:, a:b], book)]).sum()) for a, b, book in zip(bounds[:-1], bounds[1:], books, strict=True))
         shape = (residual.T @ residual).astype(np.float64)
         trace = float(np.trace(shape))
         shape = shape * (dim / trace) if trace > 0 else np.eye(dim)
         pilot = sample[rng.choice(len(sample), min(len(sample), PILOT_ROWS), replace=False)].astype(np.float32)
-        return cls(coarse, books, bounds, shape, pilot, scale, math.sqrt(error / residual.size))
+        return cls(coarse, books, bounds, shape, pilot, scale)
 
     def encode(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and the mean squares of the residuals."""
         residual = (x - self.coarse[at]).astype(np.float32)
-        square = np.einsum("ij,ij->i", residual, residual) / residual.shape[1]
+        square = np.einsum("ij,ij->i", residual, residual, dtype=np.float64) / residual.shape[1]
         residual /= self.scale[at][:, None]
         codes = np.stack([assign(residual[:, a:b], book) for a, b, book in zip(self.bounds[:-1], self.bounds[1:], self.codebooks, strict=True)], axis=1).astype(np.uint8)
         return codes, square
 
+    def decode(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The vectors that the codes stand for."""
+        parts = [book[codes[:, s]] for s, book in enumerate(self.codebooks)]
+        return self.coarse[at] + np.concatenate(parts, axis=1) * self.scale[at].astype(np.float64)[:, None]
+
+    def errors(self, x: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Standard error of each row's estimated product with a query of length 1."""
+        return np.linalg.norm(x - self.decode(codes, at), axis=1) / math.sqrt(x.shape[1])
+
     def tables(self, queries: np.ndarray) -> list[np.ndarray]:
         """For each subspace the products of its codes and the queries: (codes, queries)."""
         return [book @ queries[:, a:b].T.astype(np.float32) for a, b, book in zip(self.bounds[:-1], self.bounds[1:], self.codebooks, strict=True)]
@@ -102,7 +114,8 @@ class IvfPq:
     def expected(self, q: np.ndarray, sizes: np.ndarray, spread: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(queries, lists): the rows of each list expected to be among a query's k nearest; each query's floor."""
         mean = q @ self.coarse.T
-        sd = np.sqrt(np.maximum(np.einsum("qd,de,qe->q", q, self.shape, q)[:, None] * spread[None, :], 1e-18))
+        sd = np.sqrt(np.maximum(np.einsum("qd,de,qe->q", q, self.shape, q), 0)[:, None] * spread[None, :])
+        sd = np.maximum(sd, np.maximum(1e-9 * np.abs(mean).max(axis=1, keepdims=True), 1e-150))
         low, high = (mean - 8 * sd).min(axis=1), (mean + 8 * sd).max(axis=1)
         for _ in range(24):
             t = (low + high) / 2
@@ -116,30 +129,55 @@ class IvfPq:
             low, floor = np.maximum(low, -seen[:, near]), -seen[:, far].astype(np.float64)
         return sizes * _upper_tail((low[:, None] - mean) / sd), floor
 
-    def probes(self, q: np.ndarray, sizes: np.ndarray, spread: np.ndarray, k: int, recall: float, share: float | None) -> tuple[np.ndarray, ...]:
-        """Query number, list, shortlist and floor of every visit.
+    def order(self, q: np.ndarray, sizes: np.ndarray, spread: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, lists) in the order of visits: lists, share of the neighbours expected from each one on; each query's floor."""
+        e, floor = self.expected(q, sizes, spread, k)
+        order = np.argsort(-e, axis=1, kind="stable")
+        e = np.take_along_axis(e, order, axis=1)
+        missed = np.cumsum(e[:, ::-1], axis=1)[:, ::-1]
+        return order, missed / np.clip(missed[:, :1], 1e-300, k), floor
+
+    def stop(self, q: np.ndarray, sizes: np.ndarray, spread: np.ndarray, k: int, recall: float, query: np.ndarray, at: np.ndarray) -> float:
+        """Share of missing neighbours at which to stop, so that ``recall`` of the true neighbours is visited.
 
-        The first lists of a query, that hold k + 1 rows together if there are so many, have no floor: they make sure
-        that k rows are found.
+        ``query`` (row of ``q``) and ``at`` (list) tell the true neighbours; those of a query's first lists are visited anyway.
+        """
+        if not len(query):
+            return 0.0
+        shares = []
+        for lo in range(0, len(q), 256):
+            order, missed, _ = self.order(q[lo : lo + 256], sizes, spread, k)
+            n = sizes[order]
+            missed = np.where(np.cumsum(n, axis=1) - n < k + 1, np.inf, missed)
+            here = (query >= lo) & (query < lo + 256)
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
+            shares.append(missed[query[here] - lo, place[query[here] - lo, at[here]]])
+        ranked = np.sort(np.concatenate(shares))
+        return float(min(1.0, ranked[math.floor((1 - recall) * len(ranked))]))
+
+    def probes(self, q: np.ndarray, sizes: np.ndarray, spread: np.ndarray, k: int, recall: float, share: float | None, stop: float | None = None) -> tuple[np.ndarray, ...]:
+        """Query number, list, least rows of the shortlist and floor of every visit.
+
+        Lists are visited while the share of missing neighbours is ``stop`` or more (default: 1 - ``recall``, as the law has
+        it). The first lists of a query, that hold k + 1 rows together if there are so many, have a shortlist of 2 k + 2
+        rows whatever the floor: they make sure that k rows are found.
         """
         out: list[tuple[np.ndarray, ...]] = []
         lists = len(self.coarse)
         block = max(1, (1 << 21) // max(lists, len(self.pilot) // 4))
         for lo in range(0, len(q), block):
             part = q[lo : lo + block]
-            e, floor = self.expected(part, sizes, spread, k)
-            order = np.argsort(-(e if share is None else part @ self.coarse.T), axis=1, kind="stable")
-            e, n = np.take_along_axis(e, order, axis=1), sizes[order]
-            base = np.cumsum(n, axis=1) - n < k + 1
-            if share is None:
-                got = np.cumsum(e, axis=1)
-                missed = got[:, -1:] - got + e  # without this list and those after it
-                visit = (missed > (1 - recall) * np.minimum(k, got[:, -1:])) | base
+            order, missed, floor = self.order(part, sizes, spread, k)
+            if share is not None:
+                order = np.argsort(-(part @ self.coarse.T), axis=1, kind="stable")
+                visit, base = np.broadcast_to(np.arange(lists) < min(lists, max(8, math.ceil(share * lists))), order.shape), np.ones(order.shape, bool)
             else:
-                visit, base = np.broadcast_to(np.arange(lists) < min(lists, max(8, math.ceil(share * lists))), e.shape), np.ones(e.shape, bool)
-            i, j = np.nonzero(visit & (n > 0))
-            want = np.maximum(SHORT_LEAST + np.ceil(SHORT_EACH * e[i, j]), np.where(base[i, j], 2 * k + 2, 0))
-            out.append((i + lo, order[i, j].astype(np.int32), np.minimum(want, 1 << 30).astype(np.int32), np.where(base[i, j], -np.inf, floor[i])))
+                n = sizes[order]
+                base = np.cumsum(n, axis=1) - n < k + 1
+                visit = (missed >= (1 - recall if stop is None else stop)) | base
+            i, j = np.nonzero(visit & (sizes[order] > 0))
+            out.append((i + lo, order[i, j].astype(np.int32), np.where(base[i, j], 2 * k + 2, 0).astype(np.int32), floor[i]))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -186,10 +224,12 @@ class Found:
         return Found(q[near], i[near], s[near])
 
 
-def search_list(index: IvfPq, at: int, q: np.ndarray, qid: np.ndarray, want: np.ndarray, floor: np.ndarray, x: np.ndarray, xid: np.ndarray, codes: np.ndarray, k: int) -> Found:
+def search_list(
+    index: IvfPq, at: int, q: np.ndarray, qid: np.ndarray, want: np.ndarray, floor: np.ndarray, x: np.ndarray, xid: np.ndarray, codes: np.ndarray, error: np.ndarray, k: int, slack: float = SLACK,
+) -> Found:
     """Exact scores of the shortlisted rows of one list for each query that visits it."""
     order = np.argsort(xid, kind="stable")
-    x, xid, codes = x[order], xid[order], codes[order]
+    x, xid, codes, error = x[order], xid[order], codes[order], error[order]
     _, first, group = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
     group = group.ravel()
     fresh = np.ones(len(xid), bool)  # rows equal in id and vector count once
@@ -204,29 +244,29 @@ def search_list(index: IvfPq, at: int, q: np.ndarray, qid: np.ndarray, want: np.
     kept = place < wide
     ids[members[by][kept], place[kept]] = xid[rows][by][kept]
     held[members[by][kept], place[kept]] = True
-    x, codes = x[first], codes[first]
-    need = np.full(len(q), len(x)) if several else np.minimum(len(x), 1 << np.ceil(np.log2(want)).astype(np.int64))
+    x, codes, error = x[first], codes[first], error[first]
+    need = np.full(len(q), len(x)) if several else np.minimum(len(x), want)
     scale = float(index.scale[at])
-    bar = ((floor - q @ index.coarse[at]) / scale - SLACK * index.noise * np.linalg.norm(q, axis=1)).astype(np.float32)
+    bar = ((floor - q @ index.coarse[at]) / scale).astype(np.float32)
+    # What an estimate may lack: the slack, and the rounding of single precision.
+    room, length = (slack * error / scale + 1e-5).astype(np.float32), np.linalg.norm(q, axis=1).astype(np.float32)
     out = []
-    for lo in range(0, len(q), 1024):
-        part = slice(lo, lo + 1024)
+    block = max(16, min(1024, (1 << 21) // max(1, len(x))))
+    for lo in range(0, len(q), block):
+        part = slice(lo, lo + block)
         rough = np.zeros((len(x), len(q[part])), np.float32)
         for s, t in enumerate(index.tables(q[part])):
             rough += t[codes[:, s]]
+        rough += room[:, None] * length[part]
         likely = rough >= bar[part]
-        n = likely.sum(axis=0)
-        few = n <= need[part]
-        likely &= few
-        picks = [np.nonzero(likely)]
-        for size in np.unique(need[part][~few]).tolist():
-            of = np.flatnonzero(~few & (need[part] == size))
+        for size in np.unique(need[part][need[part] > likely.sum(axis=0)]).tolist():
+            of = np.flatnonzero(need[part] == size)
             top = np.argpartition(-rough[:, of], size - 1, axis=0)[:size]
-            picks.append((top.ravel(), np.broadcast_to(of, top.shape).ravel()))
-        row, query = (np.concatenate(c) for c in zip(*picks, strict=True))
+            likely[top.ravel(), np.broadcast_to(of, top.shape).ravel()] = True
+        row, query = np.nonzero(likely)
         query = query + lo
-        score = np.einsum("pd,pd->p", x[row], q[query])
-        good = score >= floor[query]
+        score = np.concatenate([np.einsum("pd,pd->p", x[row[a : a + PAIRS]], q[query[a : a + PAIRS]]) for a in range(0, max(1, len(row)), PAIRS)])
+        good = (score >= floor[query]) | (need[query] > 0)
         row, query, score = row[good], query[good], score[good]
         key = ids[row]
         good = held[row] & (key != qid[query][:, None])
@@ -256,7 +296,7 @@ def nearest(
     """(query_id, rank, key, score): each query's k nearest by inner product, nearest first, ties to the smaller key.
 
     ``queries`` (same columns; default: all rows) never meet the row of their own key. ``recall`` is the share of
-    neighbours that the visited lists are expected to hold; ``probe`` instead visits that share of the lists.
+    neighbours that the visited lists hold, as measured on up to ``CHECKED`` queries; ``probe`` instead visits that share of the lists.
     Vectors that are null, zero, of another length than most, or that hold a null or non-finite component, and rows
     without a key take no part. Repeated rows count once; of different vectors under one key a query takes the
     smallest, and a neighbour counts once with its best score. Fewer keys than k give fewer ranks; an empty table gives
@@ -288,7 +328,11 @@ def nearest(
     # The limit holds where repeated rows are drawn together; the least hash stands in where none is drawn.
     sample = drawn.orderBy("u", "id").limit(2 * wanted).groupBy("v").agg(F.min("id").alias("id")).toArrow()
     sample = sample if sample.num_rows else rows.orderBy(hash_fraction("id", "v", seed=3), "id").limit(64).select("v", "id").toArrow()
-    index = IvfPq.fit(_matrix(sample.sort_by("id").column("v")), count)
+    learned = _matrix(sample.sort_by("id").column("v"))
+    # Vectors are divided by a power of two near their size, which changes no digit, so that single precision holds any scale.
+    most = float(np.abs(learned).max())
+    unit = 2.0 ** round(math.log2(most * math.sqrt(float(np.square(learned / most).mean()))))
+    index = IvfPq.fit(learned / unit, count)
     shared = spark.sparkContext.broadcast(index)
     kind = "array<float>" if "float" in dict(rows.dtypes)["v"] else "array<double>"
 
@@ -296,13 +340,14 @@ def nearest(
         own: IvfPq = shared.value
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(1))
+                x = _matrix(batch.column(1)) / unit
                 at = assign(x, own.coarse)
                 codes, square = own.encode(x, at)
+                error = own.errors(x, at, codes).astype(np.float32)
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), packed, pa.array(square.astype(np.float64))], ["id", "v", "h", "list", "codes", "square"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), packed, pa.array(square), pa.array(error)], ["id", "v", "h", "list", "codes", "square", "error"])
 
-    indexed = stored(rows.select("id", "v", F.xxhash64("v").alias("h")).mapInArrow(place, f"id long, v {kind}, h long, list int, codes binary, square double"), "index")
+    indexed = stored(rows.select("id", "v", F.xxhash64("v").alias("h")).mapInArrow(place, f"id long, v {kind}, h long, list int, codes binary, square double, error float"), "index")
     # A vector that very many rows share is thinned to its k + 1 smallest ids: the limit applies before the shuffle.
     hot = sized(indexed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 4 * (k + 1)).select("h"), "hot")
     if hot.head(1):
@@ -311,14 +356,59 @@ def nearest(
         order = F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))
         few = indexed.join(hot, "h", "left_semi").dropDuplicates(["h", "v", "id"]).withColumn("_n", order).where(F.col("_n") <= k + 1).drop("_n")
         indexed = stored(indexed.join(hot, "h", "left_anti").unionByName(few), "thinned")
+
+    def measured(sizes: np.ndarray, spread: np.ndarray) -> tuple[float, float]:
+        """Where queries stop and the slack of estimates, from the true neighbours of at most ``CHECKED`` queries."""
+        few = asked.select("id", "v").orderBy(hash_fraction("id", "v", seed=11), "id").limit(CHECKED).toArrow()
+        if not few.num_rows:
+            return 1 - recall, SLACK
+        asking = spark.sparkContext.broadcast((np.asarray(few.column("id")), _matrix(few.column("v")) / unit))
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, (qid, q) = shared.value, asking.value
+            length = np.linalg.norm(q, axis=1)
+            held = [np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.int64, np.float64)]  # query, key, score, list, lack
+            bar = np.full(len(q), -np.inf)
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(lo, 1024)
+                    ids, x, at = batch.column(0).to_numpy(), _matrix(batch.column(1)) / unit, batch.column(2).to_numpy()
+                    codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(x), -1)
+                    score = q @ x.T
+                    who, row = np.nonzero((score > bar[:, None]) & (qid[:, None] != ids))
+                    rough = np.einsum("pd,pd->p", own.decode(codes, at)[row], q[who])
+                    lack = (score[who, row] - rough) / np.maximum(length[who] * batch.column(4).to_numpy()[row], 1e-150)
+                    held = [np.concatenate(c) for c in zip(held, (who, ids[row], score[who, row], at[row].astype(np.int64), lack), strict=True)]
+                    for order, once in ((np.lexsort((-held[2], held[1], held[0])), True), (None, False)):  # a key counts once, at its best
+                        order = np.lexsort((held[1], -held[2], held[0])) if order is None else order
+                        held = [c[order] for c in held]
+                        same = held[0][1:] == held[0][:-1]
+                        keep = np.append(True, ~(same & (held[1][1:] == held[1][:-1])))[: len(held[0])] if once else np.arange(len(held[0])) - np.searchsorted(held[0], held[0]) < k
+                        held = [c[keep] for c in held]
+                    full = np.flatnonzero(np.bincount(held[0], minlength=len(q)) == k)
+                    bar[full] = held[2][np.searchsorted(held[0], full, side="right") - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], ["query", "key", "score", "list", "lack"])
+
+        from pyspark.sql import Window
+
+        found = indexed.select("id", "v", "list", "codes", "error").mapInArrow(compare, "query long, key long, score double, list long, lack double")
+        found = found.groupBy("query", "key").agg(F.max(F.struct("score", "list", "lack")).alias("m")).select("query", "key", "m.*")
+        near = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
+        true = found.withColumn("n", near).where(F.col("n") <= k).select("query", "list", "lack").toArrow()  # k rows a query
+        if not true.num_rows:
+            return 1 - recall, SLACK
+        query, at, lack = (np.asarray(c) for c in true.columns)
+        return index.stop(asking.value[1], sizes, spread, k, recall, query, at), max(SLACK, float(np.quantile(lack, WITHIN)))
+
     sizes, spread = np.zeros(len(index.coarse)), np.zeros(len(index.coarse))
     for r in indexed.groupBy("list").agg(F.count_distinct("id").alias("n"), F.avg("square").alias("s")).collect():  # one row a list
         sizes[r["list"]], spread[r["list"]] = r["n"], r["s"]
     room = max(256, min(cell_rows, math.ceil(sizes.sum() / 24)))
     begin, spans = _cells(sizes, room)
+    stop, slack = measured(sizes, spread)
     facts = spark.sparkContext.broadcast((sizes, spread, begin, spans))
     layout = F.broadcast(spark.createDataFrame([(i, int(b), int(n)) for i, (b, n) in enumerate(zip(begin, spans, strict=True))], "list int, begin int, spans int"))  # at most 4,096 lists
-    laid = indexed.join(layout, "list").select("id", "v", "list", "codes", (F.col("begin") + F.pmod("h", "spans")).cast("int").alias("cell"))
+    laid = indexed.join(layout, "list").select("id", "v", "list", "codes", "error", (F.col("begin") + F.pmod("h", "spans")).cast("int").alias("cell"))
 
     def search(asked: DataFrame, share: float | None) -> DataFrame:
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +416,7 @@ def nearest(
             for whole in batches:
                 for lo in range(0, whole.num_rows, 1024):
                     batch = whole.slice(lo, 1024)
-                    who, at, want, floor = own.probes(_matrix(batch.column(1)), sizes, spread, k, recall, share)
+                    who, at, want, floor = own.probes(_matrix(batch.column(1)) / unit, sizes, spread, k, recall, share, stop)
                     n = spans[at]
                     cell = np.repeat(begin[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     who, at, want, floor = (np.repeat(a, n) for a in (who, at, want, floor))
@@ -355,17 +445,17 @@ def nearest(
                 return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
             own: IvfPq = shared.value
             codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(right.num_rows, -1)
-            x, xid, at = _matrix(right.column("v")), np.asarray(right.column("id")), np.asarray(right.column("list"))
-            q, qid, asks = _matrix(left.column("v")), np.asarray(left.column("id")), left.column("lists").combine_chunks()
+            x, xid, at, error = _matrix(right.column("v")) / unit, np.asarray(right.column("id")), np.asarray(right.column("list")), np.asarray(right.column("error"))
+            q, qid, asks = _matrix(left.column("v")) / unit, np.asarray(left.column("id")), left.column("lists").combine_chunks()
             who = np.repeat(np.arange(len(q)), np.diff(np.asarray(asks.offsets)))
             lists, want, floor = (np.asarray(left.column(c).combine_chunks().flatten()) for c in ("lists", "want", "floor"))
             out = []
             for one in np.unique(at).tolist():
                 on, rows = lists == one, np.flatnonzero(at == one)
                 if on.any():
-                    out.append(search_list(own, one, q[who[on]], qid[who[on]], want[on], floor[on], x[rows], xid[rows], codes[rows], k))
+                    out.append(search_list(own, one, q[who[on]], qid[who[on]], want[on], floor[on], x[rows], xid[rows], codes[rows], error[rows], k, slack))
             best = Found.of(out).best(k, several)
-            return pa.table([pa.array(best.query), pa.array(best.key), pa.array(best.score)], names=names)
+            return pa.table([pa.array(best.query), pa.array(best.key), pa.array(best.score * unit * unit)], names=names)
 
         found = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(scan, "query long, key long, score double")
 

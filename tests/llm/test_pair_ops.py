@@ -190,6 +190,27 @@ def test_neighbours_recall_scores_and_common_vector(spark):
     assert [a for a, _ in got[same]] == [a for a, _ in want[same]]
 
 
+@pytest.mark.parametrize("kind", ["cauchy", "sparse", "clusters", "tiny", "huge"])
+def test_neighbours_recall_on_other_rows(spark, kind):
+    rng = np.random.default_rng(3)
+    n, x = 4000, rng.normal(size=(4000, 32))
+    if kind == "cauchy":  # few rows are long in few directions
+        x = rng.standard_cauchy((n, 32))
+    elif kind == "sparse":
+        x = np.where(rng.random((n, 32)) < 0.08, x, 1e-6 * x)
+    elif kind == "clusters":  # of very different sizes and widths
+        p = 1 / np.arange(1, 101)
+        x = rng.normal(size=(100, 32))[rng.choice(100, n, p=p / p.sum())] + x * np.exp(rng.normal(size=(n, 1)) - 1)
+    x = x * {"tiny": 1e-30, "huge": 1e30}.get(kind, 1.0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    score = x[::20] @ x.T
+    score[np.arange(200), np.arange(0, n, 20)] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20]
+    found = ann.nearest(df, df.where("vec_id % 20 = 0")).collect()
+    assert len(found) == 200 * 20 and all(r["score"] == pytest.approx(score[r["query_id"] // 20, r["vec_id"]], rel=1e-9) for r in found)
+    assert sum(r["vec_id"] in want[r["query_id"] // 20] for r in found) >= 0.94 * len(found)
+
+
 def test_neighbours_of_few_and_none(spark):
     schema = "vec_id long, embedding array<double>"
     assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
