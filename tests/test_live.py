@@ -164,6 +164,32 @@ def test_a_failed_batch_is_read_again(spark, tmp_path):
     assert seen == {0: list(range(20)), 1: list(range(20, 40)), 2: list(range(40, 50))}
 
 
+def test_a_spool_step_reads_its_own_bytes_only(spark, tmp_path, monkeypatch):
+    from pyspark.sql.types import _parse_datatype_string
+
+    folder, read = str(tmp_path / "spool"), []
+    spool_file(folder, "0001", 0, 3000)
+    size = os.path.getsize(f"{folder}/0001")
+    monkeypatch.setattr(spool, "CHUNK_BYTES", 1024)
+    chunks = spool.SpoolReader._chunks
+    monkeypatch.setattr(spool.SpoolReader, "_chunks", lambda self, *a: (read.append(len(c)) or c for c in chunks(self, *a)))
+    reader = spool.SpoolReader(_parse_datatype_string("done int, total long, status int"), {"path": folder, "maxrows": "100"})
+    at, seen, steps = reader.initialOffset(), [], 0
+    while (after := reader.latestOffset()) != at:
+        parts = reader.partitions(at, after)
+        rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert len(parts) == 1 and len(rows) == 100
+        seen, at, steps = seen + rows, after, steps + 1
+    assert [r["done"] for r in seen] == list(range(3000)) and steps == 30
+    assert sum(read) <= 4 * size  # found and read once each; from the start of the file it would be 30 times
+    again = spool.SpoolReader(reader.schema, {"path": folder, "maxrows": "100"})  # an offset of lines alone, as it was stored before
+    assert [r["done"] for p in again.partitions({"file": "0001", "line": 40}, {"file": "0001", "line": 43}) for b in again.read(p) for r in b.to_pylist()] == [40, 41, 42]
+    with open(f"{folder}/0002", "w") as f:
+        f.write('{"done": 3000000000, "total": 3000000000, "status": Infinity}\n\n[1]\n{"done": "7"}')
+    rows = [r for p in reader.partitions(at, reader.latestOffset()) for b in reader.read(p) for r in b.to_pylist()]
+    assert [tuple(r.values()) for r in rows] == [(None, 3_000_000_000, None), (None,) * 3, (None,) * 3, (7, None, None)]
+
+
 @pytest.fixture
 def playlists(tmp_path):
     """A tree of playlist files: masters that lead to masters and to media playlists."""
