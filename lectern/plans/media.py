@@ -136,11 +136,12 @@ def q_scene_log(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, ts, floor(ts * 4)::INTEGER AS frame_no FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity / 8 AS ts FROM lineitem) WHERE floor(ts * 4) % 2 = 0")
 def q_frames_at(t: Tables) -> DataFrame:
-    times = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 8).alias("ts")).distinct()
-    media = times.select("l_orderkey", "l_linenumber").distinct()
-    frames = media.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("media_id"), F.lit(4.0).alias("fps"), F.explode(F.sequence(F.lit(0), F.lit(40), F.lit(2))).alias("frame_no"))
-    keyed = times.withColumn("media_id", F.concat_ws("-", "l_orderkey", "l_linenumber")).withColumn("fps", F.lit(4.0))
-    return files.frames_at(keyed, frames.drop("fps")).select("l_orderkey", "l_linenumber", "ts", "frame_no")
+    # Both sides are laid out by medium before frames are told out, so the join moves no frame.
+    shown = t.lineitem.select(F.struct("l_orderkey", "l_linenumber").alias("media_id"), (F.col("l_quantity") / 8).alias("ts")).repartition("media_id")
+    times, media = shown.distinct(), shown.select("media_id").distinct()
+    frames = media.select("media_id", F.explode(F.sequence(F.lit(0), F.lit(40), F.lit(2))).alias("frame_no"))
+    found = files.frames_at(times.withColumn("fps", F.lit(4.0)).hint("shuffle_hash"), frames, few=True)
+    return found.select("media_id.l_orderkey", "media_id.l_linenumber", "ts", "frame_no")
 
 
 @query("SELECT vec_id FROM embeddings WHERE vec_id % 12 = 0")

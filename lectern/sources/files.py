@@ -103,9 +103,18 @@ def scene_log(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.select("*", F.regexp_extract(line, r"pts_time:([0-9.]+)", 1).try_cast("double").alias("ts")).where("ts is not null")
 
 
-def frames_at(times: DataFrame, frames: DataFrame, media: str = "media_id", fps: str = "fps") -> DataFrame:
-    """Frames at given times: number int(ts * fps)."""
-    return times.withColumn("frame_no", F.floor(F.col("ts") * F.col(fps)).cast("int")).join(frames, [media, "frame_no"])
+def frames_at(times: DataFrame, frames: DataFrame, media: str = "media_id", fps: str = "fps", *, few: bool = False) -> DataFrame:
+    """Frames at given times: number int(ts * fps).
+
+    With ``few``, for media of few times each, rows meet by medium alone and their numbers are compared then: sides that are
+    laid out by medium are not shuffled again, but each frame of a medium meets each of its times.
+    """
+    numbered = times.withColumn("frame_no", F.floor(F.col("ts") * F.col(fps)).cast("int"))
+    if not few:
+        return numbered.join(frames, [media, "frame_no"])
+    # Not an equality, which would become a key of the join.
+    same = (F.col("frame_no") <= F.col("_frame")) & (F.col("frame_no") >= F.col("_frame"))
+    return numbered.join(frames.withColumnRenamed("frame_no", "_frame"), media).where(same).drop("_frame")
 
 
 def sampled(frames: DataFrame, fps: float, interval: float = 0.5) -> DataFrame:

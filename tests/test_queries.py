@@ -63,3 +63,10 @@ def test_prefix_map_keeps_a_long_mapping(spark):
     mapping = spark.range(10_050).selectExpr("concat('p', id, '-') AS prefix", "id AS folder")
     rows = mapping.selectExpr("concat(prefix, 'x') AS name")
     assert prefix_map(rows.where("substr(name, 1, 4) = 'p100'"), mapping, "name", "prefix").count() == rows.where("substr(name, 1, 4) = 'p100'").count()
+
+
+def test_frames_are_not_shuffled(spark):
+    plan = registry.queries()["q_frames_at"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert "ShuffledHashJoin" in plan and "Generate explode" in plan
+    assert len(exchanges) == 2 and all("REPARTITION_BY_COL" in line for line in exchanges)  # before any frame is told out
