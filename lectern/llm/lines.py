@@ -182,6 +182,20 @@ def _bit_table(ids: DataFrame, n: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``least`` rows or more: those of a session for long texts are short, and narrow rows cost by the batch."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= least:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.concat_batches(held)
+
+
 def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(band, id) of the rows of bands that hold two different ids.
 
@@ -259,7 +273,7 @@ def fuzzy_links(docs: DataFrame, text: str = "text", *, threshold: float = THRES
 
     pairs = rows.mapInArrow(bands, "band long, kind byte, id long")
     pairs = pairs.repartition(F.when(F.col("kind") == 1, F.xxhash64("band", "id")).otherwise(F.col("band"))).sortWithinPartitions("band", "kind", "id")
-    alive = stored(pairs.mapInArrow(shared_rows, "band long, id long"), "bands")
+    alive = stored(pairs.mapInArrow(lambda batches: shared_rows(gathered(batches)), "band long, id long"), "bands")
     total = alive.count()
     ids = alive.select("id").distinct()
     bits = spark.sparkContext.broadcast(_bit_table(ids, total))

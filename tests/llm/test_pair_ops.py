@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -190,6 +191,20 @@ def test_neighbours_recall_scores_and_common_vector(spark):
     assert [a for a, _ in got[same]] == [a for a, _ in want[same]]
 
 
+def test_short_batches_are_gathered():
+    rng = np.random.default_rng(8)
+    rows = np.sort(rng.integers(0, 300, 5000))
+    ids = rng.integers(0, 3, 5000)
+    order = np.lexsort((ids, rows))
+    whole = pa.RecordBatch.from_arrays([pa.array(rows[order]), pa.array(np.full(5000, 2, np.int8)), pa.array(ids[order])], ["band", "kind", "id"])
+    short = [whole.slice(i, 7) for i in range(0, 5000, 7)]
+    got = list(lines.gathered(iter(short), 1000))
+    assert len(got) == 5 and pa.Table.from_batches(got).equals(pa.Table.from_batches([whole]).combine_chunks())
+    rows_of = lambda batches: sorted(zip(*(np.concatenate([np.asarray(b.column(i)) for b in batches]).tolist() for i in (0, 1)), strict=True))
+    assert rows_of(list(lines.shared_rows(iter(got)))) == rows_of(list(lines.shared_rows(iter(short))))
+    assert list(lines.gathered(iter([]))) == []
+
+
 @pytest.mark.parametrize("kind", ["cauchy", "sparse", "clusters", "tiny", "huge"])
 def test_neighbours_recall_on_other_rows(spark, kind):
     rng = np.random.default_rng(3)
