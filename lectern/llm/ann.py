@@ -369,9 +369,12 @@ def nearest(
             length = np.linalg.norm(q, axis=1)
             held = [np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.int64, np.float64)]  # query, key, score, list, lack
             bar = np.full(len(q), -np.inf)
+            seen = 0
             for whole in batches:
-                for lo in range(0, whole.num_rows, 1024):
-                    batch = whole.slice(lo, 1024)
+                lo = 0
+                while lo < whole.num_rows:
+                    batch = whole.slice(lo, max(64, min(1024, seen)))  # short pieces until the bars are up
+                    lo, seen = lo + batch.num_rows, seen + batch.num_rows
                     ids, x, at = batch.column(0).to_numpy(), _matrix(batch.column(1)) / unit, batch.column(2).to_numpy()
                     codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(x), -1)
                     score = q @ x.T
